@@ -3,17 +3,26 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only where that is unset, as in tests, a folder made here."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sentimill-checkpoint-"))
+        at = spark.sparkContext.getCheckpointDir()
+    return at.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to reliable checkpoint files and read back from them.
+    """``df`` written to a table in the shared folder, and read back from it.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset, as in tests, one
-    is made here. Checkpoint files outlive executors, so a lost executor costs no recomputation.
+    The rows are computed once, and later readers don't depend on executors that may be lost.
     """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sentimill-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -1,0 +1,64 @@
+"""Connected components over a distributed edge table, and joins that stand one hot key."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sentimill.sources.shared import cut
+
+#: A key that holds at least this share of the rows counts as hot; there are at most 1 / HOT_SHARE of them, which bounds what is broadcast.
+HOT_SHARE = 1 / 500
+
+
+def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has one row a key, by ``key``; ``left`` is read three times, so give it cut.
+
+    The rows of hot keys never meet in one task: their few right rows are broadcast, and only the
+    other keys, each below HOT_SHARE of the rows, are shuffled. Null keys match nothing.
+    """
+    total = left.count()
+    hot = left.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") >= max(1000, total * HOT_SHARE)).select(key)
+    hot_keys = [r[0] for r in hot.collect()]  # at most 1 / HOT_SHARE keys
+    if not hot_keys:
+        return left.join(right, key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot_keys), F.lit(False))
+    return (
+        left.where(is_hot)
+        .join(F.broadcast(right.where(F.col(key).isin(hot_keys))), key, how)
+        .unionByName(left.where(~is_hot).join(right.where(~F.col(key).isin(hot_keys)), key, how))
+    )
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 40) -> DataFrame:
+    """(node, root): the smallest node id reachable from every node that has an edge.
+
+    Alternating stars: every node's larger neighbours are hung on the smallest node it sees, then
+    the smaller ones with it, until nothing moves; the number of rounds is logarithmic in the longest
+    path. Each round's edges are cut to checkpoint files. A hub's links are split by ``join_unique``.
+    """
+    pairs = cut(
+        edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
+        .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+        .distinct()
+    )
+    for _ in range(most_rounds):
+        before = _mark(pairs)
+        if not before[0]:
+            break
+        both = cut(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = cut(join_unique(both, least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        hung = join_unique(large, least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        pairs = cut(hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        if _mark(pairs) == before:
+            break
+    nodes = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return nodes.unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def _mark(pairs: DataFrame) -> tuple:
+    """Number of edges and an order-free digest of them; stars that no longer move keep both."""
+    r = pairs.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+    return tuple(r)

@@ -6,8 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sentimill.llm.byte_bpe import digests
+from sentimill.llm.decontaminate import leaks
 from sentimill.llm.html_text import extract
+from sentimill.llm.imatch import fingerprints
 from sentimill.llm.language_id import language_id
+from sentimill.llm.licenses import document_licenses
 from sentimill.llm.line_quality import quality
 from sentimill.llm.simhash import near_duplicates
 from sentimill.llm.token_counts import token_counts
@@ -31,6 +34,10 @@ def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
@@ -43,14 +50,25 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_licenses(table(spark, sf_dir, "documents"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_html_text": op2_html_text,
     "op3_token_counts": op3_token_counts,
     "op4_line_quality": op4_line_quality,
+    "op5_imatch": op5_imatch,
     "op6_language_id": op6_language_id,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_toxicity": op8_toxicity,
+    "op9_licenses": op9_licenses,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLES: dict[str, str] = {}

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from sentimill.llm import queries
 
-QUERIES = queries.QUERIES
+QUERIES = {**queries.QUERIES, "pipeline": corpus_pipeline.run}
 ORACLES = queries.ORACLES

@@ -1,4 +1,6 @@
 """Queries over the given tables, each beside the SQL that states its result."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from sentimill.plans import markets, tone
+
+QUERIES = {**tone.QUERIES, **markets.QUERIES}
+ORACLES = {**tone.ORACLES, **markets.ORACLES}

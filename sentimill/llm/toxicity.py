@@ -24,15 +24,19 @@ from pyspark.sql import functions as F
 
 from sentimill.llm.arrow import crc_bucket, map_texts
 from sentimill.llm.labelled import sample_labels, sample_texts
+from sentimill.llm.simhash import fingerprint
 
 ORDER = 3
-DECAY = 0.6
-#: Codes of characters: 0 stands for what is no letter or digit (it spans, but matches nothing), 1-26 a-z, 27-36 digits, the rest other letters by remainder.
+DECAY = 0.5
+#: Codes of characters: 0 stands for what is no letter or digit (it spans, but matches nothing), 1-26 a-z, 27-36 digits, 37-61 other letters by remainder, 62 a word's end, 63 its start.
 ALPHABET = 64
+END, START = b"\x3e", b"\x3f"
 #: A word longer than WIDEST is read as overlapping parts of that length, STRIDE apart.
 WIDEST, STRIDE = 24, 12
 #: Landmarks, sampled documents of each class, and words that a task remembers.
-LANDMARKS, PER_CLASS, MEMO_WORDS = 160, 700, 400_000
+LANDMARKS, PER_CLASS, MEMO_WORDS = 320, 1500, 400_000
+#: Evidence (log-likelihood ratio) from which a word is plainly toxic; bits within which sampled documents count as copies.
+PLAINLY, COPY_BITS = 9.0, 12
 #: Digits and signs that stand in for letters, as fixed values.
 STAND_INS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"}
 EDGES = "".join(chr(c) for c in range(33, 128) if not chr(c).isalnum()) + "“”‘’«»…–—¿¡"
@@ -51,7 +55,7 @@ class _Codes(dict):
         elif "0" <= c <= "9":
             code = n - 21
         else:
-            code = 37 + n % 27 if n >= 128 and c.isalpha() else 0
+            code = 37 + n % 25 if n >= 128 and c.isalpha() else 0
         self[n] = chr(code)
         return self[n]
 
@@ -62,8 +66,8 @@ _LETTER = re.compile(r"[^\W\d_]")
 
 
 def codes(word: str) -> bytes:
-    """Character codes of a lower-cased word; stand-ins count as letters in words that have letters."""
-    return word.translate(_PLAIN if word.isalpha() or not _LETTER.search(word) else _LETTERED).encode("latin-1")
+    """Character codes of a lower-cased word between its start and end; stand-ins count as letters in words that have letters."""
+    return START + word.translate(_PLAIN if word.isalpha() or not _LETTER.search(word) else _LETTERED).encode("latin-1") + END
 
 
 def words_of(text: str) -> set[str]:
@@ -173,9 +177,10 @@ class Model:
     def probability(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -40, 40)))
 
-    def fit(self, texts: list[str], y: list[int], seed: int = 5, rounds: int = 4) -> Model:
+    def fit(self, texts: list[str], y: list[int], seed: int = 5, rounds: int = 3) -> Model:
         """Landmarks, Nystroem features, and the alternation of witnesses and margins."""
         r = np.random.default_rng(seed)
+        texts, y = _without_copies(texts, y)
         docs = [sorted({w for s in SENTENCE.split(t) for w in words_of(s) if ORDER <= len(w) <= WIDEST}) for t in texts]
         y = np.array(y)
         held: dict[str, list[int]] = {}
@@ -183,55 +188,53 @@ class Model:
             for w in d:
                 held.setdefault(w, [0, 0])[label] += 1
         n = np.maximum(np.bincount(y, minlength=2), 1)
-        lift = {w: np.log((c[1] + 0.5) / (n[1] + 1)) - np.log((c[0] + 0.5) / (n[0] + 1)) for w, c in held.items()}
-        evidence = {w: lift[w] * np.sqrt(c[1]) for w, c in held.items()}
-        toxic = sorted((w for w in held if held[w][1] > 2 and evidence[w] > 5), key=lambda w: (-evidence[w], w))[: LANDMARKS // 2]
-        common = sorted((w for w in held if lift[w] < 1), key=lambda w: (-held[w][0], w))[: LANDMARKS // 4]
-        rest = sorted(w for w in held if held[w][0] and lift[w] < 1)
+        share = n[1] / n.sum()
+        evidence, more = {}, {}
+        for w, (c0, c1) in held.items():
+            c = c0 + c1
+            more[w] = c1 > c * share
+            evidence[w] = (c1 * np.log(max(c1, 1e-9) / (c * share)) + c0 * np.log(max(c0, 1e-9) / (c * (1 - share)))) * (1 if more[w] else -1)
+        toxic = sorted((w for w in held if evidence[w] > PLAINLY and held[w][0] < 0.1 * held[w][1]), key=lambda w: (-evidence[w], w))[: LANDMARKS // 2]
+        rest = sorted(w for w in held if held[w][0])
+        common = sorted(rest, key=lambda w: (-held[w][0], w))[: LANDMARKS // 4]
         drawn = [rest[i] for i in r.choice(len(rest), min(len(rest), LANDMARKS - len(toxic) - len(common)), replace=False)] if rest else []
         landmarks = [w for w in dict.fromkeys(toxic + common + drawn) if len(sparse(w)[0])]
         if not toxic or not landmarks:
             return self
-        vectors = [sparse(w) for w in landmarks]
-        used = np.unique(np.concatenate([v[0] for v in vectors]))
-        basis = np.zeros((len(landmarks), len(used)))
-        for row, (i, v) in zip(basis, vectors, strict=True):
-            row[np.searchsorted(used, i)] = v
-        values, axes = np.linalg.eigh(basis @ basis.T)
-        whiten = axes / np.sqrt(np.maximum(values, 1e-3))  # of nearly equal landmarks only the shared direction counts
         # training words: clean documents' words, toxic documents' words that no clean one has, and altered forms of the plainly toxic
-        clean = [rest[i] for i in np.sort(r.choice(len(rest), min(len(rest), 12_000), replace=False))]
+        rest = [w for w in rest if w not in set(toxic)]
+        clean = [rest[i] for i in np.sort(r.choice(len(rest), min(len(rest), 14_000), replace=False))]
         suspects = sorted((w for w in held if held[w][0] == 0), key=lambda w: (-evidence[w], w))[:4_000]
         altered = {w: [x for x in _altered(w, r) if x not in held] for w in toxic}
         names = list(dict.fromkeys(toxic + suspects + clean + [x for xs in altered.values() for x in xs]))
         place = {w: i for i, w in enumerate(names)}
-        k = np.zeros((len(names), len(landmarks)))
-        for i, w in enumerate(names):
-            ids, v = sparse(w)
-            at = np.searchsorted(used, ids)
-            ok = (at < len(used)) & (used[np.minimum(at, len(used) - 1)] == ids)
-            k[i] = basis[:, at[ok]] @ v[ok]
-        x = k @ whiten
+        vectors = [sparse(w) for w in names]
+        # a word weighs as the share of its class's documents that have it, an altered form a part of its word's
+        weight = np.array([held[w][1] / n[1] if held.get(w, (0, 0))[1] and not held[w][0] or w in set(toxic) else held[w][0] / n[0] if w in held else 0.0 for w in names])
+        for w, xs in altered.items():
+            weight[[place[x] for x in xs]] = 0.3 * held[w][1] / n[1]
         negative = np.zeros(len(names), bool)
         negative[[place[w] for w in clean]] = True
         witness = {place[w] for w in toxic}
-        v, bias = np.zeros(x.shape[1]), -1.0
-        for _ in range(rounds):
+        for turn in range(rounds):
+            used, basis, whiten = _nystroem(landmarks)
+            x = _kernels(vectors, used, basis) @ whiten
             sure = {names[i] for i in witness}
             positive = np.zeros(len(names), bool)
             positive[list(witness)] = True
             positive[[place[z] for w, xs in altered.items() if w in sure for z in xs]] = True
             usable = positive | negative
-            v, bias = _svm(x[usable], np.where(positive[usable], 1.0, -1.0))
+            v, bias = _svm(x[usable], np.where(positive[usable], 1.0, -1.0), weight[usable])
             margin = x @ v + bias
-            found = {place[w] for w in toxic if margin[place[w]] > 0}
+            found = {place[w] for w in toxic}
             for d, label in zip(docs, y, strict=True):
                 at = [place[w] for w in d if label and w in place and not negative[place[w]]]
                 if at and max(margin[at]) > 0.5:  # the document's worst word
                     found.add(max(at, key=lambda i: margin[i]))
-            if found == witness:
-                break
-            witness = found or witness
+            # clean words that look worst become landmarks of the next turn, so they can be told from what they resemble
+            hard = [names[i] for i in np.argsort(-np.where(negative, margin, -np.inf), kind="stable")[: LANDMARKS // 4] if margin[i] > -0.5]
+            if turn + 1 < rounds:
+                witness, landmarks = found, list(dict.fromkeys(landmarks + hard))
         beta = whiten @ v
         self.triples[used] = (basis.T @ beta).astype(np.float32)
         self.bias = float(bias)
@@ -253,9 +256,9 @@ class Model:
         return out
 
     def _calibrate(self, margin: np.ndarray, y: np.ndarray) -> None:
-        """A logistic of the documents' margins, by Newton steps with classes weighed alike."""
+        """A logistic of the documents' margins, by Newton steps."""
         f = np.stack([margin, np.ones(len(y))], axis=1)
-        c = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+        c = np.full(len(y), 1 / max(1, len(y)))
         w = np.array([2.0, 0.0])
         for _ in range(40):
             p = 1 / (1 + np.exp(-np.clip(f @ w, -30, 30)))
@@ -264,6 +267,16 @@ class Model:
         self.slope, self.shift = max(float(w[0]), 0.5), float(w[1])
 
 
+def _without_copies(texts: list[str], y: list[int]) -> tuple[list[str], list[int]]:
+    """One of each group of near copies in the sample: a copied text would make its chance words look toxic."""
+    prints = np.array([fingerprint(t.encode("utf-8", "replace")) for t in texts], np.uint64)
+    keep: list[int] = []
+    for i in range(len(texts)):
+        if not keep or int(np.bitwise_count(prints[keep] ^ prints[i]).min()) > COPY_BITS:
+            keep.append(i)
+    return [texts[i] for i in keep], [y[i] for i in keep]
+
+
 def _altered(word: str, r: np.random.Generator) -> list[str]:
     """Forms of a word with a sign or a letter put in, one place each."""
     at = int(r.integers(1, len(word)))
@@ -271,9 +284,29 @@ def _altered(word: str, r: np.random.Generator) -> list[str]:
     return [word[:at] + "." + word[at:], ".".join(word), word[:at] + other + word[at:]] if len(word) > ORDER else []
 
 
-def _svm(x: np.ndarray, t: np.ndarray, c: float = 400.0, steps: int = 60) -> tuple[np.ndarray, float]:
-    """Linear machine with squared hinge loss, classes weighed alike, by Newton steps on the primal."""
-    weight = np.where(t > 0, 0.5 / max(1, (t > 0).sum()), 0.5 / max(1, (t < 0).sum())) * c
+def _nystroem(landmarks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Triples that the landmarks use, the landmarks over them, and the matrix that whitens kernels with the landmarks."""
+    vectors = [sparse(w) for w in landmarks]
+    used = np.unique(np.concatenate([i for i, _ in vectors]))
+    basis = np.zeros((len(landmarks), len(used)))
+    for row, (i, v) in zip(basis, vectors, strict=True):
+        row[np.searchsorted(used, i)] = v
+    values, axes = np.linalg.eigh(basis @ basis.T)
+    return used, basis, axes / np.sqrt(np.maximum(values, 1e-3))  # of nearly equal landmarks only the shared direction counts
+
+
+def _kernels(vectors: list[tuple[np.ndarray, np.ndarray]], used: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Kernels of words with the landmarks."""
+    out = np.zeros((len(vectors), len(basis)))
+    for i, (ids, v) in enumerate(vectors):
+        at = np.searchsorted(used, ids)
+        ok = (at < len(used)) & (used[np.minimum(at, len(used) - 1)] == ids)
+        out[i] = basis[:, at[ok]] @ v[ok]
+    return out
+
+
+def _svm(x: np.ndarray, t: np.ndarray, weight: np.ndarray, c: float = 300.0, steps: int = 40) -> tuple[np.ndarray, float]:
+    """Linear machine with squared hinge loss by Newton steps on the primal."""
     f = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     w = np.zeros(f.shape[1])
     ridge = np.eye(f.shape[1]) * 0.05
@@ -284,7 +317,7 @@ def _svm(x: np.ndarray, t: np.ndarray, c: float = 400.0, steps: int = 60) -> tup
         if active is not None and np.array_equal(now, active):
             break
         active = now
-        a = f[now] * weight[now][:, None]
+        a = f[now] * (c * weight[now])[:, None]
         w = np.linalg.solve(ridge + a.T @ f[now], a.T @ t[now])
     return w[:-1], float(w[-1])
 

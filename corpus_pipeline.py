@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentimill.llm import byte_bpe, decontaminate, line_quality, simhash, toxicity
-from sentimill.llm.components import join_unique
+from sentimill.llm.arrow import fresh
 from sentimill.sources import table
 from sentimill.sources.shared import shared_dir
 
@@ -22,13 +22,15 @@ from sentimill.sources.shared import shared_dir
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.5 by the machine learnt from the labelled documents among these."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, keep=True).where(F.col("score") < 0.5).select(docs.columns)
+    p = fresh(docs, "_toxic")
+    return toxicity.score(docs, model, p, keep=True).where(F.col(p) < 0.5).select(docs.columns)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored at least 0.5 by the random field learnt from the labelled documents among these."""
     model = line_quality.train(docs, table(spark, sf_dir, "labels"))
-    return line_quality.score(docs, model, keep=True).where(F.col("score") >= 0.5).select(docs.columns)
+    p = fresh(docs, "_good")
+    return line_quality.score(docs, model, p, keep=True).where(F.col(p) >= 0.5).select(docs.columns)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +45,8 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
-    leaking = decontaminate.flagged(docs, table(spark, sf_dir, "benchmark"), "_leaks")
-    return leaking.where(F.col("_leaks") == 0).select(docs.columns)
+    n = fresh(docs, "_leaks")
+    return decontaminate.flagged(docs, table(spark, sf_dir, "benchmark"), n).where(F.col(n) == 0).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

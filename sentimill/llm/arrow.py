@@ -21,6 +21,14 @@ def crc_bucket(doc_id: str, n: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % n
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have: ``name``, with underscores put before it as needed."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Zero-copy runs of rows with their texts (null: None), each run within ``limit`` characters where rows allow."""
     values = batch.column(column).to_pylist()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentimill.llm.arrow import slices
+from sentimill.llm.arrow import fresh, slices
 
 #: Edits allowed, as a share of the item's length; the recall wanted of the search, and when to stop raising repetitions.
 ERROR_SHARE = 0.08
@@ -341,17 +341,18 @@ def _found(item_kind: str) -> str:
 
 
 def flagged(docs: DataFrame, benchmark: DataFrame, column: str, text: str = "text") -> DataFrame:
-    """``docs`` with the number of benchmark items that each row's text leaks; 0 for null texts. No shuffle, all columns carried."""
+    """``docs`` with the number of benchmark items that each row's text leaks in ``column`` (a name of its own); 0 for null texts. No shuffle, all columns carried."""
     item_kind = benchmark.schema["item_id"].dataType.simpleString()
-    out = docs.drop(column).withColumn(column, F.lit(0))
+    out = docs.withColumn(column, F.lit(0))
+    found = fresh(out, "found")
     for block in blocks(benchmark):
-        part = _searched(out, block, item_kind, text, out.columns)
-        out = part.withColumn(column, F.col(column) + F.size("found")).drop("found")
+        part = _searched(out, block, item_kind, text, out.columns, found)
+        out = part.withColumn(column, F.col(column) + F.size(found)).drop(found)
     return out
 
 
-def _searched(rows: DataFrame, block: Block, item_kind: str, text: str, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``rows``, and ``found``: what each text leaks of the block."""
+def _searched(rows: DataFrame, block: Block, item_kind: str, text: str, keep: list[str], into: str = "found") -> DataFrame:
+    """Columns ``keep`` of ``rows``, and ``into``: what each text leaks of the block."""
     shared = rows.sparkSession.sparkContext.broadcast(block)
     item_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_kind]
     kinds = pa.struct([("item_id", item_type), ("distance", pa.int32()), ("item_chars", pa.int32()), ("leak_end", pa.int64())])
@@ -364,7 +365,7 @@ def _searched(rows: DataFrame, block: Block, item_kind: str, text: str, keep: li
                 raw = [normal(t.encode("utf-8", "surrogatepass")) if t else b"" for t in texts]
                 for (r, j), (d, end) in sorted(block.search(raw).items()):
                     found[r].append({"item_id": block.items[j][0], "distance": d, "item_chars": len(block.items[j][1]), "leak_end": end})
-                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in keep], pa.array(found, pa.list_(kinds))], names=[*keep, "found"])
+                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in keep], pa.array(found, pa.list_(kinds))], names=[*keep, into])
 
-    schema = ", ".join([f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in keep] + [f"found {_found(item_kind)}"])
+    schema = ", ".join([f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in keep] + [f"`{into}` {_found(item_kind)}"])
     return rows.mapInArrow(task, schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentimill.llm.arrow import crc_bucket, map_texts
+from sentimill.llm.arrow import crc_bucket, fresh, map_texts
 from sentimill.llm.labelled import sample_labels, sample_texts
 
 #: Sampled documents of each class, and gradient steps.
@@ -190,20 +190,21 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1,
     return Model().fit([t for t, _ in sample], [y for _, y in sample])
 
 
-def score(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
-    """(doc_id, score) for every row, or all columns of ``docs`` and ``score`` with ``keep``.
+def score(docs: DataFrame, model: Model, into: str = "score", keep: bool = False) -> DataFrame:
+    """(doc_id, ``into``) for every row, or all columns of ``docs`` and ``into`` (a name of its own) with ``keep``.
 
     A map over the rows: no shuffle, memory of one Arrow batch. Null and empty texts are one empty
     line; null ids and repeated rows are scored row by row.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select("doc_id", "text") if not keep else docs.drop("score").withColumn("_scored_text", F.col("text"))
+    scored = fresh(docs, "_scored_text") if keep else "text"
+    rows = docs.withColumn(scored, F.col("text")) if keep else docs.select("doc_id", "text")
 
     def start():
         model = shared.value
-        return lambda texts: {"score": pa.array(model.score(texts), pa.float64())}
+        return lambda texts: {into: pa.array(model.score(texts), pa.float64())}
 
-    return map_texts(rows, "_scored_text" if keep else "text", "score double", start)
+    return map_texts(rows, scored, f"`{into}` double", start)
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

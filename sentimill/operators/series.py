@@ -130,7 +130,7 @@ def tone_stats(series: DataFrame, key: str) -> DataFrame:
     roll = rolled.where(F.col("_ok") & F.col("roll").isNotNull()).select(key, F.col("d").alias("_d"), "roll")
     ranked = (
         last.join(roll, key, "left")
-        .where(F.col("_d").isNull() | (F.col("_d") > F.date_sub("d", 90)))
+        .withColumn("roll", F.when(F.col("_d") > F.date_sub("d", 90), F.col("roll")))
         .groupBy(key, "d", "t7", "t30", "t90")
         .agg(F.count("roll").alias("_n"), F.count_if(F.col("roll") < F.col("t7")).alias("_below"), F.count_if(F.col("roll") == F.col("t7")).alias("_same"))
     )

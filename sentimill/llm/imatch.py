@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 #: Slots of terms; subsets of the lexicon; the band of df / N, and the least df.
 SLOT_BITS = 20
-SUBSETS = 12
+SUBSETS = 10
 BAND = (0.001, 0.5)
 LEAST_DF = 2
 #: Documents ordered together when the next one is looked up, and the most such groups (which bounds what is broadcast).
@@ -51,22 +51,37 @@ def fingerprint(text: Column, bits: Column) -> Column:
     one = F.lit(1).cast("long")
     kept = F.filter(terms(text), lambda t: F.get(bits, F.shiftright(t, 6)).bitwiseAND(F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)))) != 0)
     found = F.array_sort(F.array_distinct(kept))
-    return F.transform(F.array(found), _levels)[0]
+    return bind(found, _levels)
+
+
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once and not at each place that names it."""
+    return F.transform(F.array(value), use)[0]
 
 
 def _levels(found: Column) -> Column:
     """Both levels' hashes of sorted lexicon terms. A subset at a level keeps one term in 2^level, and the next level's keeps half of those."""
     m = F.size(found)
     level = F.when(m < 3, F.lit(0)).otherwise(F.floor(F.log2(m / F.lit(1.5))).cast("int"))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    # each term with 64 random bits; subset k looks at those from bit 5 k on, level by level
+    coins = F.transform(found, lambda t: F.struct(t.alias("t"), F.xxhash64(t).alias("v")))
 
-    def of(share: Column) -> Column:
-        def one(k: Column) -> Column:
-            inside = F.filter(found, lambda t: F.xxhash64(t, k).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), share) - 1) == 0)
-            return F.when(F.size(inside) == 0, F.lit(0).cast("long")).otherwise(F.xxhash64(inside))
+    def print_of(terms: Column) -> Column:
+        return F.when(F.size(terms) == 0, none).otherwise(F.xxhash64(terms))
 
-        return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), one)
+    def subset(k: int, z: Column) -> Column:
+        def keep(terms: Column, mask: Column) -> Column:
+            return F.filter(terms, lambda x: F.shiftrightunsigned(x["v"], 5 * k).bitwiseAND(mask) == 0)
 
-    return F.struct(level.alias("level"), of(level).alias("a"), of(level + F.lit(1)).alias("b"))
+        return bind(keep(z["coins"], z["mask"]), lambda mine: F.struct(print_of(mine).alias("a"), print_of(keep(mine, z["next"])).alias("b")))
+
+    head = F.struct(level.alias("level"), coins.alias("coins"))
+    masked = lambda h: F.struct(
+        h["level"].alias("level"), h["coins"].alias("coins"), (F.call_function("shiftleft", one, h["level"]) - 1).alias("mask"), (F.call_function("shiftleft", one, h["level"] + 1) - 1).alias("next")
+    )
+    hashes = bind(bind(head, masked), lambda z: F.struct(z["level"].alias("level"), F.array(*[subset(k, z) for k in range(SUBSETS)]).alias("h")))
+    return bind(hashes, lambda r: F.struct(r["level"].alias("level"), F.transform(r["h"], lambda x: x["a"]).alias("a"), F.transform(r["h"], lambda x: x["b"]).alias("b")))
 
 
 def likeness(f: Column, g: Column) -> Column:
@@ -82,8 +97,7 @@ def likeness(f: Column, g: Column) -> Column:
         .otherwise(F.filter(pairs(f["a"], g["a"]), lambda z: F.lit(False)))
     )
     filled = F.filter(both, lambda z: (z["p"] != 0) | (z["q"] != 0))
-    same = F.size(F.filter(filled, lambda z: z["p"] == z["q"]))
-    return F.when(F.size(filled) == 0, F.lit(0.0)).otherwise(same / F.size(filled))
+    return bind(filled, lambda z: F.when(F.size(z) == 0, F.lit(0.0)).otherwise(F.size(F.filter(z, lambda x: x["p"] == x["q"])) / F.size(z)))
 
 
 def as_text(f: Column) -> Column:

@@ -1,6 +1,6 @@
 """Queries over the given tables, each beside the SQL that states its result."""
 
-from sentimill.plans import markets, texts, tone
+from sentimill.plans import facts, markets, texts, tone
 
-QUERIES = {**tone.QUERIES, **markets.QUERIES, **texts.QUERIES}
-ORACLES = {**tone.ORACLES, **markets.ORACLES, **texts.ORACLES}
+QUERIES = {**tone.QUERIES, **markets.QUERIES, **texts.QUERIES, **facts.QUERIES}
+ORACLES = {**tone.ORACLES, **markets.ORACLES, **texts.ORACLES, **facts.ORACLES}

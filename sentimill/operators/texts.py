@@ -120,7 +120,14 @@ SCORED = T.StructType([
     T.StructField("score", T.DoubleType()), T.StructField("label", T.StringType()), T.StructField("confidence", T.DoubleType()),
     T.StructField("drivers", T.ArrayType(T.StringType())), T.StructField("events", T.ArrayType(T.StringType())), T.StructField("themes", T.ArrayType(T.StringType())),
 ])
+_PLAIN = re.compile(r"[a-z]+")
 _TOKEN = re.compile(r"[a-z][a-z'’]*|[.;:!?\n]")
+#: Starts of words without which no event pattern can hold; most texts have none.
+_EVENT_HINT = re.compile(
+    r"\b(?:beat|top|exceed|miss|rais|cut|lower|slash|upgrad|downgrad|acqui|merger|takeover|buyout|buyback|repurchas|suspend|sue|lawsuit|class action|probe"
+    r"|investigat|subpoena|layoff|job cuts|approv|cleared|recall|bankrupt|chapter 11|insolven|share|stock)"
+)
+_DIRECTIONS = frozenset(L.UP) | frozenset(L.DOWN)
 _EVENTS = {k: (p, re.compile(rx)) for k, (p, rx) in L.EVENTS.items()}
 _THEMES = {k: frozenset(v.split()) for k, v in L.THEMES.items()}
 
@@ -150,7 +157,8 @@ def evidence(text: str) -> list[tuple[str, float]]:
 def score_text(text: str | None) -> tuple[float, str, float, list[str], list[str], list[str]]:
     """(score, label, confidence, drivers, events, themes) of one text; a question counts half, repeats less and less."""
     low = (text or "").lower().replace("’", "'")
-    found = evidence(low)
+    kinds = set(_PLAIN.findall(low))
+    found = evidence(low) if kinds & _DIRECTIONS else []
     folded: dict[str, float] = {}
     for w, v in found:
         folded[w] = folded.get(w, 0.0) * 0.5 + v  # repeats add less and less
@@ -160,8 +168,7 @@ def score_text(text: str | None) -> tuple[float, str, float, list[str], list[str
     mass = sum(abs(v) for v in folded.values())
     confidence = min(1.0, mass / 6.0) * (abs(sum(folded.values())) / mass) if mass else 0.0
     drivers = [w for w, _ in sorted(folded.items(), key=lambda z: (-abs(z[1]), z[0]))[:5]]
-    events = [k for k, (_, rx) in _EVENTS.items() if rx.search(low)]
-    kinds = set(re.findall(r"[a-z]+", low))
+    events = [k for k, (_, rx) in _EVENTS.items() if rx.search(low)] if _EVENT_HINT.search(low) else []
     hits = [(-len(kinds & ws), i, k) for i, (k, ws) in enumerate(_THEMES.items()) if kinds & ws]
     return score, label, confidence, drivers, events, [k for _, _, k in sorted(hits)[:4]]
 

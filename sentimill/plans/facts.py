@@ -76,7 +76,7 @@ SELECT d, user_id, n, CASE WHEN board_total >= 300 AND n >= 4 THEN k END AS rank
 )
 def board_rank(spark, sf):
     b = table(spark, sf, "events").groupBy(F.to_date("ts").alias("d"), "user_id").agg(F.count(F.lit(1)).alias("n"))
-    return X.board_ranks(b, "d", "user_id", "n", 300, 4).select("d", "user_id", "n", "rank")
+    return X.board_ranks(b, "d", "user_id", "n", 300, 4).select("d", "user_id", "n", F.col("rank").cast("long").alias("rank"))
 
 
 @query(
@@ -131,7 +131,7 @@ def top_insights(spark, sf):
     e = table(spark, sf, "events")
     sev = F.when(F.col("event_type") == "error", 3).when(F.col("event_type") == "purchase", 2).otherwise(1)
     i = e.select("user_id", F.concat_ws(" ", "event_type", (F.col("value") > 100).cast("string")).alias("title"), sev.alias("severity"), F.col("value").alias("priority"))
-    return X.top_insights(i, "user_id", "title", "severity", "priority", 4).select("user_id", "title", "place")
+    return X.top_insights(i, "user_id", "title", "severity", "priority", 4).select("user_id", "title", F.col("place").cast("long").alias("place"))
 
 
 @query(

@@ -143,7 +143,7 @@ SELECT source, doc_id, place FROM (SELECT *, row_number() OVER (PARTITION BY sou
 )
 def quota_topk(spark, sf):
     d = table(spark, sf, "documents").select("source", "doc_id", "lang", "n_chars")
-    return X.quota_topk(d, "source", F.col("n_chars") > 5000, F.col("lang") == "en", F.col("n_chars"), "doc_id", 20).select("source", "doc_id", "place")
+    return X.quota_topk(d, "source", F.col("n_chars") > 5000, F.col("lang") == "en", F.col("n_chars"), "doc_id", 20).select("source", "doc_id", F.col("place").cast("long").alias("place"))
 
 
 #: A simple rule to be evaluated: capitals and signs mark low quality.

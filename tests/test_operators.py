@@ -115,3 +115,16 @@ def test_spike_needs_a_baseline(spark):
     rows = [("a", dt.date(2024, 1, 1) + dt.timedelta(days=i), 10.0) for i in range(20)] + [("a", dt.date(2024, 1, 21), 1000.0), ("b", dt.date(2024, 1, 1), 1.0)]
     got = {r["k"]: r["z"] for r in series.spike_z(spark.createDataFrame(rows, "k string, d date, value double"), "k").collect()}
     assert got["b"] is None and got["a"] == pytest.approx((math.log1p(1000) + math.log1p(10)) / 2 / 0.1 - math.log1p(10) / 0.1, rel=1e-9)
+
+
+def test_event_hint_lets_every_pattern_through():
+    """Each event's own words, in a sentence that states it, pass the quick test before the patterns."""
+    said = {
+        "earnings_beat": "beats estimates", "earnings_miss": "missed expectations", "guidance_up": "raises outlook", "guidance_down": "slashes forecast", "upgrade": "upgraded",
+        "downgrade": "downgrades", "merger": "agrees to takeover", "buyback": "repurchase", "dividend_up": "raises its dividend", "dividend_cut": "suspends dividend",
+        "lawsuit": "class action", "probe": "subpoena", "layoffs": "job cuts", "approval": "cleared by", "recall": "recalls", "bankruptcy": "chapter 11",
+        "price_up": "stock rallies", "price_down": "shares slump",
+    }
+    assert set(said) == set(texts._EVENTS)
+    for key, words in said.items():
+        assert key in texts.score_text(f"Acme {words} today")[4], key

@@ -128,3 +128,22 @@ def test_event_hint_lets_every_pattern_through():
     assert set(said) == set(texts._EVENTS)
     for key, words in said.items():
         assert key in texts.score_text(f"Acme {words} today")[4], key
+
+
+def test_parsing(spark):
+    from sentimill.functions import parsing as P
+
+    lit = F.lit
+    x = one(
+        spark,
+        signs=P.plain_signs(lit("“It’s” – fine…")), words=P.word_count(lit("  two  words ")), none=P.word_count(lit(" ")), shout=P.is_shouting(lit("BUY NOW all")), calm=P.is_shouting(lit("ABC")),
+        ask=P.is_question(lit("Is it time?")), roundup=P.is_roundup(lit("10 stocks to watch")), tags=P.is_roundup(lit("$A $B $C $D rise")),
+        cash=P.relevance(lit("$ACME up"), "ACME", "Acme"), bare=P.relevance(lit("ACME up"), "ACME", "Acme"), named=P.relevance(lit("acme corp up"), "ACME", "Acme"), not_=P.relevance(lit("ACMEX"), "ACME", "Acme"),
+        capped=P.relevance(lit("5 stocks to buy: $ACME"), "ACME", "Acme"), award=P.transaction_kind(lit("Stock Award (Grant)")), sale=P.transaction_kind(lit("Sale at price 10")), other=P.transaction_kind(lit("?")),
+        bear=P.grade_polarity(lit("Underweight")), bull=P.grade_polarity(lit("Strong Buy")), who=P.person_name(lit("DOE JANE M")), plain=P.person_name(lit("jane doe")),
+        share=P.canonical_symbol(lit("brk-b")), coin=P.canonical_symbol(lit("BTC/USD")), index=P.canonical_symbol(lit("^gspc")),
+    )
+    assert x == {
+        "signs": "\"It's\" - fine...", "words": 2, "none": 0, "shout": False, "calm": False, "ask": True, "roundup": True, "tags": True, "cash": 1.0, "bare": 0.9, "named": 0.8, "not_": 0.0, "capped": 0.4,
+        "award": "award", "sale": "sell", "other": "other", "bear": "bear", "bull": "bull", "who": "Jane M. Doe", "plain": "Jane Doe", "share": "BRK.B", "coin": "BTC-USD", "index": "^GSPC",
+    }

@@ -80,12 +80,13 @@ def quote_fallback(spark, sf):
 
 @query(
     f"""WITH {ITEMS}, g AS (SELECT (ts::DATE)::VARCHAR AS story, event_type, count(*) AS carriers, sum(weight) AS mass FROM items GROUP BY 1, 2), t AS (SELECT story, sum(mass) AS total FROM g GROUP BY 1)
-SELECT story, event_type, carriers, round(mass / total, 6) AS share FROM g JOIN t USING (story) WHERE carriers >= 2 AND mass >= 0.22 * total"""
+SELECT story, event_type, carriers, round(mass / total, 6) AS share FROM g JOIN t USING (story) WHERE carriers >= 2 AND round(mass / total, 9) >= 0.22"""
 )
 def story_events(spark, sf):
+    """Event types with two carriers and 22 % of a story's weight; shares are compared to nine digits, so a share of just 22 % doesn't hang on the order of a sum."""
     g = items(spark, sf).groupBy(F.to_date("ts").cast("string").alias("story"), "event_type").agg(F.count(F.lit(1)).alias("carriers"), F.sum("weight").alias("mass"))
     t = g.groupBy("story").agg(F.sum("mass").alias("total"))
-    return g.join(t, "story").where((F.col("carriers") >= 2) & (F.col("mass") >= 0.22 * F.col("total"))).select("story", "event_type", "carriers", r6(F.col("mass") / F.col("total")).alias("share"))
+    return g.join(t, "story").where((F.col("carriers") >= 2) & (F.round(F.col("mass") / F.col("total"), 9) >= 0.22)).select("story", "event_type", "carriers", r6(F.col("mass") / F.col("total")).alias("share"))
 
 
 @query(

@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentimill.llm import byte_bpe, decontaminate, line_quality, simhash, toxicity
+from sentimill.llm import byte_bpe, decontaminate, line_quality, near_copies, toxicity
 from sentimill.llm.arrow import fresh
 from sentimill.sources import table
 from sentimill.sources.shared import shared_dir
@@ -34,11 +34,11 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-copy component; rows without an id are kept, as nothing names them.
+    """The document with the smallest id of each component of near copies (five-word shingles of Jaccard 0.8 or more); rows without an id are kept, as nothing names them.
 
     Where rows share an id, one is as much a copy of the other as any; the rows of a kept id stay.
     """
-    groups = simhash.near_duplicates(docs)
+    groups = near_copies.near_copies(docs)
     kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull())).select(docs.columns)
 

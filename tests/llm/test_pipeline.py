@@ -1,6 +1,7 @@
 """The pipeline stage by stage against plain versions of each decision."""
 
 import hashlib
+import random
 
 import corpus_pipeline as P
 from sentimill.llm import decontaminate, line_quality, toxicity
@@ -54,3 +55,36 @@ def test_odd_and_empty_documents(spark):
     for docs in (odd, spark.createDataFrame([], schema)):
         for _, stage in P.STAGES:
             assert stage(spark, docs, SF).count() >= 0
+
+
+def slow_shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_near_copies_beyond_a_few_bits(spark):
+    """Texts of Jaccard 0.8 to 0.95, chains and unlike texts with shared passages, against all pairs."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=5))
+    texts = []
+    for _ in range(25):
+        base = [word() for _ in range(r.choice([3, 60, 150, 400]))]
+        texts.append(" ".join(base))
+        for edits in (1, 2, 3, 5):  # the last ones are mostly under 0.8
+            base = list(base)
+            for _ in range(edits * max(1, len(base) // 150)):
+                base[r.randrange(len(base))] = word()
+            texts.append(" ".join(base))
+    sets = [slow_shingles(t) for t in texts]
+    want, links = list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if 5 * shared >= 4 * (len(sets[i]) + len(sets[j]) - shared):
+                links += 1
+                low, high = sorted((want[i], want[j]))
+                want = [low if w == high else w for w in want]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], table(spark, SF, "documents").schema)
+    kept = {x["doc_id"] for x in P.keep_one_of_near_copies(spark, docs, SF).collect()}
+    assert links > 40 and len(set(want)) < len(texts)
+    assert kept == set(want)

@@ -8,6 +8,12 @@ places of an embedding; windows and items that agree in any of the repetitions a
 edit distance is then worked out exactly. The repetitions are raised until altered copies of the
 items themselves, at the full error share, are found with the target recall.
 
+Long items. Walks drift apart with length, so items above MOST_PIECE bytes are embedded as pieces: the
+edits of a passage within a share of the item are within that share of one piece at least, which is
+found like a short item; the distance is that of the whole item. A class of lengths that misses the target
+recall in MOST_REPETITIONS is cut into halves in the same way, and where pieces would become too short,
+the windows that the bound below lets through go to the exact distance at once.
+
 Which windows are embedded. A window within k edits of an item of n characters holds at least
 n - 7 - 8 k of the item's runs of eight characters (each edit breaks eight at most). Windows below that
 bound for every item length can't be within budget of any item, so they are passed over without an
@@ -34,6 +40,8 @@ MOST_REPETITIONS = 160
 SAMPLED, WALKS = 5, 6
 #: Characters of the runs counted before the embedding; characters of a block's items; slots of the table of runs.
 RUN = 8
+#: Bytes of an item embedded as one piece, and of the shortest half that a class is cut into.
+MOST_PIECE, LEAST_HALF = 400, 64
 BLOCK_CHARS = 400_000
 TABLE_BITS = 22
 JOINED = 200_000
@@ -113,14 +121,24 @@ class Block:
         self.items = [(i, t) for i, t in items if t]
         self.error = error
         self.runs = [np.unique(run_hashes(np.frombuffer(t, np.uint8))) for _, t in self.items]
-        sizes = np.array([len(t) for _, t in self.items])
+        #: (item, offset, length) of all that is embedded
+        self.pieces = [(j, p, n) for j, (_, t) in enumerate(self.items) for p, n in _cut(t, 0, len(t), -(-len(t) // MOST_PIECE))]
         self.classes: list[dict] = []
-        edge = 0
-        while len(sizes) and edge <= sizes.max():  # item lengths by steps of a quarter: one window size a class
-            low = int(sizes[sizes >= edge].min())
-            mine = [j for j, n in enumerate(sizes) if low <= n <= low * 1.25]
-            self.classes.append(self._class(mine, low, recall, seed + len(self.classes)))
-            edge = int(low * 1.25) + 1
+        waiting = list(range(len(self.pieces)))
+        while waiting:
+            sizes = {e: self.pieces[e][2] for e in waiting}
+            halves, edge = [], 0
+            while edge <= max(sizes.values()):  # lengths by steps of a quarter: one window size a class
+                low = min(n for n in sizes.values() if n >= edge)
+                mine = [e for e, n in sizes.items() if low <= n <= low * 1.25]
+                c = self._class(mine, low, recall, seed + len(self.classes))
+                edge = int(low * 1.25) + 1
+                if c["direct"] and low >= 2 * LEAST_HALF:
+                    halves += [(j, p, n) for j, off, size in (self.pieces[e] for e in mine) for p, n in _cut(self.items[j][1], off, size, 2)]
+                else:
+                    self.classes.append(c)
+            waiting = list(range(len(self.pieces), len(self.pieces) + len(halves)))
+            self.pieces += halves
         kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if len(self.classes) <= 8 * np.dtype(k).itemsize)
         self.kind = kind
         self.flags: np.ndarray | None = None  # slot to the classes that have a run there; made where it is used
@@ -138,7 +156,7 @@ class Block:
     def _class(self, members: list[int], low: int, recall: float, seed: int) -> dict:
         """Window size, run table, least runs, walks, and the items' LSH keys of one class of lengths."""
         r = np.random.default_rng(seed)
-        texts = [self.items[j][1] for j in members]
+        texts = [self.items[j][1][off : off + n] for j, off, n in (self.pieces[e] for e in members)]
         out = {"members": members, "size": low, "span": max(len(t) + self.budget(len(t)) for t in texts)}
         out["slots"] = np.unique(np.concatenate([run_hashes(np.frombuffer(t, np.uint8)) for t in texts]))
         out["least"] = min(len(t) - RUN + 1 - RUN * self.budget(len(t)) for t in texts)
@@ -157,6 +175,7 @@ class Block:
             a, b = embedded[w]
             found |= (a[source][:, places] == b[:, places]).all(axis=1)
         out["recall"] = float(found.mean())
+        out["direct"] = out["recall"] < recall
         out["keys"] = []
         for w, places in out["places"]:
             keys: dict[bytes, list[int]] = {}
@@ -185,17 +204,17 @@ class Block:
             sizes = np.array([len(t) + 1 for t in texts[first:last]])
             begins = np.cumsum(sizes) - sizes
             a = np.frombuffer(b" ".join(texts[first:last]), np.uint8)
-            for i, starts in self._starts(a):
+            slots = run_hashes(a)
+            flags = self._flags()[slots]
+            hits = np.flatnonzero(flags)
+            for i, starts in self._starts(a, hits, flags[hits]):
                 row = np.searchsorted(begins, starts, side="right") - 1
                 out.setdefault(i, []).append((row + first, starts - begins[row]))
             first = last
         return out
 
-    def _starts(self, a: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    def _starts(self, a: np.ndarray, hits: np.ndarray, kinds: np.ndarray) -> list[tuple[int, np.ndarray]]:
         """(class, starts) of the windows to embed in one stretch of text."""
-        flags = self._flags()[run_hashes(a)]
-        hits = np.flatnonzero(flags)
-        kinds = flags[hits]
         begins = np.concatenate([[0], np.flatnonzero(a == 32) + 1])  # where a word begins
         out = []
         for i, c in enumerate(self.classes):
@@ -232,10 +251,29 @@ class Block:
         for i, found in self.windows(texts).items():
             row = np.concatenate([r for r, _ in found])
             start = np.concatenate([s for _, s in found])
+            if self.classes[i]["direct"]:
+                self._compare(texts, self.classes[i], row, start, out)
+                continue
             for at in range(0, len(row), 8192):
                 self._look(texts, self.classes[i], row[at : at + 8192], start[at : at + 8192], out)
         return out
 
+    def _compare(self, texts: list[bytes], c: dict, row: np.ndarray, start: np.ndarray, out: dict) -> None:
+        """The exact distance of every item of a class to the stretch of each text that its windows span."""
+        for r in np.unique(row).tolist():
+            s = start[row == r]
+            for j, off, _ in (self.pieces[e] for e in c["members"]):
+                item = self.items[j][1]
+                k = self.budget(len(item))
+                low = max(0, int(s.min()) - off - len(item))
+                stretch = texts[r][low : int(s.max()) - off + 2 * len(item) + 2 * k]
+                least = len(item) - RUN + 1 - RUN * k
+                if out.get((r, j), (1,))[0] == 0 or least > 0 and self._shared_runs(stretch, j) < least:
+                    continue
+                got = edit_within(item, stretch, k)
+                if got and ((r, j) not in out or got[0] < out[r, j][0]):
+                    out[r, j] = (got[0], low + got[1])
+
     def _look(self, texts: list[bytes], c: dict, row: np.ndarray, start: np.ndarray, out: dict) -> None:
         size = c["size"]
         rows = self._rows([texts[r][s : s + size] for r, s in zip(row.tolist(), start.tolist(), strict=True)], size)
@@ -248,13 +286,14 @@ class Block:
             sampled = np.ascontiguousarray(embedded[w][:, places]).view(f"V{SAMPLED}").ravel().tolist()
             for i in (i for i, key in enumerate(sampled) if key in keys):
                 r, s = int(row[i]), int(start[i])
-                for j in keys[sampled[i]]:
-                    if (i, j) in seen or out.get((r, j), (1,))[0] == 0:
+                for e in keys[sampled[i]]:
+                    j, off, _ = self.pieces[e]
+                    if (i, e) in seen or out.get((r, j), (1,))[0] == 0:
                         continue
-                    seen.add((i, j))
+                    seen.add((i, e))
                     item = self.items[j][1]
                     k = self.budget(len(item))
-                    low, high = max(0, s - k), s + len(item) + 2 * k
+                    low, high = max(0, s - off - k), s - off + len(item) + 2 * k
                     done = covered.get((r, j))
                     if done is None:  # the pair's distance is 0 if the item stands anywhere in the text
                         whole = texts[r].find(item)
@@ -281,6 +320,20 @@ class Block:
         return int(np.count_nonzero(mine[run_hashes(np.frombuffer(stretch, np.uint8)) & low]))
 
 
+def _cut(t: bytes, offset: int, size: int, parts: int) -> list[tuple[int, int]]:
+    """(offset, length) of ``parts`` pieces of a stretch of t, cut where a word begins near the even places, or else at a character."""
+    ends = [offset]
+    for k in range(1, parts):
+        even, reach = offset + size * k // parts, size // parts // 4
+        near = [p for p in range(even - reach, even + reach + 1) if t[p - 1] == 32]
+        at = min(near, key=lambda p: abs(p - even), default=even)
+        while t[at] & 0xC0 == 0x80 and at > ends[-1] + 1:
+            at -= 1
+        ends.append(at)
+    ends.append(offset + size)
+    return [(a, b - a) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def _alter(t: bytes, k: int, r: np.random.Generator) -> bytes:
     """A text with k random edits."""
     x = bytearray(t)

@@ -458,3 +458,18 @@ def test_decontamination_on_odd_input(spark):
     assert decontaminate.leaks(d, benchmark.limit(0)).count() == 0 == decontaminate.leaks(empty_docs(spark), benchmark).count()
     flags = decontaminate.flagged(d, benchmark, "n_leaks").collect()
     assert len(flags) == d.count() and sum(r["n_leaks"] for r in flags) == 1
+
+
+def test_altered_leaks_of_long_items():
+    import numpy as np
+
+    r, q = np.random.default_rng(6), random.Random(6)
+    vocabulary = ["".join(q.choices("etaoinshrdlucm", k=q.randint(2, 9))) for _ in range(3000)]
+    prose = lambda n: " ".join(q.choices(vocabulary, k=n // 5)).encode()[:n].strip()
+    items = [(i, prose(n)) for i, n in enumerate([350, 700, 1500, 1500, 1600, 5000, 5000, 5200])]
+    block = decontaminate.Block(items)
+    assert all(c["direct"] or c["recall"] >= decontaminate.TARGET_RECALL for c in block.classes)
+    texts = [prose(300) + b" " + decontaminate._alter(items[k % 8][1], block.budget(len(items[k % 8][1])), r) + b" " + prose(300) for k in range(80)]
+    got = block.search(texts)
+    assert sum((k, k % 8) in got for k in range(80)) >= 78
+    assert all(d <= block.budget(len(items[j][1])) and k % 8 == j for (k, j), (d, _) in got.items())

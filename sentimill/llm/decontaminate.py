@@ -17,7 +17,9 @@ the windows that the bound below lets through go to the exact distance at once.
 Which windows are embedded. A window within k edits of an item of n characters holds at least
 n - 7 - 8 k of the item's runs of eight characters (each edit breaks eight at most). Windows below that
 bound for every item length can't be within budget of any item, so they are passed over without an
-embedding; the bound loses nothing. In the others every start is embedded that lies where a word begins.
+embedding; the bound loses nothing. In the others every start is embedded that lies where a word begins,
+and in stretches of more than GAP bytes without such a place (scripts without blanks, packed code) every
+character. Exact copies are searched apart from that, wherever they stand, from the item's rarest run.
 
 The benchmark is taken in blocks of bounded size, each of which is broadcast; a document is read once
 a block.
@@ -40,8 +42,8 @@ MOST_REPETITIONS = 160
 SAMPLED, WALKS = 5, 6
 #: Characters of the runs counted before the embedding; characters of a block's items; slots of the table of runs.
 RUN = 8
-#: Bytes of an item embedded as one piece, and of the shortest half that a class is cut into.
-MOST_PIECE, LEAST_HALF = 400, 64
+#: Bytes of an item embedded as one piece, of the shortest half that a class is cut into, and between word starts before every character is one.
+MOST_PIECE, LEAST_HALF, GAP = 400, 64, 16
 BLOCK_CHARS = 400_000
 TABLE_BITS = 22
 JOINED = 200_000
@@ -139,10 +141,40 @@ class Block:
                     self.classes.append(c)
             waiting = list(range(len(self.pieces), len(self.pieces) + len(halves)))
             self.pieces += halves
+        self._anchor()
         kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if len(self.classes) <= 8 * np.dtype(k).itemsize)
         self.kind = kind
         self.flags: np.ndarray | None = None  # slot to the classes that have a run there; made where it is used
 
+    def _anchor(self) -> None:
+        """Slot to the (item, offset) whose rarest run falls there; items shorter than a run apart."""
+        slots = [run_hashes(np.frombuffer(t, np.uint8)) for _, t in self.items]
+        common = np.bincount(np.concatenate(slots), minlength=1) if slots else np.zeros(1, np.int64)
+        self.anchors: dict[int, list[tuple[int, int]]] = {}
+        self.tiny = [j for j, h in enumerate(slots) if not len(h)]
+        for j, h in enumerate(slots):
+            if len(h):
+                at = int(common[h].argmin())
+                self.anchors.setdefault(int(h[at]), []).append((j, at))
+        self.anchored: np.ndarray | None = None
+
+    def _exact(self, texts: list[bytes], first: int, begins: np.ndarray, slots: np.ndarray, hits: np.ndarray, out: dict) -> None:
+        """Adds the first place of every item that stands unaltered in texts laid end to end, whose first is text ``first``."""
+        if self.anchored is None:
+            self.anchored = np.zeros(1 << TABLE_BITS, bool)
+            self.anchored[list(self.anchors)] = True
+        at = hits[self.anchored[slots[hits]]]
+        row = np.searchsorted(begins, at, side="right") - 1
+        for p, r, slot in zip((at - begins[row]).tolist(), (row + first).tolist(), slots[at].tolist(), strict=True):
+            for j, offset in self.anchors[slot]:
+                if (r, j) not in out and p >= offset and texts[r].startswith(self.items[j][1], p - offset):
+                    out[r, j] = (0, p - offset + len(self.items[j][1]))
+        for j in self.tiny:
+            item = self.items[j][1]
+            for r in range(first, first + len(begins)):
+                if (p := texts[r].find(item)) >= 0:
+                    out[r, j] = (0, p + len(item))
+
     def _flags(self) -> np.ndarray:
         if self.flags is None:
             self.flags = np.zeros(1 << TABLE_BITS, self.kind)
@@ -188,8 +220,8 @@ class Block:
     def _rows(texts: list[bytes], width: int) -> np.ndarray:
         return np.frombuffer(b"".join(t[:width].ljust(width, b"\0") for t in texts), np.uint8).reshape(-1, width)
 
-    def windows(self, texts: list[bytes]) -> dict[int, list[tuple[np.ndarray, np.ndarray]]]:
-        """Class to (text index, start) of the windows of normalised texts that may be within budget of an item.
+    def windows(self, texts: list[bytes], exact: dict) -> dict[int, list[tuple[np.ndarray, np.ndarray]]]:
+        """Class to (text index, start) of the windows of normalised texts that may be within budget of an item; unaltered items go to ``exact``.
 
         Texts are laid end to end, some JOINED characters at a time. A stretch over two texts can only
         let a window more in, never keep one out.
@@ -207,6 +239,7 @@ class Block:
             slots = run_hashes(a)
             flags = self._flags()[slots]
             hits = np.flatnonzero(flags)
+            self._exact(texts, first, begins, slots, hits, exact)
             for i, starts in self._starts(a, hits, flags[hits]):
                 row = np.searchsorted(begins, starts, side="right") - 1
                 out.setdefault(i, []).append((row + first, starts - begins[row]))
@@ -216,6 +249,11 @@ class Block:
     def _starts(self, a: np.ndarray, hits: np.ndarray, kinds: np.ndarray) -> list[tuple[int, np.ndarray]]:
         """(class, starts) of the windows to embed in one stretch of text."""
         begins = np.concatenate([[0], np.flatnonzero(a == 32) + 1])  # where a word begins
+        gaps = np.diff(begins, append=len(a))
+        if (gaps > GAP).any():  # no word begins for long: every character is a start
+            mark = np.repeat(gaps > GAP, np.maximum(gaps, 0))[: len(a)] & ((a & 0xC0) != 0x80)
+            mark[begins[begins < len(a)]] = True
+            begins = np.flatnonzero(mark)
         out = []
         for i, c in enumerate(self.classes):
             least, span = c["least"], c["span"]
@@ -248,7 +286,7 @@ class Block:
         Windows of all the texts are embedded together, some thousands at a time.
         """
         out: dict[tuple[int, int], tuple[int, int]] = {}
-        for i, found in self.windows(texts).items():
+        for i, found in self.windows(texts, out).items():
             row = np.concatenate([r for r, _ in found])
             start = np.concatenate([s for _, s in found])
             if self.classes[i]["direct"]:
@@ -295,12 +333,7 @@ class Block:
                     k = self.budget(len(item))
                     low, high = max(0, s - off - k), s - off + len(item) + 2 * k
                     done = covered.get((r, j))
-                    if done is None:  # the pair's distance is 0 if the item stands anywhere in the text
-                        whole = texts[r].find(item)
-                        if whole >= 0:
-                            out[r, j] = (0, whole + len(item))
-                            continue
-                    elif done[0] <= low and high <= done[1]:
+                    if done and done[0] <= low and high <= done[1]:
                         continue
                     low, high = max(0, low - len(item)), high + len(item)  # neighbouring windows too, so they need no look of their own
                     covered[r, j] = (low, high)

@@ -473,3 +473,25 @@ def test_altered_leaks_of_long_items():
     got = block.search(texts)
     assert sum((k, k % 8) in got for k in range(80)) >= 78
     assert all(d <= block.budget(len(items[j][1])) and k % 8 == j for (k, j), (d, _) in got.items())
+
+
+def test_leaks_without_blanks():
+    import numpy as np
+
+    r, q = np.random.default_rng(7), random.Random(7)
+    letters = [chr(0x4E00 + i) for i in range(1500)]
+    han = lambda n: "".join(q.choices(letters, k=n)).encode()
+    items = [(i, han(90)) for i in range(20)] + [(20, b"plain words that stand glued to other signs in this one")]
+    block = decontaminate.Block(items)
+    exact = [han(200) + t + han(200) for _, t in items[:20]] + [b"so it says:xy" + items[20][1] + b"zz and on"]
+    got = block.search(exact)
+    assert all(got.get((k, k), (1,)) == (0, exact[k].find(items[k][1]) + len(items[k][1])) for k in range(21))
+    altered = []
+    for _, t in items[:20]:
+        x = t.decode()
+        for _ in range(6):
+            at = q.randrange(len(x))
+            x = x[:at] + q.choice(letters) + x[at + 1 :]
+        altered.append(han(200) + x.encode() + han(200))
+    got = block.search(altered)
+    assert sum((k, k) in got for k in range(20)) >= 19

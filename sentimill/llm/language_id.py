@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentimill.llm.arrow import crc_bucket, map_texts
@@ -20,8 +20,8 @@ WINDOW = 192
 WIDTHS = (2, 3, 4)
 FILTERS, EMBED = 16, 6
 UNDETERMINED = "und"
-#: Documents a language learnt from, languages learnt, passes over the windows.
-PER_LANGUAGE, LANGUAGES, EPOCHS = 300, 60, 10
+#: Documents a language learnt from, documents of all languages together (one a language at least), passes over the windows.
+PER_LANGUAGE, SAMPLE, EPOCHS = 300, 18_000, 10
 
 
 def windows(raw: bytes) -> np.ndarray:
@@ -117,7 +117,7 @@ class Net:
 
 
 def train(docs: DataFrame, folds: int = 4, held_out: int = 2, per_language: int = PER_LANGUAGE) -> tuple[list[str], Net]:
-    """The net and its languages, from up to ``per_language`` documents each of the LANGUAGES commonest languages.
+    """The net and its languages, from up to ``per_language`` documents each of every language there is; fewer each where SAMPLE is divided among more.
 
     Rows are drawn by a hash of the id, in one scan, whose size doesn't grow with the table; texts above
     LONGEST characters are not learnt from. Without any labelled row the net knows only ``und``.
@@ -125,27 +125,32 @@ def train(docs: DataFrame, folds: int = 4, held_out: int = 2, per_language: int
     usable = docs.where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (crc_bucket("doc_id", folds) != held_out) & (F.length("text") <= LONGEST)
     )
-    found = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    commonest = sorted(found)
+    found = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    languages = sorted(found)
     if not found:
         return [UNDETERMINED], Net(1)
-    # one scan: each language's rows whose hash falls in a share that holds 1.5 times the wanted rows
-    share = F.create_map(*[F.lit(z) for lang, n in found.items() for z in (lang, min(1.0, 1.5 * per_language / n + 20 / n))])
+    each = max(1, min(per_language, SAMPLE // len(found)))
+    # one scan: each language's rows whose hash falls in a share that holds 1.5 times the wanted rows, and of these few the first ones
+    shares = usable.sparkSession.createDataFrame([(lang, min(1.0, 1.5 * each / n + 20 / n)) for lang, n in found.items()], "lang string, share double")
     hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("h")
-    drawn = usable.where(F.col("lang").isin(commonest)).select("lang", "text", hashed).where(F.col("h") < F.element_at(share, F.col("lang")) * (1 << 30)).collect()
+    rows = usable.select("lang", "text", hashed).join(F.broadcast(shares), "lang").where(F.col("h") < F.col("share") * (1 << 30))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    drawn: dict[str, list] = {lang: [] for lang in languages}
+    for r in rows.withColumn("place", first).where(F.col("place") <= each).select("lang", "text", "h").collect():
+        drawn[r["lang"]].append(r)
     x, y = [], []
-    for k, lang in enumerate(commonest):
-        for r in sorted((r for r in drawn if r["lang"] == lang), key=lambda r: (r["h"], r["text"]))[:per_language]:
+    for k, lang in enumerate(languages):
+        for r in sorted(drawn[lang], key=lambda r: (r["h"], r["text"])):
             w = windows(r["text"].encode("utf-8", "replace"))
             w = w[np.linspace(0, len(w) - 1, min(len(w), 12)).astype(int)]  # spread over the whole text
             x.append(w)
             y += [k] * len(w)
     xs, ys = np.concatenate(x), np.array(y)
     # windows of a rarer language are repeated, so each weighs alike
-    counts = np.bincount(ys, minlength=len(commonest))
-    pick = np.concatenate([np.resize(np.flatnonzero(ys == k), min(counts.max(), 8 * counts[k])) for k in range(len(commonest))])
+    counts = np.bincount(ys, minlength=len(languages))
+    pick = np.concatenate([np.resize(np.flatnonzero(ys == k), min(counts.max(), 8 * counts[k])) for k in range(len(languages))])
     steps = -(-len(pick) // 128)
-    return commonest, Net(len(commonest)).fit(xs[pick], ys[pick], epochs=min(60, max(EPOCHS, -(-300 // steps))))
+    return languages, Net(len(languages)).fit(xs[pick], ys[pick], epochs=min(60, max(EPOCHS, -(-300 // steps))))
 
 
 def identify(docs: DataFrame, model: tuple[list[str], Net]) -> DataFrame:

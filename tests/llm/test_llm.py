@@ -495,3 +495,16 @@ def test_leaks_without_blanks():
         altered.append(han(200) + x.encode() + han(200))
     got = block.search(altered)
     assert sum((k, k) in got for k in range(20)) >= 19
+
+
+def test_language_beyond_sixty(spark):
+    r = random.Random(12)
+    rows = []
+    for k in range(75):
+        vocabulary = ["".join(r.choices([chr(0x400 + 3 * k + i) for i in range(6)], k=r.randint(2, 7))) for _ in range(40)]
+        for _ in range(14 if k < 60 else 10):  # the last fifteen are the rarest
+            rows.append((len(rows), " ".join(r.choices(vocabulary, k=120)), f"x{k:02}"))
+    truth = {i: lang for i, _, lang in rows}
+    got = language_id.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("held_out").collect()
+    rare = [x["lang_pred"] == truth[x["doc_id"]] for x in got if truth[x["doc_id"]] >= "x60"]
+    assert len(rare) > 20 and sum(rare) > 0.9 * len(rare)

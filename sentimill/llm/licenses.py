@@ -1,9 +1,13 @@
 """License scans: TF-IDF cosine to licence templates, then inheritance from the nearest directory.
 
-A file's lines are weighed as sparse TF-IDF vectors and compared with every template; a line like
-enough to a template states that licence. A file most of whose words stand in such lines is a licence
-file and speaks for its directory. A file that states nothing itself takes the licence of the nearest
-directory above it that a licence file speaks for, by joins on path prefixes.
+Templates are header statements, whole licence files, and the opening blocks of the long licences, as
+sparse TF-IDF vectors. A stretch of a text as long as a template, laid so that a tell-tale term of the
+template stands at its place, states the licence if its cosine to the template is high enough; lines and
+comment signs don't matter, so wrapped and embedded statements count. Where a template names a version,
+the stretch must name it too. A text most of which is stated, that as a whole is like a licence's file,
+or that opens like one, is a licence file and speaks for its directory. A file that states nothing
+itself takes the licence of the nearest directory above it that a licence file speaks for, by joins on
+path prefixes.
 """
 
 from __future__ import annotations
@@ -16,167 +20,129 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sentimill.llm.arrow import slices
+from sentimill.llm.arrow import fresh, slices
 from sentimill.llm.components import join_unique
+from sentimill.llm.license_texts import FILES, HEADERS, OPENINGS
 from sentimill.sources.shared import cut
 
-# How common licences are named in headers and in the first lines of licence files.
-TEMPLATES = {
-    "Apache-2.0": [
-        "Licensed under the Apache License, Version 2.0",
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License",
-        "Apache License Version 2.0, January 2004",
-        "SPDX-License-Identifier: Apache-2.0",
-    ],
-    "MIT": [
-        "Released under the MIT License",
-        "Licensed under the MIT License",
-        "The MIT License (MIT)",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-        "SPDX-License-Identifier: MIT",
-    ],
-    "GPL-3.0": [
-        "This work is licensed under the GNU General Public License, version 3",
-        "GNU General Public License Version 3, 29 June 2007",
-        "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version",
-        "SPDX-License-Identifier: GPL-3.0-only",
-    ],
-    "GPL-2.0": [
-        "This work is licensed under the GNU General Public License, version 2",
-        "GNU General Public License Version 2, June 1991",
-        "SPDX-License-Identifier: GPL-2.0-only",
-    ],
-    "BSD-3-Clause": [
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-        "Licensed under the BSD 3-Clause License",
-        "SPDX-License-Identifier: BSD-3-Clause",
-    ],
-    "MPL-2.0": [
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-        "Mozilla Public License Version 2.0",
-        "SPDX-License-Identifier: MPL-2.0",
-    ],
-    "CC-BY-NC-4.0": [
-        "Licensed under CC BY-NC 4.0",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
-    ],
-    "CC-BY-4.0": [
-        "Licensed under CC BY 4.0",
-        "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    ],
-    "CC-BY-SA-4.0": [
-        "Licensed under CC BY-SA 4.0",
-        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
-    ],
-    "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights", "CC0 1.0 Universal"],
-    "Unlicense": ["This is free and unencumbered software released into the public domain"],
-}
 #: A term is a run of letters or digits, dots and signs within allowed ("2.0", "by-nc").
 TERM = r"[a-z0-9]+(?:[.\-][a-z0-9]+)*"
-#: A line states a licence from this cosine; a file is a licence file from this share of its words.
-LEAST_COSINE, LICENCE_FILE_SHARE = 0.75, 0.5
-
-
-def template_weights() -> tuple[list[tuple[int, str, str, float]], dict[str, float], float]:
-    """(template, licence, term, unit-length weight) rows, the terms' idf, and the idf of a term that no template has."""
-    texts = [(lic, Counter(re.findall(TERM, t.lower()))) for lic, ts in TEMPLATES.items() for t in ts]
-    df = Counter(term for _, c in texts for term in c)
-    n = len(texts)
-    idf = {t: math.log((1 + n) / (1 + d)) + 1 for t, d in df.items()}
-    rows = []
-    for k, (lic, c) in enumerate(texts):
-        norm = math.sqrt(sum((v * idf[t]) ** 2 for t, v in c.items()))
-        rows += [(k, lic, t, v * idf[t] / norm) for t, v in sorted(c.items())]
-    return rows, idf, math.log(1 + n) + 1
-
-
-def anchors() -> list[str]:
-    """Strings of which every line at LEAST_COSINE to a template holds one.
-
-    A line's cosine is at most the length of the template's weights on the terms they share. So it
-    holds a term of any set whose weights leave less than the cosine to the others; long words and
-    numbers go first into a template's set, as they are rare in other texts.
-    """
-    weights: dict[int, dict[str, float]] = {}
-    for k, _, t, w in template_weights()[0]:
-        weights.setdefault(k, {})[t] = w
-    out: set[str] = set()
-    for v in weights.values():
-        rest = 1.0
-        for t in sorted(v, key=lambda t: (-len(t) - 6 * (len(t) > 2 and any(c.isdigit() for c in t)), t)):
+#: A stretch states a licence from this cosine; a file is a licence file from this share of stated terms, or if it opens like one within so many terms.
+LEAST_COSINE, LICENCE_FILE_SHARE, OPENING_TERMS = 0.75, 0.5, 25
+
+
+def terms(text: str) -> list[str]:
+    return re.findall(TERM, text.lower().replace("licence", "license"))
+
+
+class Template:
+    def __init__(self, licence: str, kind: str, text: str):
+        self.licence, self.kind, self.terms = licence, kind, terms(text)
+        self.tf = Counter(self.terms)
+        self.needs: list[frozenset[str]] = []  # of each set a stretch holds a term
+        number = licence.rsplit("-", 1)[-1]
+        if self.terms[0] == "spdx-license-identifier":
+            self.needs.append(frozenset(self.terms[1:]))
+        elif number[:1].isdigit() and number[:1] in {t.lstrip("v")[:1] for t in self.terms if t.lstrip("v")[:1].isdigit()}:
+            short = number.removesuffix(".0")
+            self.needs.append(frozenset({number, short, f"v{number}", f"v{short}"}))
+        if "license" in self.tf:
+            self.needs.append(frozenset({"license", "licenses", "licensed"}))
+
+    def weigh(self, idf: dict[str, float]) -> None:
+        norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in self.tf.items()))
+        self.weight = {t: n * idf[t] / norm for t, n in self.tf.items()}
+        # a stretch at LEAST_COSINE shares terms of at least its square in squared weight, so it holds one of any terms that leave
+        # less than that to the others; long words and numbers go first, as they are rare in other texts
+        rest, self.anchors = 1.0, []
+        for t in sorted(self.weight, key=lambda t: (-len(t) - 6 * (len(t) > 2 and any(c.isdigit() for c in t)), t)):
             if rest < LEAST_COSINE**2:
                 break
-            rest -= v[t] ** 2
-            out.add(t)
-    short = sorted(out, key=len)
-    return [t for i, t in enumerate(short) if not any(s in t for s in short[:i])]
+            rest -= self.weight[t] ** 2
+            self.anchors.append(t)
+
+
+def templates() -> tuple[list[Template], dict[str, float], float]:
+    """All templates, weighed; the terms' idf over them; the idf of a term that none has."""
+    out = [Template(lic, kind, t) for kind, group in (("header", HEADERS), ("opening", OPENINGS), ("file", FILES)) for lic, ts in group.items() for t in ts]
+    df = Counter(t for x in out for t in x.tf)
+    idf = {t: math.log((1 + len(out)) / (1 + d)) + 1 for t, d in df.items()}
+    for x in out:
+        x.weigh(idf)
+    return out, idf, math.log(1 + len(out)) + 1
 
 
 class Scanner:
-    """Cosines of lines with all templates, for one task."""
+    """Cosines of stretches of a text with all templates, for one task."""
 
     def __init__(self):
-        rows, self.idf, self.rare = template_weights()
-        self.by_term: dict[str, list[tuple[int, float]]] = {}
-        self.licence = {}
-        for k, lic, t, w in rows:
-            self.by_term.setdefault(t, []).append((k, w))
-            self.licence[k] = lic
-        self.term = re.compile(TERM)
-        self.anchor = re.compile("|".join(map(re.escape, sorted(anchors(), key=len, reverse=True))))
-        self.anchors = anchors()
-
-    def line(self, low: str) -> tuple[float, str, int] | None:
-        """(cosine, licence, terms) of a lower-cased line that states a licence; ties go to the later name."""
-        tf = Counter(self.term.findall(low))
-        mass: dict[int, float] = {}
-        for t in tf:
-            for k, w in self.by_term.get(t, ()):
-                mass[k] = mass.get(k, 0.0) + w * w
-        near = [k for k, m in mass.items() if m >= LEAST_COSINE**2 - 1e-9]  # others can't reach the cosine
-        if not near:
-            return None
-        weight = {t: n * self.idf.get(t, self.rare) for t, n in tf.items()}
-        norm = math.sqrt(sum(x * x for x in weight.values()))
-        dot = dict.fromkeys(near, 0.0)
-        for t, x in weight.items():
-            for k, w in self.by_term.get(t, ()):
-                if k in dot:
-                    dot[k] += x * w
-        cosine, lic = max((round(d / norm, 6), self.licence[k]) for k, d in dot.items())
-        return (cosine, lic, sum(tf.values())) if cosine >= LEAST_COSINE else None
-
-    def text(self, text: str | None) -> tuple[str, float, int, int] | None:
-        """(licence, cosine, terms in stating lines, terms) of a text with a statement: that of its best line."""
-        low = (text or "").lower()
-        if not any(a in low for a in self.anchors):
+        self.templates, self.idf, self.rare = templates()
+        self.places: dict[str, list[tuple[int, int]]] = {}  # anchor to the templates and places where it stands
+        for k, x in enumerate(self.templates):
+            for p, t in enumerate(x.terms):
+                if t in x.anchors:
+                    self.places.setdefault(t, []).append((k, p))
+        short = sorted(self.places, key=len)
+        self.hints = [t.replace("license", "licen") if t.endswith("license") else t for i, t in enumerate(short) if not any(s in t for s in short[:i])]
+
+    def cosine(self, k: int, tf: Counter) -> float:
+        """Of the stretch with these terms to a template; 0 if it lacks what the template needs."""
+        x = self.templates[k]
+        if not all(any(t in tf for t in need) for need in x.needs):
+            return 0.0
+        norm = dot = 0.0
+        for t, n in tf.items():
+            w = n * self.idf.get(t, self.rare)
+            norm += w * w
+            dot += w * x.weight.get(t, 0.0)
+        return round(dot / math.sqrt(norm), 6) if norm else 0.0
+
+    def text(self, text: str | None) -> tuple[str, float, int, int, bool] | None:
+        """(licence, cosine, stated terms, terms, whether it is a licence file) of a text with a statement: that of its best stretch; ties go to the longer template, then the later name."""
+        low = (text or "").lower().replace("licence", "license")
+        if not any(h in low for h in self.hints):
             return None
-        found = [s for x in low.split("\n") if self.anchor.search(x) and (s := self.line(x))]
-        if not found:
+        found = re.findall(TERM, low)
+        starts = {(k, max(0, q - p)) for q, t in enumerate(found) for k, p in self.places.get(t, ())}
+        stated, best, opens = bytearray(len(found)), None, False
+        for k, start in sorted(starts):
+            x = self.templates[k]
+            stretch = found[start : start + len(x.terms)]
+            c = self.cosine(k, Counter(stretch))
+            if c >= LEAST_COSINE:
+                stated[start : start + len(stretch)] = b"\1" * len(stretch)
+                best = max(best or (0.0,), (c, len(x.terms), x.licence))
+                opens |= x.kind == "opening" and start <= OPENING_TERMS
+        for k, x in enumerate(self.templates):  # whole files; one much longer than the template can't be like it
+            if x.kind == "file" and starts and len(found) <= 4 * len(x.terms):
+                c = self.cosine(k, Counter(found))
+                if c >= LEAST_COSINE:
+                    opens, best = True, max(best or (0.0,), (c, len(x.terms), x.licence))
+        if best is None:
             return None
-        cosine, lic, _ = max(found)
-        return lic, cosine, sum(n for _, _, n in found), len(self.term.findall(low))
+        n = sum(stated)
+        return best[2], best[0], n, len(found), opens or n >= LICENCE_FILE_SHARE * len(found)
 
 
-def statements(files: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, licence, cosine, stated, words): a row for each row of ``files`` whose text states a licence.
+def statements(files: DataFrame, text: str) -> DataFrame:
+    """The columns of ``files`` but the text, and what each row's text states: licence, cosine, is_file (null, null, false where nothing).
 
-    Texts and lines without a string that a statement must hold are passed over before anything is
-    weighed; the bound behind it is exact. A map over the rows: no shuffle.
+    Texts without a string that a statement must hold are passed over before anything is weighed; the
+    bound behind it is exact. A map over the rows: no shuffle.
     """
-    kind = files.schema[key].dataType.simpleString()
+    carried = [f for f in files.schema.fields if f.name != text]
+    names = [f.name for f in carried]
 
     def task(batches):
         scanner = Scanner()
         for batch in batches:
             for part, texts in slices(batch, text):
-                found = [(i, s) for i, t in enumerate(texts) if (s := scanner.text(t))]
-                if found:
-                    columns = [part.column(key).take(pa.array([i for i, _ in found]))]
-                    columns += [pa.array(c, t) for c, t in zip(zip(*[s for _, s in found], strict=True), (pa.string(), pa.float64(), pa.int64(), pa.int64()), strict=True)]
-                    yield pa.RecordBatch.from_arrays(columns, names=[key, "licence", "cosine", "stated", "words"])
+                found = [scanner.text(t) for t in texts]
+                new = [pa.array([z and z[i] for z in found], t) for i, t in ((0, pa.string()), (1, pa.float64()))] + [pa.array([bool(z and z[4]) for z in found], pa.bool_())]
+                yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + new, names=[*names, "licence", "cosine", "is_file"])
 
-    return files.select(key, text).mapInArrow(task, f"`{key}` {kind}, licence string, cosine double, stated long, words long")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried)
+    return files.mapInArrow(task, f"{kinds}, licence string, cosine double, is_file boolean")
 
 
 def ancestors(directory: Column) -> Column:
@@ -189,30 +155,27 @@ def directory_of(path: Column) -> Column:
     return F.regexp_replace(path, "/?[^/]*$", "")
 
 
-def scan(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """path, licence, origin ('file', 'directory' or 'none'), origin_dir, cosine for every row of ``files``.
+def scan(files: DataFrame, path: str = "path", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """path, licence, origin ('file', 'directory' or 'none'), origin_dir, cosine for every row of ``files``, and the columns to ``carry``.
 
-    ``licence`` is that of the file's best statement, else of the nearest directory at or above it
+    ``licence`` is that of the row's own best statement, else of the nearest directory at or above its path
     with a licence file (ties: the licence that most of its licence files state, then by name), else
     null. Files that state one licence and lie below another keep their own. Null and empty texts
-    state nothing; rows with a null path may state a licence, but inherit none; of repeated rows each is returned, and
-    statements of rows that share a path count for all of them. Paths are first cut to distinct directories, so a directory that holds a third
-    of all files is resolved once. Other columns are ignored.
+    state nothing; rows with a null path may state a licence, but inherit none and hand none on. Rows that
+    share a path (or are repeated) each keep their row and their own statement. Paths are first cut to
+    distinct directories, so a directory that holds a third of all files is resolved once. Other columns
+    are ignored; an empty table gives no rows.
     """
-    rows = files.select(F.col(path).alias("path"), F.col(text).alias("text"))
-    keyed = rows.select("path", F.xxhash64("path").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    best = F.max(F.struct("cosine", "licence", "stated", "words")).alias("z")
-    heads = cut(statements(keyed, "key", "text").groupBy("key").agg(best).select("key", "z.licence", "z.cosine", "z.stated", "z.words"))
-    paths = cut(keyed.select("path", "key", directory_of(F.col("path")).alias("dir")))
+    rows = files.select(F.col(path).alias("path"), F.col(text).alias(fresh(files, "_text")), *carry)
+    placed = cut(statements(rows, fresh(files, "_text")).withColumn("dir", directory_of(F.col("path"))))
     owners = (
-        paths.where(F.col("path").isNotNull())
-        .join(heads.where(F.col("stated") >= LICENCE_FILE_SHARE * F.col("words")), "key")
+        placed.where(F.col("is_file") & F.col("dir").isNotNull())
         .groupBy("dir", "licence")
         .count()
         .groupBy("dir")
         .agg(F.max_by(F.col("licence"), F.struct(F.col("count"), F.col("licence"))).alias("dir_licence"))
     )
-    dirs = paths.where(F.col("dir").isNotNull()).select("dir").distinct()
+    dirs = placed.where(F.col("dir").isNotNull()).select("dir").distinct()
     up = dirs.select("dir", F.explode(ancestors(F.col("dir"))).alias("a"))
     resolved = (
         up.join(owners.withColumnRenamed("dir", "owner"), up["a"]["dir"] == F.col("owner"))
@@ -220,8 +183,8 @@ def scan(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
         .agg(F.max_by(F.struct(F.col("owner"), F.col("dir_licence")), F.col("a")["depth"]).alias("r"))
         .select("dir", F.col("r")["owner"].alias("origin_dir"), F.col("r")["dir_licence"].alias("dir_licence"))
     )
-    placed = cut(join_unique(paths, cut(resolved), "dir", "left"))
-    return join_unique(placed, heads.select("key", "licence", "cosine"), "key", "left").select(
+    return join_unique(placed, cut(resolved), "dir", "left").select(
+        *carry,
         "path",
         F.coalesce("licence", "dir_licence").alias("licence"),
         F.when(F.col("licence").isNotNull(), "file").when(F.col("dir_licence").isNotNull(), "directory").otherwise("none").alias("origin"),
@@ -239,5 +202,4 @@ def document_files(docs: DataFrame) -> DataFrame:
 
 def document_licenses(docs: DataFrame) -> DataFrame:
     """doc_id, path, licence, origin, origin_dir, cosine for every document, placed as ``document_files`` says."""
-    files = document_files(docs)
-    return scan(files.select("path", "text")).select(F.element_at(F.split("path", "/"), -1).try_cast("long").alias("doc_id"), "path", "licence", "origin", "origin_dir", "cosine")
+    return scan(document_files(docs), carry=("doc_id",))

@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentimill.llm.arrow import crc_bucket
 
-#: Longest text that a classifier learns from, in characters; with the row limits it bounds the driver's memory.
-LONGEST = 12_000
+#: Pieces, spread evenly over the whole text, that a longer labelled text is learnt from, and their characters.
+PIECES, PIECE_CHARS = 12, 1000
+
+
+def excerpt(text: Column, pieces: int = PIECES, size: int = PIECE_CHARS) -> Column:
+    """A text of at most ``pieces * size`` characters as it is; of a longer one, that many pieces from its start to its end, a line break between them.
+
+    It bounds what a training row brings to the driver, and leaves no row out for its length. Scores are of whole texts.
+    """
+    n = F.length(text)
+    step = (n - size) / F.lit(float(pieces - 1))
+    spread = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.substring(text, F.floor(i * step).cast("int") + 1, F.lit(size)))
+    return F.when(n <= pieces * size, text).otherwise(F.array_join(spread, "\n"))
 
 
 def sample_labels(labels: DataFrame, label: str, folds: int, held_out: int, per_class: int, classes: tuple[int, ...] = (0, 1)) -> DataFrame:
@@ -34,15 +45,13 @@ def sample_labels(labels: DataFrame, label: str, folds: int, held_out: int, per_
     return out.select("doc_id", "y")
 
 
+def sampled(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, y, text) of sampled ids, one text an id; the ids are few by construction and go to the scan, not the texts to a shuffle."""
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+
+
 def sample_texts(docs: DataFrame, ids: DataFrame) -> list[tuple[str, int]]:
-    """The (text, y) of sampled ids, at most one text an id, in id order; the ids are few by construction and go to the scan, not the texts to a shuffle."""
-    rows = (
-        docs.where(F.col("text").isNotNull() & (F.length("text") <= LONGEST))
-        .select("doc_id", "text")
-        .join(F.broadcast(ids), "doc_id")
-        .groupBy("doc_id", "y")
-        .agg(F.min("text").alias("text"))
-        .orderBy("doc_id")
-        .collect()
-    )
+    """The (text, y) of sampled ids in id order, long texts by ``excerpt``."""
+    rows = sampled(docs, ids).select("doc_id", "y", excerpt(F.col("text")).alias("text")).orderBy("doc_id").collect()
     return [(r["text"], r["y"]) for r in rows]

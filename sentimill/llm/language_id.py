@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentimill.llm.arrow import crc_bucket, map_texts
-from sentimill.llm.labelled import LONGEST
+from sentimill.llm.labelled import excerpt
 
 WINDOW = 192
 WIDTHS = (2, 3, 4)
@@ -22,6 +22,8 @@ FILTERS, EMBED = 16, 6
 UNDETERMINED = "und"
 #: Documents a language learnt from, documents of all languages together (one a language at least), passes over the windows.
 PER_LANGUAGE, SAMPLE, EPOCHS = 300, 18_000, 10
+#: Windows learnt from in a document, spread over the whole text.
+WINDOWS = 12
 
 
 def windows(raw: bytes) -> np.ndarray:
@@ -119,12 +121,11 @@ class Net:
 def train(docs: DataFrame, folds: int = 4, held_out: int = 2, per_language: int = PER_LANGUAGE) -> tuple[list[str], Net]:
     """The net and its languages, from up to ``per_language`` documents each of every language there is; fewer each where SAMPLE is divided among more.
 
-    Rows are drawn by a hash of the id, in one scan, whose size doesn't grow with the table; texts above
-    LONGEST characters are not learnt from. Without any labelled row the net knows only ``und``.
+    Rows are drawn by a hash of id and text, in one scan; equal rows count once, so a repeated row or id
+    brings no more to the driver than others. A text is learnt from in WINDOWS windows spread over all of it,
+    whatever its length. Without any labelled row the net knows only ``und``.
     """
-    usable = docs.where(
-        F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (crc_bucket("doc_id", folds) != held_out) & (F.length("text") <= LONGEST)
-    )
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (crc_bucket("doc_id", folds) != held_out))
     found = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     languages = sorted(found)
     if not found:
@@ -132,9 +133,10 @@ def train(docs: DataFrame, folds: int = 4, held_out: int = 2, per_language: int
     each = max(1, min(per_language, SAMPLE // len(found)))
     # one scan: each language's rows whose hash falls in a share that holds 1.5 times the wanted rows, and of these few the first ones
     shares = usable.sparkSession.createDataFrame([(lang, min(1.0, 1.5 * each / n + 20 / n)) for lang, n in found.items()], "lang string, share double")
-    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("h")
+    hashed = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("h")
     rows = usable.select("lang", "text", hashed).join(F.broadcast(shares), "lang").where(F.col("h") < F.col("share") * (1 << 30))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    rows = rows.groupBy("lang", "h").agg(F.min(excerpt(F.col("text"))).alias("text"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     drawn: dict[str, list] = {lang: [] for lang in languages}
     for r in rows.withColumn("place", first).where(F.col("place") <= each).select("lang", "text", "h").collect():
         drawn[r["lang"]].append(r)
@@ -142,7 +144,7 @@ def train(docs: DataFrame, folds: int = 4, held_out: int = 2, per_language: int
     for k, lang in enumerate(languages):
         for r in sorted(drawn[lang], key=lambda r: (r["h"], r["text"])):
             w = windows(r["text"].encode("utf-8", "replace"))
-            w = w[np.linspace(0, len(w) - 1, min(len(w), 12)).astype(int)]  # spread over the whole text
+            w = w[np.linspace(0, len(w) - 1, min(len(w), WINDOWS)).astype(int)]  # spread over the whole text
             x.append(w)
             y += [k] * len(w)
     xs, ys = np.concatenate(x), np.array(y)

@@ -3,9 +3,11 @@
 The kernel of two words counts the subsequences of three characters that they share, each discounted
 by the length it spans in either word, so that gaps and inserted characters cost a factor and not the
 match; it is normalised by both words' own kernels. Landmark words are drawn from the labelled
-sentences, and a word's Nystroem features are its kernels with them, whitened. A sentence's margin is
-that of its worst word; the machine is trained on sentences by alternating between picking each toxic
-document's witness words and fitting the margins.
+sentences, and a word's Nystroem features are its kernels with them, whitened. A text's margin is
+that of its worst word; the machine is trained by alternating between picking each toxic
+document's witness words and fitting the margins. Plainly toxic words are also taught in altered forms
+(letters and signs put in, letters doubled), and the forms take part in the choice of the threshold, so
+that a word still counts as toxic after one such change.
 
 The decision is linear in the kernels, and a kernel is an inner product over character triples. So the
 trained landmarks fold, without loss, into one weight a triple, and scoring a word needs no pass over
@@ -22,19 +24,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentimill.llm.arrow import crc_bucket, fresh, map_texts
-from sentimill.llm.labelled import sample_labels, sample_texts
+from sentimill.llm.arrow import crc_bucket, fresh, map_texts, slices
+from sentimill.llm.labelled import sample_labels, sampled
 from sentimill.llm.simhash import fingerprint
 
 ORDER = 3
-DECAY = 0.5
+DECAY = 0.7
 #: Codes of characters: 0 stands for what is no letter or digit (it spans, but matches nothing), 1-26 a-z, 27-36 digits, 37-61 other letters by remainder, 62 a word's end, 63 its start.
 ALPHABET = 64
 END, START = b"\x3e", b"\x3f"
-#: A word longer than WIDEST is read as overlapping parts of that length, STRIDE apart.
-WIDEST, STRIDE = 24, 12
+#: A longer word is read as its overlapping pieces of WIDEST characters, STRIDE apart, in training as in scoring.
+WIDEST, STRIDE = 22, 11
 #: Landmarks, sampled documents of each class, and words that a task remembers.
 LANDMARKS, PER_CLASS, MEMO_WORDS = 320, 1500, 400_000
+#: Altered forms of a plainly toxic word: places where a letter is put in, doubled, and a sign is put in; their weight beside that of
+#: the words themselves when the threshold is set.
+INSERTED, DOUBLED, SIGNED = 5, 3, 2
+FORMS_SHARE = 0.5
 #: Evidence (log-likelihood ratio) from which a word is plainly toxic; bits within which sampled documents count as copies.
 PLAINLY, COPY_BITS = 9.0, 12
 #: Digits and signs that stand in for letters, as fixed values.
@@ -42,7 +48,6 @@ STAND_INS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a
 EDGES = "".join(chr(c) for c in range(33, 128) if not chr(c).isalnum()) + "“”‘’«»…–—¿¡"
 SPELT = re.compile(r"(?:(?<=\s)|^)(?:[^\W_][.\-_*,]?\s{1,2}){3,}[^\W_](?=[\s.!?,;:]|$)")
 SPELT_HINT = re.compile(r"(?:^|\s)\w[^\w\s]?\s+\w[^\w\s]?\s+\w[^\w\s]?\s")
-SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
 class _Codes(dict):
@@ -71,12 +76,15 @@ def codes(word: str) -> bytes:
 
 
 def words_of(text: str) -> set[str]:
-    """Distinct lower-cased words without the signs at their edges, and what runs of single spaced-out characters spell."""
+    """Distinct lower-cased words without the signs at their edges, and what runs of single spaced-out characters spell; long words as pieces."""
     text = text.lower()
     out = {w.strip(EDGES) for w in set(text.split())}
     if SPELT_HINT.search(text):
         out.update("".join(c for c in m[0] if c.isalnum()) for m in SPELT.finditer(text))
     out.discard("")
+    for w in [w for w in out if len(w) > WIDEST]:
+        out.remove(w)
+        out.update(w[i : i + WIDEST] for i in range(0, len(w) - WIDEST + STRIDE, STRIDE))
     return out
 
 
@@ -115,15 +123,9 @@ def _norms(c: np.ndarray) -> np.ndarray:
     return np.sqrt((DECAY**2 * same * k[:, :-1, :-1]).sum(axis=(1, 2)))
 
 
-def _parts(c: bytes) -> list[bytes]:
-    if len(c) <= WIDEST:
-        return [c]
-    return [c[i : i + WIDEST] for i in range(0, len(c) - WIDEST + STRIDE, STRIDE)]
-
-
 def sparse(word: str) -> tuple[np.ndarray, np.ndarray]:
     """One word's normalised feature vector as (triple ids, values)."""
-    c = np.frombuffer(_parts(codes(word))[0], np.uint8).astype(np.int64)[None]
+    c = np.frombuffer(codes(word), np.uint8).astype(np.int64)[None]
     if c.shape[1] < ORDER:
         return np.empty(0, np.int64), np.empty(0)
     ids, d = _features(c)
@@ -135,7 +137,7 @@ def sparse(word: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def kernel(a: str, b: str) -> float:
-    """Normalised subsequence kernel of two words (at most WIDEST characters)."""
+    """Normalised subsequence kernel of two words."""
     ia, va = sparse(a)
     ib, vb = sparse(b)
     _, x, y = np.intersect1d(ia, ib, return_indices=True)
@@ -150,15 +152,14 @@ class Model:
         self.bias, self.slope, self.shift = 0.0, 1.0, -1.0
 
     def margins(self, words: list[str]) -> np.ndarray:
-        """Margin of each word: the largest over its parts, and the bias at least, which is what a word without matches has."""
+        """Margin of each word; the bias at least, which is what a word without matches has."""
         out = np.full(len(words), self.bias)
         by_size: dict[int, tuple[list[int], list[bytes]]] = {}
         for i, w in enumerate(words):
             c = codes(w)
-            for part in (c,) if len(c) <= WIDEST else _parts(c):
-                at = by_size.setdefault(len(part), ([], []))
-                at[0].append(i)
-                at[1].append(part)
+            at = by_size.setdefault(len(c), ([], []))
+            at[0].append(i)
+            at[1].append(c)
         for size, (rows, parts) in by_size.items():
             if size < ORDER:
                 continue
@@ -177,12 +178,15 @@ class Model:
     def probability(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -40, 40)))
 
-    def fit(self, texts: list[str], y: list[int], seed: int = 5, rounds: int = 3) -> Model:
-        """Landmarks, Nystroem features, and the alternation of witnesses and margins."""
+    def fit(self, texts: list[str], y: list[int], **how) -> Model:
+        return self.fit_words([sorted(words_of(t)) for t in texts], y, [fingerprint(t.encode("utf-8", "replace")) for t in texts], **how)
+
+    def fit_words(self, words: list[list[str]], y: list[int], prints: list[int], seed: int = 5, rounds: int = 3) -> Model:
+        """Landmarks, Nystroem features, and the alternation of witnesses and margins, from labelled texts' distinct words and SimHashes."""
         r = np.random.default_rng(seed)
-        texts, y = _without_copies(texts, y)
-        docs = [sorted({w for s in SENTENCE.split(t) for w in words_of(s) if ORDER <= len(w) <= WIDEST}) for t in texts]
-        y = np.array(y)
+        kept = _without_copies(prints)
+        words, y = [words[i] for i in kept], np.array([y[i] for i in kept])
+        docs = [[w for w in d if len(w) >= ORDER] for d in words]
         held: dict[str, list[int]] = {}
         for d, label in zip(docs, y, strict=True):
             for w in d:
@@ -209,10 +213,10 @@ class Model:
         names = list(dict.fromkeys(toxic + suspects + clean + [x for xs in altered.values() for x in xs]))
         place = {w: i for i, w in enumerate(names)}
         vectors = [sparse(w) for w in names]
-        # a word weighs as the share of its class's documents that have it, an altered form a part of its word's
+        # a word weighs as the share of its class's documents that have it, its altered forms together as much
         weight = np.array([held[w][1] / n[1] if held.get(w, (0, 0))[1] and not held[w][0] or w in set(toxic) else held[w][0] / n[0] if w in held else 0.0 for w in names])
         for w, xs in altered.items():
-            weight[[place[x] for x in xs]] = 0.3 * held[w][1] / n[1]
+            weight[[place[x] for x in xs]] = held[w][1] / n[1] / max(1, len(xs))
         negative = np.zeros(len(names), bool)
         negative[[place[w] for w in clean]] = True
         witness = {place[w] for w in toxic}
@@ -238,13 +242,21 @@ class Model:
         beta = whiten @ v
         self.triples[used] = (basis.T @ beta).astype(np.float32)
         self.bias = float(bias)
-        self._calibrate(self.document_margins(texts), y)
+        margin = self._worst(words, {})
+        forms = [x for w in sorted(sure) for x in altered.get(w, ())]
+        counted = np.full(len(y), 1 / len(y))
+        if forms:
+            counted = np.append(counted, np.full(len(forms), FORMS_SHARE * share / len(forms)))
+            margin, y = np.append(margin, self.margins(forms)), np.append(y, np.ones(len(forms), int))
+        self._calibrate(margin, y, counted)
         return self
 
     def document_margins(self, texts: list[str | None], memo: dict[str, float] | None = None) -> np.ndarray:
         """The margin of each text's worst word over all its sentences; texts without words have the bias."""
         memo = {} if memo is None else memo
-        sets = [words_of(t) if t else set() for t in texts]
+        return self._worst([words_of(t) if t else set() for t in texts], memo)
+
+    def _worst(self, sets: list, memo: dict[str, float]) -> np.ndarray:
         new = list(set().union(*sets).difference(memo)) if sets else []
         if len(memo) + len(new) > MEMO_WORDS:
             memo.clear()
@@ -255,10 +267,9 @@ class Model:
             memo.clear()
         return out
 
-    def _calibrate(self, margin: np.ndarray, y: np.ndarray) -> None:
-        """A logistic of the documents' margins, by Newton steps."""
+    def _calibrate(self, margin: np.ndarray, y: np.ndarray, c: np.ndarray) -> None:
+        """A logistic of weighted margins, by Newton steps."""
         f = np.stack([margin, np.ones(len(y))], axis=1)
-        c = np.full(len(y), 1 / max(1, len(y)))
         w = np.array([2.0, 0.0])
         for _ in range(40):
             p = 1 / (1 + np.exp(-np.clip(f @ w, -30, 30)))
@@ -267,21 +278,25 @@ class Model:
         self.slope, self.shift = max(float(w[0]), 0.5), float(w[1])
 
 
-def _without_copies(texts: list[str], y: list[int]) -> tuple[list[str], list[int]]:
-    """One of each group of near copies in the sample: a copied text would make its chance words look toxic."""
-    prints = np.array([fingerprint(t.encode("utf-8", "replace")) for t in texts], np.uint64)
+def _without_copies(prints: list[int]) -> list[int]:
+    """Places of one of each group of near copies in the sample: a copied text would make its chance words look toxic."""
+    prints = np.array(prints, np.uint64)
     keep: list[int] = []
-    for i in range(len(texts)):
+    for i in range(len(prints)):
         if not keep or int(np.bitwise_count(prints[keep] ^ prints[i]).min()) > COPY_BITS:
             keep.append(i)
-    return [texts[i] for i in keep], [y[i] for i in keep]
+    return keep
 
 
 def _altered(word: str, r: np.random.Generator) -> list[str]:
-    """Forms of a word with a sign or a letter put in, one place each."""
-    at = int(r.integers(1, len(word)))
-    other = "abcdefghijklmnopqrstuvwxyz"[int(r.integers(26))]
-    return [word[:at] + "." + word[at:], ".".join(word), word[:at] + other + word[at:]] if len(word) > ORDER else []
+    """Forms of a word with a letter put in, a letter doubled or a sign put in at one place, and one with a sign at all places."""
+    n = len(word)
+    if n <= ORDER:
+        return []
+    places = lambda most, k: sorted({int(x) for x in r.integers(1, most, k)})
+    out = [word[:at] + chr(97 + int(r.integers(26))) + word[at:] for at in places(n, INSERTED)]
+    out += [word[:at] + word[at - 1] + word[at:] for at in places(n + 1, DOUBLED)]
+    return [*out, *(word[:at] + "." + word[at:] for at in places(n, SIGNED)), ".".join(word)]
 
 
 def _nystroem(landmarks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -323,11 +338,23 @@ def _svm(x: np.ndarray, t: np.ndarray, weight: np.ndarray, c: float = 300.0, ste
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, per_class: int = PER_CLASS) -> Model:
-    """A model from up to ``per_class`` labelled documents of each class outside the held-out fold; with one class or none every score is the same."""
-    sample = sample_texts(docs, sample_labels(labels, "toxic", folds, held_out, per_class))
-    if len({y for _, y in sample}) < 2:
+    """A model from up to ``per_class`` labelled documents of each class outside the held-out fold; with one class or none every score is the same.
+
+    Whole texts are learnt from, whatever their length: tasks reduce them to their distinct words, and only those reach the driver.
+    """
+
+    def task(batches):
+        for batch in batches:
+            for part, texts in slices(batch, "text"):
+                words = pa.array(["\n".join(sorted(words_of(t))) for t in texts], pa.string())
+                prints = pa.array(np.array([fingerprint(t.encode("utf-8", "replace")) for t in texts], np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), words, prints], names=["doc_id", "y", "words", "print"])
+
+    sample = sampled(docs, sample_labels(labels, "toxic", folds, held_out, per_class))
+    rows = sample.mapInArrow(task, f"doc_id {sample.schema['doc_id'].dataType.simpleString()}, y int, words string, print long").orderBy("doc_id").collect()
+    if len({r["y"] for r in rows}) < 2:
         return Model()
-    return Model().fit([t for t, _ in sample], [y for _, y in sample])
+    return Model().fit_words([r["words"].split("\n") if r["words"] else [] for r in rows], [r["y"] for r in rows], [r["print"] % (1 << 64) for r in rows])
 
 
 def score(docs: DataFrame, model: Model, into: str = "score", keep: bool = False) -> DataFrame:

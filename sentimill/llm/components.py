@@ -35,7 +35,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
 
     Alternating stars: every node's larger neighbours are hung on the smallest node it sees, then
     the smaller ones with it, until nothing moves; the number of rounds is logarithmic in the longest
-    path. Each round's edges are cut to checkpoint files. A hub's links are split by ``join_unique``.
+    path. Each round's edges are cut to checkpoint files. Rounds beyond
+    ``most_rounds`` (2^40 links in a path need no more) are an error, never a part of the answer. A hub's links are split by ``join_unique``.
     """
     pairs = cut(
         edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
@@ -54,6 +55,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         pairs = cut(hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         if _mark(pairs) == before:
             break
+    else:
+        raise RuntimeError(f"components: links still move after {most_rounds} rounds")
     nodes = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 

@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sentimill.llm.arrow import fresh, slices
 
@@ -440,7 +441,7 @@ def flagged(docs: DataFrame, benchmark: DataFrame, column: str, text: str = "tex
 def _searched(rows: DataFrame, block: Block, item_kind: str, text: str, keep: list[str], into: str = "found") -> DataFrame:
     """Columns ``keep`` of ``rows``, and ``into``: what each text leaks of the block."""
     shared = rows.sparkSession.sparkContext.broadcast(block)
-    item_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_kind]
+    item_type = to_arrow_type(rows.sparkSession.range(0).select(F.lit(None).cast(item_kind).alias("i")).schema["i"].dataType)
     kinds = pa.struct([("item_id", item_type), ("distance", pa.int32()), ("item_chars", pa.int32()), ("leak_end", pa.int64())])
 
     def task(batches):

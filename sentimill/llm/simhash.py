@@ -215,15 +215,18 @@ def links(distinct: DataFrame) -> DataFrame:
 
         for batch in batches:
             rows = np.stack([batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in names], axis=1)
-            held.append(rows)
-            rows = np.concatenate(held)
+            if not len(rows):
+                continue
             last = np.flatnonzero((rows[:-1, :4] != rows[1:, :4]).any(axis=1))
-            if len(last):  # all groups but the last are whole
-                yield from out(rows[: last[-1] + 1])
-                rows = rows[last[-1] + 1 :]
-            held = [rows]
+            cut_at = last[-1] + 1 if len(last) else 0
+            if held and (cut_at or (held[-1][-1, :4] != rows[0, :4]).any()):  # all groups but the last are whole
+                yield from out(np.concatenate([*held, rows[:cut_at]]))
+                held = []
+            elif cut_at:
+                yield from out(rows[:cut_at])
+            held.append(rows[cut_at:])
         if held:
-            yield from out(held[0])
+            yield from out(np.concatenate(held))
 
     return dealt.select(*names).mapInArrow(task, "a long, b long")
 

@@ -1,9 +1,12 @@
-"""Near copies by the likeness of their word shingles: MinHash bands for candidates, exact Jaccard before a link.
+"""Near copies by SimHash and the exact likeness of their word shingles, for the pipeline.
 
-A text is the set of its five-word shingles. Texts with the same set are one node. Nodes that agree in all
-rows of one of the bands share a bucket; two sets of Jaccard 0.8 share one with probability
-1 - (1 - 0.8^4)^16 = 0.9998, more alike ones with more. No pair is linked but by the exact Jaccard of its
-sets, and every pair that shares a bucket is linked, found too unlike, or in one component already.
+A text is the set of its five-word shingles. Texts with the same set are one node. The sets' SimHashes meet
+in ``simhash``'s trie join, and each of its components is a bucket of candidates. Four differing bits of 64
+stand for a Jaccard of about 0.95, so the fingerprints alone would miss the pairs down to 0.8; for those,
+nodes that agree in all rows of one of some MinHash bands share a bucket too, which two sets of Jaccard 0.8
+do with probability 1 - (1 - 0.8^4)^16 = 0.9998, more alike ones with more. No pair is linked but by the
+exact Jaccard of its sets, and every pair that shares a bucket is linked, found too unlike, or in one
+component already.
 
 Bounds. In every bucket the members are first compared with one of them, which takes as many pairs as
 members; buckets whose members then are in one component need no more. Only pairs in different
@@ -19,6 +22,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from sentimill.llm.arrow import slices
+from sentimill.llm import simhash
 from sentimill.llm.components import components, join_unique
 from sentimill.sources.shared import cut
 
@@ -64,8 +68,16 @@ def bands(found: np.ndarray) -> np.ndarray:
     return out
 
 
+def print_of(found: np.ndarray) -> int:
+    """SimHash of a set of shingles: a bit is 1 if more than half of their hashes have it."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(found), 65_536):
+        counts += np.unpackbits(found[i : i + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(found), bitorder="little").view(np.uint64)[0])
+
+
 def _hashed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, node, n, keys, text): the set's digest, its size and its band keys for every row."""
+    """(doc_id, node, n, keys, fp, text): the set's digest, its size, its band keys and its SimHash for every row."""
 
     def task(batches):
         for batch in batches:
@@ -74,11 +86,12 @@ def _hashed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 nodes = np.array([xxh64_intdigest(s.tobytes()) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
                 keys = np.concatenate([bands(s) for s in sets]).view(np.int64)
                 ends = pa.array(np.arange(0, len(keys) + 1, BANDS, dtype=np.int32))
-                columns = [part.column("doc_id"), pa.array(nodes), pa.array(np.array([len(s) for s in sets], np.int32)), pa.ListArray.from_arrays(ends, pa.array(keys)), part.column("text")]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n", "keys", "text"])
+                prints = pa.array(np.array([print_of(s) for s in sets], np.uint64).view(np.int64))
+                columns = [part.column("doc_id"), pa.array(nodes), pa.array(np.array([len(s) for s in sets], np.int32)), pa.ListArray.from_arrays(ends, pa.array(keys)), prints, part.column("text")]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n", "keys", "fp", "text"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(task, f"doc_id {kind}, node long, n int, keys array<long>, text binary")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(task, f"doc_id {kind}, node long, n int, keys array<long>, fp long, text binary")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -109,8 +122,10 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def links(hashed: DataFrame) -> DataFrame:
     """(a, b): node pairs whose components are those of all pairs that share a bucket and are alike enough. Give ``hashed`` cut."""
-    nodes = cut(hashed.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys")))
-    rows = cut(nodes.select("node", "n", F.explode("keys").alias("bucket")))
+    nodes = cut(hashed.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("fp").alias("fp")))
+    near = cut(components(simhash.links(cut(nodes.select("fp").distinct()))).select(F.col("node").alias("fp"), "root"))
+    by_print = join_unique(cut(nodes.select("node", "n", "fp")), near, "fp", "left").select("node", "n", F.xxhash64(F.coalesce("root", "fp"), F.lit("print")).alias("bucket"))
+    rows = cut(nodes.select("node", "n", F.explode("keys").alias("bucket")).unionByName(by_print))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min_by("node", F.struct("n", "node")).alias("star"), F.min("n").alias("star_n")).where("c > 1").drop("c")
     members = cut(join_unique(rows, cut(shared), "bucket"))
     wanted = cut(members.select("node").distinct())

@@ -15,6 +15,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ UNLIKE = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0250-\u200f\u2028-\U0010ff
 LATIN = {"\\p{L}": "[^\\W\\d_]", "[^\\s\\p{L}\\p{N}]": "(?:[^\\s\\w]|_)", "\\p{N}": "\\d"}
 #: Pieces and token pairs that a task remembers before it starts afresh.
 MEMO_PIECES, MEMO_PAIRS = 400_000, 400_000
+#: Ids decoded at a time (one longer text makes a run of its own).
+DECODED_IDS = 2_000_000
 
 
 def read_ranks(lines: list[str]) -> dict[bytes, int]:
@@ -205,8 +208,11 @@ def decode(df: DataFrame, ranks_file: str, ids: str = "ids") -> DataFrame:
         begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         heap = np.frombuffer(b"".join(table), np.uint8)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            lengths = pc.fill_null(pc.list_value_length(batch.column(ids)), 0).to_numpy(zero_copy_only=False)
+            run = (np.cumsum(lengths, dtype=np.int64) - lengths) // DECODED_IDS  # rows by the ids before them
+            edges = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), batch.num_rows]
+            for at, end in zip(edges[:-1], edges[1:], strict=True):
+                part = batch.slice(at, end - at)
                 decoded = []
                 for row in part.column(ids):
                     k = row.values.to_numpy(zero_copy_only=False).astype(np.int64) if row.is_valid else np.empty(0, np.int64)

@@ -84,12 +84,14 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, doc_id: st
     A map over the rows: no shuffle, memory of one Arrow batch. Null and empty texts count 0 bytes
     and 0 tokens; repeated rows and null ids are counted row by row; other columns are ignored.
     """
-    single = docs.sparkSession.sparkContext.broadcast(prove(model_file))
+    with open(model_file, "rb") as f:
+        shared = docs.sparkSession.sparkContext.broadcast((f.read(), prove(model_file)))  # executors need not have the file
 
     def start():
         import sentencepiece
 
-        counts = _Counts(sentencepiece.SentencePieceProcessor(model_file=model_file), single.value)
+        model, single = shared.value
+        counts = _Counts(sentencepiece.SentencePieceProcessor(model_proto=model), single)
         return lambda texts: {"n_tokens": pa.array([count_text(counts, t) for t in texts], pa.int64())}
 
     rows = docs.select(

@@ -17,6 +17,7 @@ the landmarks.
 from __future__ import annotations
 
 import re
+import sys
 from itertools import combinations
 
 import numpy as np
@@ -212,7 +213,7 @@ class Model:
         altered = {w: [x for x in _altered(w, r) if x not in held] for w in toxic}
         names = list(dict.fromkeys(toxic + suspects + clean + [x for xs in altered.values() for x in xs]))
         place = {w: i for i, w in enumerate(names)}
-        vectors = [sparse(w) for w in names]
+        vectors = [(i.astype(np.int32), v.astype(np.float32)) for i, v in map(sparse, names)]
         # a word weighs as the share of its class's documents that have it, its altered forms together as much
         weight = np.array([held[w][1] / n[1] if held.get(w, (0, 0))[1] and not held[w][0] or w in set(toxic) else held[w][0] / n[0] if w in held else 0.0 for w in names])
         for w, xs in altered.items():
@@ -222,14 +223,15 @@ class Model:
         witness = {place[w] for w in toxic}
         for turn in range(rounds):
             used, basis, whiten = _nystroem(landmarks)
-            x = _kernels(vectors, used, basis) @ whiten
+            x = None  # one matrix at a time
+            x = _whitened(vectors, used, basis, whiten)
             sure = {names[i] for i in witness}
             positive = np.zeros(len(names), bool)
             positive[list(witness)] = True
             positive[[place[z] for w, xs in altered.items() if w in sure for z in xs]] = True
             usable = positive | negative
-            v, bias = _svm(x[usable], np.where(positive[usable], 1.0, -1.0), weight[usable])
-            margin = x @ v + bias
+            v, bias = _svm(x, np.where(positive, 1.0, -1.0), np.where(usable, weight, 0.0))
+            margin = x @ np.append(v, bias)
             found = {place[w] for w in toxic}
             for d, label in zip(docs, y, strict=True):
                 at = [place[w] for w in d if label and w in place and not negative[place[w]]]
@@ -310,30 +312,37 @@ def _nystroem(landmarks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return used, basis, axes / np.sqrt(np.maximum(values, 1e-3))  # of nearly equal landmarks only the shared direction counts
 
 
-def _kernels(vectors: list[tuple[np.ndarray, np.ndarray]], used: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """Kernels of words with the landmarks."""
-    out = np.zeros((len(vectors), len(basis)))
-    for i, (ids, v) in enumerate(vectors):
-        at = np.searchsorted(used, ids)
-        ok = (at < len(used)) & (used[np.minimum(at, len(used) - 1)] == ids)
-        out[i] = basis[:, at[ok]] @ v[ok]
+def _whitened(vectors: list[tuple[np.ndarray, np.ndarray]], used: np.ndarray, basis: np.ndarray, whiten: np.ndarray, step: int = 2000) -> np.ndarray:
+    """Nystroem features of words, some rows at a time, and a constant."""
+    out = np.ones((len(vectors), len(basis) + 1))
+    for at in range(0, len(vectors), step):
+        part = vectors[at : at + step]
+        k = np.zeros((len(part), len(basis)))
+        for i, (ids, v) in enumerate(part):
+            place = np.searchsorted(used, ids)
+            ok = (place < len(used)) & (used[np.minimum(place, len(used) - 1)] == ids)
+            k[i] = basis[:, place[ok]] @ v[ok]
+        out[at : at + step, :-1] = k @ whiten
     return out
 
 
-def _svm(x: np.ndarray, t: np.ndarray, weight: np.ndarray, c: float = 300.0, steps: int = 40) -> tuple[np.ndarray, float]:
-    """Linear machine with squared hinge loss by Newton steps on the primal."""
-    f = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+def _svm(f: np.ndarray, t: np.ndarray, weight: np.ndarray, c: float = 300.0, steps: int = 40) -> tuple[np.ndarray, float]:
+    """Linear machine with squared hinge loss by Newton steps on the primal; the last feature is constant, rows of no weight take no part."""
     w = np.zeros(f.shape[1])
     ridge = np.eye(f.shape[1]) * 0.05
     ridge[-1, -1] = 1e-6
     active = None
     for _ in range(steps):
-        now = 1 - t * (f @ w) > 0
+        now = (1 - t * (f @ w) > 0) & (weight > 0)
         if active is not None and np.array_equal(now, active):
             break
         active = now
-        a = f[now] * (c * weight[now])[:, None]
-        w = np.linalg.solve(ridge + a.T @ f[now], a.T @ t[now])
+        left, right = ridge.copy(), np.zeros(f.shape[1])
+        for at in np.array_split(np.flatnonzero(now), 1 + int(now.sum()) // 2000):
+            a = f[at] * (c * weight[at])[:, None]
+            left += a.T @ f[at]
+            right += a.T @ t[at]
+        w = np.linalg.solve(left, right)
     return w[:-1], float(w[-1])
 
 
@@ -354,7 +363,10 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0,
     rows = sample.mapInArrow(task, f"doc_id {sample.schema['doc_id'].dataType.simpleString()}, y int, words string, print long").orderBy("doc_id").collect()
     if len({r["y"] for r in rows}) < 2:
         return Model()
-    return Model().fit_words([r["words"].split("\n") if r["words"] else [] for r in rows], [r["y"] for r in rows], [r["print"] % (1 << 64) for r in rows])
+    y, prints = [r["y"] for r in rows], [r["print"] % (1 << 64) for r in rows]
+    words = [[sys.intern(w) for w in r["words"].split("\n")] if r["words"] else [] for r in rows]  # texts share their words' memory
+    del rows
+    return Model().fit_words(words, y, prints)
 
 
 def score(docs: DataFrame, model: Model, into: str = "score", keep: bool = False) -> DataFrame:

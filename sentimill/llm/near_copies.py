@@ -10,7 +10,7 @@ component already.
 
 Bounds. In every bucket the members are first compared with one of them, which takes as many pairs as
 members; buckets whose members then are in one component need no more. Only pairs in different
-components of a bucket are compared one by one.
+components of a bucket are compared one by one; sizes that can't be that alike are never compared.
 """
 
 from __future__ import annotations
@@ -120,37 +120,49 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return cut(both.where(shared * OF >= (F.size("sa") + F.size("sb") - shared) * LIKE).select("a", "b"))
 
 
+def _buckets(rows: DataFrame) -> DataFrame:
+    """Rows (node, n, bucket) of buckets with several nodes, each with one of them as ``star``: the shortest, which the others may contain."""
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min_by("node", F.struct("n", "node")).alias("star"), F.min("n").alias("star_n"))
+    return cut(join_unique(rows, cut(shared.where("c > 1").drop("c")), "bucket"))
+
+
+def _to_star(members: DataFrame) -> DataFrame:
+    return members.where((F.col("node") != F.col("star")) & _fits(F.col("n"), F.col("star_n"))).select(F.least("star", "node").alias("a"), F.greatest("star", "node").alias("b")).distinct()
+
+
+def _with_roots(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, n, bucket, root) of what buckets are left with more than one component by the links found."""
+    roots = cut(components(found).select("node", "root"))
+    rooted = cut(join_unique(members.select("node", "n", "bucket"), roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
+    return cut(join_unique(rooted, mixed, "bucket"))
+
+
 def links(hashed: DataFrame) -> DataFrame:
-    """(a, b): node pairs whose components are those of all pairs that share a bucket and are alike enough. Give ``hashed`` cut."""
+    """(a, b): node pairs whose components are those of all pairs that share a bucket and are alike enough. Give ``hashed`` cut.
+
+    The SimHash buckets go first: they join most copies, each by one comparison, and the bands then compare only nodes of different components.
+    """
     nodes = cut(hashed.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("fp").alias("fp")))
     near = cut(components(simhash.links(cut(nodes.select("fp").distinct()))).select(F.col("node").alias("fp"), "root"))
-    by_print = join_unique(cut(nodes.select("node", "n", "fp")), near, "fp", "left").select("node", "n", F.xxhash64(F.coalesce("root", "fp"), F.lit("print")).alias("bucket"))
-    rows = cut(nodes.select("node", "n", F.explode("keys").alias("bucket")).unionByName(by_print))
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min_by("node", F.struct("n", "node")).alias("star"), F.min("n").alias("star_n")).where("c > 1").drop("c")
-    members = cut(join_unique(rows, cut(shared), "bucket"))
-    wanted = cut(members.select("node").distinct())
-    texts = join_unique(cut(hashed.select("node", "text")), wanted, "node").groupBy("node").agg(F.first("text").alias("text"))
+    by_print = _buckets(cut(join_unique(nodes.select("node", "n", "fp"), near, "fp", "left").select("node", "n", F.coalesce("root", "fp").alias("bucket"))))
+    by_band = _buckets(cut(nodes.select("node", "n", F.explode("keys").alias("bucket"))))
+    wanted = cut(by_print.select("node").union(by_band.select("node")).distinct())
+    texts = join_unique(hashed.select("node", "text"), wanted, "node").groupBy("node").agg(F.first("text").alias("text"))
     sets = cut(_sets(texts))
-    members = members.withColumn("root", F.col("node")).withColumn("star_root", F.col("star"))
-    found = None
-    for turn in range(STARS + 1):
-        if turn < STARS:
-            apart = members.where((F.col("root") != F.col("star_root")) & _fits(F.col("n"), F.col("star_n")))
-            pairs = apart.select(F.least("star", "node").alias("a"), F.greatest("star", "node").alias("b")).distinct()
-        else:
-            a = members.select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-            b = members.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-            pairs = a.join(b, "bucket").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _fits(F.col("na"), F.col("nb"))).select("a", "b").distinct()
-        new = _alike(pairs, sets)
-        found = new if found is None else cut(found.unionByName(new))
-        if turn == STARS:
-            return found
-        roots = cut(components(found).select("node", "root"))
-        members = cut(join_unique(cut(members.select("node", "n", "bucket")), roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-        # what is left: buckets of more than one component; the next member to compare with is of another component than the first
-        mixed = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("star_root"), F.max_by(F.struct("node", "n"), F.struct("root", "node")).alias("z"))
-        mixed = cut(mixed.where("low != star_root").select("bucket", "star_root", F.col("z.node").alias("star"), F.col("z.n").alias("star_n")))
-        members = cut(join_unique(members, mixed, "bucket"))
+    found = _alike(_to_star(by_print), sets)
+    members = _with_roots(by_band, found)
+    for _ in range(STARS):
+        # the bucket's star is of its largest root; the others are compared with it
+        star = members.groupBy("bucket").agg(F.max_by(F.struct("node", "n", "root"), F.struct("root", -F.col("n"), "node")).alias("z"))
+        star = cut(star.select("bucket", F.col("z.node").alias("star"), F.col("z.n").alias("star_n"), F.col("z.root").alias("star_root")))
+        new = _alike(_to_star(join_unique(members, star, "bucket").where("root != star_root")), sets)
+        found = cut(found.unionByName(new))
+        members = _with_roots(members, found)
+    a = members.select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    b = members.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+    left = a.join(b, "bucket").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _fits(F.col("na"), F.col("nb"))).select("a", "b").distinct()
+    return cut(found.unionByName(_alike(left, sets)))
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

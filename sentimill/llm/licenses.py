@@ -1,8 +1,8 @@
 """License scans: TF-IDF cosine to licence templates, then inheritance from the nearest directory.
 
 Templates are header statements, whole licence files, and the opening blocks of the long licences, as
-sparse TF-IDF vectors. A stretch of a text as long as a template, laid so that a tell-tale term of the
-template stands at its place, states the licence if its cosine to the template is high enough; lines and
+sparse TF-IDF vectors. A stretch of a text as long as a template, laid so that a mark of the
+template (a rarer term) stands at its place, states the licence if its cosine to the template is high enough; lines and
 comment signs don't matter, so wrapped and embedded statements count. Where a template names a version,
 the stretch must name it too. A text most of which is stated, that as a whole is like a licence's file,
 or that opens like one, is a licence file and speaks for its directory. A file that states nothing
@@ -27,12 +27,13 @@ from sentimill.sources.shared import cut
 
 #: A term is a run of letters or digits, dots and signs within allowed ("2.0", "by-nc").
 TERM = r"[a-z0-9]+(?:[.\-][a-z0-9]+)*"
+_TERM = re.compile(TERM)
 #: A stretch states a licence from this cosine; a file is a licence file from this share of stated terms, or if it opens like one within so many terms.
 LEAST_COSINE, LICENCE_FILE_SHARE, OPENING_TERMS = 0.75, 0.5, 25
 
 
 def terms(text: str) -> list[str]:
-    return re.findall(TERM, text.lower().replace("licence", "license"))
+    return _TERM.findall(text.lower().replace("licence", "license"))
 
 
 class Template:
@@ -50,16 +51,34 @@ class Template:
             self.needs.append(frozenset({"license", "licenses", "licensed"}))
 
     def weigh(self, idf: dict[str, float]) -> None:
-        norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in self.tf.items()))
-        self.weight = {t: n * idf[t] / norm for t, n in self.tf.items()}
-        # a stretch at LEAST_COSINE shares terms of at least its square in squared weight, so it holds one of any terms that leave
-        # less than that to the others; long words and numbers go first, as they are rare in other texts
-        rest, self.anchors = 1.0, []
-        for t in sorted(self.weight, key=lambda t: (-len(t) - 6 * (len(t) > 2 and any(c.isdigit() for c in t)), t)):
-            if rest < LEAST_COSINE**2:
+        self.weight = unit({t: damped(n) * idf[t] for t, n in self.tf.items()})
+        # a stretch at LEAST_COSINE shares terms of at least its square in squared weight; so of the marks it holds what the other
+        # terms can't make up for, and at least so many of them. Long words and numbers are marks, as they are rare in other texts.
+        mass = {t: w * w for t, w in self.weight.items()}
+        rarity = lambda t: len(t) + 6 * (len(t) > 2 and any(c.isdigit() for c in t))
+        self.marks: set[str] = set()
+        held = 0.0
+        for t in sorted(mass, key=lambda t: (-rarity(t), t)):
+            if rarity(t) < 6 and held > 1 - LEAST_COSINE**2:
                 break
-            rest -= self.weight[t] ** 2
-            self.anchors.append(t)
+            self.marks.add(t)
+            held += mass[t]
+        wanted, self.least = LEAST_COSINE**2 - (1 - held) - 1e-9, 0
+        for m in sorted((mass[t] for t in self.marks), reverse=True):
+            if wanted <= 0:
+                break
+            wanted -= m
+            self.least += 1
+        self.least = max(1, self.least)
+
+
+def damped(n: int) -> float:
+    return 1 + math.log(n)
+
+
+def unit(weights: dict[str, float]) -> dict[str, float]:
+    norm = math.sqrt(sum(w * w for w in weights.values()))
+    return {t: w / norm for t, w in weights.items()}
 
 
 def templates() -> tuple[list[Template], dict[str, float], float]:
@@ -77,13 +96,11 @@ class Scanner:
 
     def __init__(self):
         self.templates, self.idf, self.rare = templates()
-        self.places: dict[str, list[tuple[int, int]]] = {}  # anchor to the templates and places where it stands
+        self.marked: dict[str, list[int]] = {}  # mark to the templates that it marks
         for k, x in enumerate(self.templates):
-            for p, t in enumerate(x.terms):
-                if t in x.anchors:
-                    self.places.setdefault(t, []).append((k, p))
-        short = sorted(self.places, key=len)
-        self.hints = [t.replace("license", "licen") if t.endswith("license") else t for i, t in enumerate(short) if not any(s in t for s in short[:i])]
+            for t in sorted(x.marks):
+                self.marked.setdefault(t, []).append(k)
+        self.marks = frozenset(self.marked)
 
     def cosine(self, k: int, tf: Counter) -> float:
         """Of the stretch with these terms to a template; 0 if it lacks what the template needs."""
@@ -92,18 +109,19 @@ class Scanner:
             return 0.0
         norm = dot = 0.0
         for t, n in tf.items():
-            w = n * self.idf.get(t, self.rare)
+            w = damped(n) * self.idf.get(t, self.rare)
             norm += w * w
             dot += w * x.weight.get(t, 0.0)
         return round(dot / math.sqrt(norm), 6) if norm else 0.0
 
     def text(self, text: str | None) -> tuple[str, float, int, int, bool] | None:
         """(licence, cosine, stated terms, terms, whether it is a licence file) of a text with a statement: that of its best stretch; ties go to the longer template, then the later name."""
-        low = (text or "").lower().replace("licence", "license")
-        if not any(h in low for h in self.hints):
+        found = terms(text or "")
+        near = Counter(k for t in self.marks.intersection(found) for k in self.marked[t])
+        near = {k for k, n in near.items() if n >= self.templates[k].least}
+        if not near:
             return None
-        found = re.findall(TERM, low)
-        starts = {(k, max(0, q - p)) for q, t in enumerate(found) for k, p in self.places.get(t, ())}
+        starts = self.starts(found, near)
         stated, best, opens = bytearray(len(found)), None, False
         for k, start in sorted(starts):
             x = self.templates[k]
@@ -114,7 +132,7 @@ class Scanner:
                 best = max(best or (0.0,), (c, len(x.terms), x.licence))
                 opens |= x.kind == "opening" and start <= OPENING_TERMS
         for k, x in enumerate(self.templates):  # whole files; one much longer than the template can't be like it
-            if x.kind == "file" and starts and len(found) <= 4 * len(x.terms):
+            if x.kind == "file" and k in near and len(found) <= 4 * len(x.terms):
                 c = self.cosine(k, Counter(found))
                 if c >= LEAST_COSINE:
                     opens, best = True, max(best or (0.0,), (c, len(x.terms), x.licence))
@@ -124,11 +142,30 @@ class Scanner:
         return best[2], best[0], n, len(found), opens or n >= LICENCE_FILE_SHARE * len(found)
 
 
+    def starts(self, found: list[str], near: set[int]) -> set[tuple[int, int]]:
+        """(template, start) of the stretches in which enough marks stand, laid so that one of them stands at its place."""
+        at: dict[int, list[int]] = {}
+        for q, t in enumerate(found):
+            for k in self.marked.get(t, ()):
+                if k in near:
+                    at.setdefault(k, []).append(q)
+        out = set()
+        for k, places in at.items():
+            x = self.templates[k]
+            m, dense = x.least - 1, set()
+            for i in range(len(places) - m):
+                if places[i + m] - places[i] < len(x.terms):
+                    dense.update(places[i : i + m + 1])
+            for q in dense:
+                out.update((k, max(0, q - p)) for p, t in enumerate(x.terms) if t == found[q])
+        return out
+
+
 def statements(files: DataFrame, text: str) -> DataFrame:
     """The columns of ``files`` but the text, and what each row's text states: licence, cosine, is_file (null, null, false where nothing).
 
-    Texts without a string that a statement must hold are passed over before anything is weighed; the
-    bound behind it is exact. A map over the rows: no shuffle.
+    Stretches without enough of the terms that a statement must hold are passed over before anything is
+    weighed; the bound behind it is exact. A map over the rows: no shuffle.
     """
     carried = [f for f in files.schema.fields if f.name != text]
     names = [f.name for f in carried]

@@ -558,8 +558,8 @@ def test_licences_by_brute_force(spark):
             n = len(x.terms)
             stretches = [found[i : i + n] for i in range(max(1, len(found)))] + ([found] if x.kind == "file" and len(found) <= 4 * n else [])
             for tf in map(Counter, stretches):
-                norm = math.sqrt(sum((c * idf.get(t, rare)) ** 2 for t, c in tf.items()))
-                c = round(sum(c * idf.get(t, rare) * x.weight.get(t, 0.0) for t, c in tf.items()) / norm, 6) if norm else 0
+                norm = math.sqrt(sum(((1 + math.log(c)) * idf.get(t, rare)) ** 2 for t, c in tf.items()))
+                c = round(sum((1 + math.log(c)) * idf.get(t, rare) * x.weight.get(t, 0.0) for t, c in tf.items()) / norm, 6) if norm else 0
                 if c >= licenses.LEAST_COSINE and all(need & set(tf) for need in x.needs):
                     best = max(best or (0,), (c, n, x.licence))
         return best

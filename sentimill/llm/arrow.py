@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of text that a task handles at a time (one longer text makes a slice of its own).
-SLICE_CHARS = 4_000_000
+#: Bytes of text that a task handles at a time, and at most one text more.
+SLICE_BYTES = 1_000_000
 
 
 def crc_bucket(doc_id: str, n: int) -> Column:
@@ -29,18 +31,15 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Zero-copy runs of rows with their texts (null: None), each run within ``limit`` characters where rows allow."""
-    values = batch.column(column).to_pylist()
-    start, held = 0, 0
-    for i, value in enumerate(values):
-        size = len(value) if value is not None else 0
-        if i > start and held + size > limit:
-            yield batch.slice(start, i - start), values[start:i]
-            start, held = i, 0
-        held += size
-    if start < len(values):
-        yield batch.slice(start), values[start:]
+def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Zero-copy runs of rows with their texts (null: None), each of about ``limit`` bytes of text; only a run's texts are Python objects at a time."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    run = (np.cumsum(sizes) - sizes) // limit  # rows by the bytes before them
+    edges = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), batch.num_rows]
+    for start, end in zip(edges[:-1], edges[1:], strict=True):
+        if end > start:
+            part = batch.slice(start, end - start)
+            yield part, part.column(column).to_pylist()
 
 
 def map_texts(df: DataFrame, text: str, schema: str, start: Callable[[], Callable]) -> DataFrame:

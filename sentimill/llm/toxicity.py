@@ -37,7 +37,7 @@ END, START = b"\x3e", b"\x3f"
 #: A longer word is read as its overlapping pieces of WIDEST characters, STRIDE apart, in training as in scoring.
 WIDEST, STRIDE = 22, 11
 #: Landmarks, sampled documents of each class, and words that a task remembers.
-LANDMARKS, PER_CLASS, MEMO_WORDS = 320, 1500, 400_000
+LANDMARKS, PER_CLASS, MEMO_WORDS = 320, 1500, 150_000
 #: Altered forms of a plainly toxic word: places where a letter is put in, doubled, and a sign is put in; their weight beside that of
 #: the words themselves when the threshold is set.
 INSERTED, DOUBLED, SIGNED = 5, 3, 2

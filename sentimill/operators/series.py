@@ -36,8 +36,9 @@ def aligned_series(tone: DataFrame, closes: DataFrame, key: str) -> DataFrame:
     days = closes.where(F.col("close") > 0).select(key, "d", F.col("d").alias("session"), F.lit(1).alias("side"), F.lit(None).cast("double").alias("tone"), F.lit(None).cast("double").alias("volume"))
     covered = tone.where(F.col("tone").isNotNull() & (F.col("volume").isNull() | (F.col("volume") > 0)))
     news = covered.select(key, "d", F.lit(None).cast(closes.schema["d"].dataType).alias("session"), F.lit(0).alias("side"), "tone", "volume")
-    ahead = Window.partitionBy(key).orderBy("d", "side").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    placed = days.unionByName(news).withColumn("session", F.first("session", ignorenulls=True).over(ahead)).where(F.col("side") == 0)
+    # from the last day back, so that the frame only grows and the pass is linear
+    ahead = Window.partitionBy(key).orderBy(F.desc("d"), F.desc("side")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = days.unionByName(news).withColumn("session", F.last("session", ignorenulls=True).over(ahead)).where(F.col("side") == 0)
     w = F.coalesce("volume", F.lit(1.0))
     folded = placed.where(F.col("session").isNotNull()).groupBy(key, F.col("session").alias("d")).agg((F.sum(F.col("tone") * w) / F.sum(w)).alias("tone"))
     return rets.join(folded, [key, "d"], "left").select(key, "d", "tone", "ret_pct")

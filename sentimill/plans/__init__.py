@@ -1,6 +1,6 @@
 """Queries over the given tables, each beside the SQL that states its result."""
 
-from sentimill.plans import facts, markets, signals, texts, tone
+from sentimill.plans import facts, markets, readings, signals, texts, tone
 
-QUERIES = {**tone.QUERIES, **markets.QUERIES, **texts.QUERIES, **facts.QUERIES, **signals.QUERIES}
-ORACLES = {**tone.ORACLES, **markets.ORACLES, **texts.ORACLES, **facts.ORACLES, **signals.ORACLES}
+QUERIES = {**tone.QUERIES, **markets.QUERIES, **texts.QUERIES, **facts.QUERIES, **signals.QUERIES, **readings.QUERIES}
+ORACLES = {**tone.ORACLES, **markets.ORACLES, **texts.ORACLES, **facts.ORACLES, **signals.ORACLES, **readings.ORACLES}

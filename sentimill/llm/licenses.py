@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentimill.llm.arrow import fresh, slices
-from sentimill.llm.components import join_unique
+from sentimill.operators.components import join_unique
 from sentimill.llm.license_texts import FILES, HEADERS, OPENINGS
 from sentimill.sources.shared import cut
 

@@ -23,7 +23,7 @@ from xxhash import xxh64_intdigest
 
 from sentimill.llm.arrow import slices
 from sentimill.llm import simhash
-from sentimill.llm.components import components, join_unique
+from sentimill.operators.components import components, join_unique
 from sentimill.sources.shared import cut
 
 WORDS = 5

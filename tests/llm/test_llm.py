@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from sentimill.llm import byte_bpe, decontaminate, html_text, imatch, language_id, licenses, line_quality, simhash, token_counts, toxicity
-from sentimill.llm.components import components
+from sentimill.operators.components import components
 from sentimill.sources import table
 
 SF = "/root/testdata/sf0.001"

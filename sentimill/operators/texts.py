@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sentimill.functions import lexicon as L
+from sentimill.operators.components import components, join_unique
 from sentimill.sources.shared import cut
 
 WORD = r"[a-z][a-z0-9']*"
@@ -49,41 +50,65 @@ def normal_form(text: Column) -> Column:
 
 
 def collapse_exact(items: DataFrame, text: str, order: list[Column], source: str, item: str) -> DataFrame:
-    """One row per normal form: the first item by ``order``, the number of copies, and the distinct sources.
+    """One row per normal form (its digest, so that no text is a shuffle key): the first item by ``order``, the number of copies, and the distinct sources.
 
     An aggregate, not a window: a text with very many copies is reduced before it is shuffled.
     """
-    grouped = items.withColumn("form", normal_form(F.col(text))).where(F.col("form") != "")
+    form = normal_form(F.col(text))
+    grouped = items.withColumn("form", F.when(form != "", F.md5(form.cast("binary")))).where(F.col("form").isNotNull())
     return grouped.groupBy("form").agg(F.min_by(item, F.struct(*order)).alias(item), F.count(F.lit(1)).alias("copies"), F.count_distinct(source).alias("sources"))
 
 
-def near_duplicate_links(items: DataFrame, item: str, text: str, least: float = LEAST_JACCARD) -> DataFrame:
-    """(a, b) items, one per distinct token set, whose token sets have Jaccard ``least`` or more: an exact prefix-filter join.
+def token_sets(items: DataFrame, item: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(item, rep) of every item with a word, rep being the smallest item of the same token set; and (rep, n, tokens) of every set, tokens as hashes. Both are cut.
+
+    Sets are told apart by 128 bits of hash, so no text or token list is a shuffle key.
+    """
+    tokens = F.array_sort(F.array_distinct(F.transform(words(F.col(text)), lambda w: F.xxhash64(w))))
+    rows = cut(items.select(item, tokens.alias("tokens")).where(F.size("tokens") > 0).select(item, "tokens", F.xxhash64("tokens").alias("h"), F.xxhash64(F.lit(1), "tokens").alias("g")))
+    sets = cut(rows.groupBy("h", "g").agg(F.min(item).alias("rep"), F.first("tokens").alias("tokens")).withColumn("n", F.size("tokens")))
+    of = cut(rows.groupBy("h", "g", item).count().select(item, F.struct("h", "g").alias("k")))
+    return join_unique(of, sets.select(F.struct("h", "g").alias("k"), "rep"), "k").select(item, "rep"), sets.select("rep", "n", "tokens")
+
+
+def _set_links(sets: DataFrame, least: float) -> DataFrame:
+    """(a, b, jaccard) of sets: an exact prefix-filter join.
 
     Tokens are ordered from the rarest; two sets of such likeness share a token among the first
-    n - ceil(least n) + 1 of each, and their sizes differ by no more than the likeness allows. So only
-    items that share a rare token and fit in size become candidates.
+    n - ceil(least n) + 1 of each, their sizes differ by no more than the likeness allows, and behind the
+    places of that token enough is left in both. Only pairs that pass all three are compared.
     """
-    sets = cut(
-        items.select(item, F.array_sort(F.array_distinct(words(F.col(text)))).alias("tokens")).where(F.size("tokens") > 0)
-        .groupBy("tokens").agg(F.min(item).alias(item))
-    )
-    df = sets.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    ranked = (
-        sets.select(item, F.explode("tokens").alias("t")).join(df, "t")
-        .groupBy(item).agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("r"))
-        .select(item, F.transform("r", lambda z: z["t"]).alias("tokens"))
-    )
+    at = sets.select("rep", "n", F.explode("tokens").alias("t"))
+    df = cut(at.groupBy("t").agg(F.count(F.lit(1)).alias("df")))
+    ranked = at.join(df, "t").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("r")).select("rep", F.transform("r", lambda z: z["t"]).alias("tokens"))
     ranked = cut(ranked.withColumn("n", F.size("tokens")))
-    prefix = ranked.withColumn("p", F.explode(F.slice("tokens", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int")))).select(item, "n", "p")
-    a = prefix.select(F.col(item).alias("a"), F.col("n").alias("na"), "p")
-    b = prefix.select(F.col(item).alias("b"), F.col("n").alias("nb"), "p")
-    pairs = a.join(b, "p").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least)).select("a", "b").distinct()
-    ta, tb = ranked.select(F.col(item).alias("a"), F.col("tokens").alias("ta")), ranked.select(F.col(item).alias("b"), F.col("tokens").alias("tb"))
+    prefix = cut(ranked.select("rep", "n", F.posexplode(F.slice("tokens", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int"))).alias("i", "p")))
+    a = prefix.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), "p")
+    b = prefix.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), "p")
+    fits = F.least("na", "nb") >= F.greatest("na", "nb") * least
+    left = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= (F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-9
+    # the first shared token only: the one with nothing shared before it has the least places, and all that is left stands behind it
+    pairs = cut(a.join(b, "p").where((F.col("a") < F.col("b")) & fits).groupBy("a", "b").agg(F.min(F.struct("ia", "ib", "na", "nb")).alias("z")).select("a", "b", "z.*").where(left).select("a", "b"))
+    ta, tb = ranked.select(F.col("rep").alias("a"), F.col("tokens").alias("ta")), ranked.select(F.col("rep").alias("b"), F.col("tokens").alias("tb"))
     shared = F.size(F.array_intersect("ta", "tb"))
     return pairs.join(ta, "a").join(tb, "b").where(shared >= least * (F.size("ta") + F.size("tb") - shared)).select("a", "b", (shared / (F.size("ta") + F.size("tb") - shared)).alias("jaccard"))
 
 
+def near_duplicate_links(items: DataFrame, item: str, text: str, least: float = LEAST_JACCARD) -> DataFrame:
+    """(a, b, jaccard) of items, one per distinct token set, whose token sets have Jaccard ``least`` or more; ``near_duplicate_groups`` has every item."""
+    return _set_links(token_sets(items, item, text)[1], least)
+
+
+def near_duplicate_groups(items: DataFrame, item: str, text: str, least: float = LEAST_JACCARD) -> DataFrame:
+    """(item, group, rep, links): for every item with a word the smallest item reachable by links, the smallest one of its token set, and the links of that set."""
+    of, sets = token_sets(items, item, text)
+    found = cut(_set_links(sets, least))
+    roots = cut(components(found).select(F.col("node").alias("rep"), F.col("root").alias("group")))
+    ends = found.select(F.col("a").alias("rep")).unionByName(found.select(F.col("b").alias("rep")))
+    known = roots.join(ends.groupBy("rep").agg(F.count(F.lit(1)).alias("links")), "rep")
+    return join_unique(cut(of), cut(known), "rep", "left").select(item, F.coalesce("group", "rep").alias("group"), "rep", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def first_wins(items: DataFrame, batch: str, url: str, title: str, order: str) -> DataFrame:
     """Rows of each batch kept in order unless a kept row before has the same url or the same title.
 
@@ -187,8 +212,10 @@ def impact(coverage: Column, intensity: Column, age_hours: Column) -> Column:
 def quota_topk(items: DataFrame, key: str, must: Column, media: Column, weight: Column, tie: str, most: int) -> DataFrame:
     """Up to ``most`` items a key: all that ``must`` stay, media up to half, then the heaviest rest."""
     cls = F.when(must, 0).when(media, 1).otherwise(2)
-    w = Window.partitionBy(key, "_class").orderBy(F.desc("_weight"), tie)
+    order = [F.desc("_weight"), F.col(tie)]
+    place = F.row_number().over(Window.partitionBy(key, "_class").orderBy(*order))
+    # of each class no more than ``most`` can be among the chosen, so each is cut before they meet
+    ranked = items.withColumns({"_class": cls, "_weight": weight}).withColumn("_place", place).where(F.col("_place") <= most)
     quota = F.when((F.col("_class") == 1) & (F.col("_place") > most // 2), 2).otherwise(F.col("_class"))
-    ranked = items.withColumns({"_class": cls, "_weight": weight}).withColumn("_place", F.row_number().over(w)).withColumn("_class", quota)
-    last = F.row_number().over(Window.partitionBy(key).orderBy("_class", F.desc("_weight"), tie))
-    return ranked.withColumn("place", last).where(F.col("place") <= most).drop("_class", "_place", "_weight")
+    last = F.row_number().over(Window.partitionBy(key).orderBy("_class", *order))
+    return ranked.withColumn("_class", quota).withColumn("place", last).where(F.col("place") <= most).drop("_class", "_place", "_weight")

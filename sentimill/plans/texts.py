@@ -56,7 +56,7 @@ def meaningful_filter(spark, sf):
 @query(f"SELECT md5(array_to_string({WORDS.format('text')}, ' ')) AS form, min(doc_id) AS doc_id, count(*) AS copies, count(DISTINCT source) AS sources FROM documents WHERE len({WORDS.format('text')}) > 0 GROUP BY 1")
 def exact_dedupe_collapse(spark, sf):
     c = X.collapse_exact(table(spark, sf, "documents"), "text", [F.col("doc_id")], "source", "doc_id")
-    return c.select(F.md5(F.col("form").cast("binary")).alias("form"), "doc_id", "copies", "sources")
+    return c.select("form", "doc_id", "copies", "sources")
 
 
 @query(
@@ -68,6 +68,16 @@ def near_duplicate_links(spark, sf):
     return X.near_duplicate_links(table(spark, sf, "documents"), "doc_id", "text").select("a", "b", r6("jaccard").alias("jaccard"))
 
 
+@query(
+    f"""WITH RECURSIVE m AS (SELECT doc_id, list_sort(list_distinct({WORDS.format('text')})) AS tokens FROM documents), s AS (SELECT min(doc_id) AS i, tokens FROM m WHERE len(tokens) > 0 GROUP BY tokens),
+e AS (SELECT i, len(tokens) AS n, unnest(tokens) AS t FROM s), j AS (SELECT a.i AS a, b.i AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM e a JOIN e b ON a.t = b.t AND a.i <> b.i GROUP BY 1, 2),
+l AS (SELECT a, b FROM j WHERE k >= 0.8 * (na + nb - k)), r AS (SELECT a AS i, a AS g FROM l UNION SELECT l.b, r.g FROM r JOIN l ON l.a = r.i), g AS (SELECT i, min(g) AS g FROM r GROUP BY 1), c AS (SELECT a AS i, count(*) AS links FROM l GROUP BY 1)
+SELECT m.doc_id, coalesce(g.g, s.i) AS "group", s.i AS rep, coalesce(c.links, 0) AS links FROM m JOIN s ON s.tokens = m.tokens LEFT JOIN g ON g.i = s.i LEFT JOIN c ON c.i = s.i"""
+)
+def near_duplicate_groups(spark, sf):
+    return X.near_duplicate_groups(table(spark, sf, "documents"), "doc_id", "text")
+
+
 @query()
 def first_wins_dedupe(spark, sf):
     p = table(spark, sf, "pages").select("page_id", S.domain(F.col("url")).alias("batch"), F.regexp_extract("url", r"^[^?#]*", 0).alias("url"), F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("title"))

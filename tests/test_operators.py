@@ -3,11 +3,13 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sentimill.functions import scalars as S
 from sentimill.operators import alerts, alignment, series, stories, texts
+from sentimill.operators.components import components
 
 
 def one(spark, **columns):
@@ -147,3 +149,25 @@ def test_parsing(spark):
         "signs": "\"It's\" - fine...", "words": 2, "none": 0, "shout": False, "calm": False, "ask": True, "roundup": True, "tags": True, "cash": 1.0, "bare": 0.9, "named": 0.8, "not_": 0.0, "capped": 0.4,
         "award": "award", "sale": "sell", "other": "other", "bear": "bear", "bull": "bull", "who": "Jane M. Doe", "plain": "Jane Doe", "share": "BRK.B", "coin": "BTC-USD", "index": "^GSPC",
     }
+
+
+@pytest.mark.parametrize("block", [10, 40, 250_000])
+@pytest.mark.parametrize("as_text", [False, True])
+def test_components_in_blocks_and_rounds(spark, block, as_text):
+    """Few and many blocks give the same roots as joining edge after edge; chains, stars, loops, repeats and null ends."""
+    rng = np.random.default_rng(7)
+    edges = [(i, i + 1) for i in range(30)] + [(500, i) for i in range(501, 560)] + [(int(a), int(b)) for a, b in rng.integers(1000, 1120, (60, 2))] + [(3, 3), (7, 8), (8, 7)]
+    name = (lambda x: f"é{x}") if as_text else (lambda x: x)
+    edges = [(name(a), name(b)) for a, b in edges]
+    root = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in root:
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    kind = "string" if as_text else "long"
+    got = components(spark.createDataFrame([*edges, (None, edges[0][0]), (edges[0][0], None)], f"a {kind}, b {kind}"), block=block).collect()
+    assert len(got) == len(root) and {r["node"]: r["root"] for r in got} == root
+
+
+def test_components_of_no_edges(spark):
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0

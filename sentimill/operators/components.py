@@ -66,7 +66,9 @@ def _contracted(pairs: DataFrame, blocks: int) -> DataFrame:
         hung = np.flatnonzero(label != np.arange(len(label)))
         yield pa.RecordBatch.from_arrays([nodes.take(pa.array(hung)), nodes.take(pa.array(label[hung]))], names=["u", "v"])
 
-    return pairs.repartition(blocks, "u", "v").mapInArrow(task, pairs.schema)
+    # one block is one task whatever partitions the session deals keys to: several would leave trees apart
+    dealt = pairs.coalesce(1) if blocks == 1 else pairs.repartition(blocks, "u", "v")
+    return dealt.mapInArrow(task, pairs.schema)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 40, block: int = BLOCK) -> DataFrame:

@@ -8,16 +8,16 @@ do with probability 1 - (1 - 0.8^4)^16 = 0.9998, more alike ones with more. No p
 exact Jaccard of its sets, and every pair that shares a bucket is linked, found too unlike, or in one
 component already.
 
-Bounds. In every bucket the members are first compared with one of them, which takes as many pairs as
-members; buckets whose members then are in one component need no more. Only pairs in different
-components of a bucket are compared one by one; sizes that can't be that alike are never compared.
+Bounds. In every bucket the members are first compared with a few of them, a fixed number of pairs a
+member and round; buckets whose members then are in one component need no more. What is left of the others
+meets by rare shingles it shares, an exact bound; sizes that can't be that alike are never compared.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -30,8 +30,8 @@ WORDS = 5
 #: Jaccard of a link as a ratio of whole numbers, so that no pair hangs on rounding.
 LIKE, OF = 4, 5
 BANDS, ROWS = 16, 4
-#: Rounds in which a bucket's members are compared with one of them, before the pairs that are left.
-STARS = 2
+#: Rounds in which a bucket's members are compared with at most so many of them, before the pairs that are left.
+ROUNDS, STARS = 2, 4
 #: Shingles hashed by all rows at a time.
 CHUNK = 4096
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -130,6 +130,41 @@ def _to_star(members: DataFrame) -> DataFrame:
     return members.where((F.col("node") != F.col("star")) & _fits(F.col("n"), F.col("star_n"))).select(F.least("star", "node").alias("a"), F.greatest("star", "node").alias("b")).distinct()
 
 
+def _to_stars(members: DataFrame, k: int) -> DataFrame:
+    """(a, b): members of each bucket with each of up to STARS of them, where they are in different components and may be alike.
+
+    The stars of a bucket are drawn by a hash of bucket, node and round ``k``, so that a node meets others in each of its buckets.
+    """
+    draw = F.xxhash64("bucket", "node", F.lit(k))
+    drawn = members.groupBy("bucket", F.pmod(draw, F.lit(STARS)).alias("slot")).agg(F.min_by(F.struct("node", "n", "root"), draw).alias("z"))
+    stars = cut(drawn.groupBy("bucket").agg(F.collect_list("z").alias("stars")))
+    met = join_unique(members, stars, "bucket").select("node", "n", "root", F.explode("stars").alias("z"))
+    met = met.where((F.col("root") != F.col("z.root")) & _fits(F.col("n"), F.col("z.n")))
+    return met.select(F.least("z.node", "node").alias("a"), F.greatest("z.node", "node").alias("b")).distinct()
+
+
+def _by_rare_shingles(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): of the nodes of ``members``, all pairs of different components that can be alike enough.
+
+    Alike sets share at least ceil(0.8 n) shingles of the n of either one, so with all shingles in one order, here the
+    rarest first, they share one of the first n - ceil(0.8 n) + 1 of each. Shingles of one node fill these places first,
+    so texts alike by a common passage alone, with other words of their own, give no pairs. Under a shingle the members
+    of its largest component are not paired with each other.
+    """
+    nodes = cut(members.select("node", "n", "root").distinct())
+    told = cut(join_unique(nodes, sets, "node").select("node", "n", "root", F.explode("s").alias("t")))
+    common = cut(told.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+    order = Window.partitionBy("node").orderBy("c", "t")
+    ranked = join_unique(told, common, "t").withColumns({"at": F.row_number().over(order), "m": F.count(F.lit(1)).over(Window.partitionBy("node"))})
+    first = cut(ranked.where(F.col("at") <= F.col("m") - F.expr(f"({LIKE} * n + {OF - 1}) div {OF}") + 1).select("t", "node", "n", "root"))
+    parts = first.groupBy("t", "root").agg(F.count(F.lit(1)).alias("c"))
+    mixed = cut(parts.groupBy("t").agg(F.max_by("root", F.struct("c", "root")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts"))
+    under = cut(join_unique(first, mixed, "t"))
+    a = under.where("root != largest").select("t", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
+    both = a.join(under.select("t", "node", "n", "root"), "t").where((F.col("rx") != F.col("root")) & _fits(F.col("nx"), F.col("n")))
+    return both.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+
+
 def _with_roots(members: DataFrame, found: DataFrame) -> DataFrame:
     """(node, n, bucket, root) of what buckets are left with more than one component by the links found."""
     roots = cut(components(found).select("node", "root"))
@@ -152,17 +187,11 @@ def links(hashed: DataFrame) -> DataFrame:
     sets = cut(_sets(texts))
     found = _alike(_to_star(by_print), sets)
     members = _with_roots(by_band, found)
-    for _ in range(STARS):
-        # the bucket's star is of its largest root; the others are compared with it
-        star = members.groupBy("bucket").agg(F.max_by(F.struct("node", "n", "root"), F.struct("root", -F.col("n"), "node")).alias("z"))
-        star = cut(star.select("bucket", F.col("z.node").alias("star"), F.col("z.n").alias("star_n"), F.col("z.root").alias("star_root")))
-        new = _alike(_to_star(join_unique(members, star, "bucket").where("root != star_root")), sets)
+    for k in range(ROUNDS):
+        new = _alike(_to_stars(members, k), sets)
         found = cut(found.unionByName(new))
         members = _with_roots(members, found)
-    a = members.select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    b = members.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    left = a.join(b, "bucket").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _fits(F.col("na"), F.col("nb"))).select("a", "b").distinct()
-    return cut(found.unionByName(_alike(left, sets)))
+    return cut(found.unionByName(_alike(_by_rare_shingles(members, sets), sets)))
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -109,3 +109,41 @@ def test_near_copies_beyond_a_few_bits(spark):
     kept = {x["doc_id"] for x in P.keep_one_of_near_copies(spark, docs, SF).collect()}
     assert links > 40 and len(set(want)) < len(texts)
     assert kept == set(want)
+
+
+def test_pairs_by_rare_shingles(spark):
+    """Of sets with common passages, chains and tiny sets, no alike pair of different components is left out, and none within a component is given."""
+    r = random.Random(3)
+    pool = list(range(1000, 1040))
+    sets = [set(r.sample(pool, r.choice([1, 4, 20, 35]))) for _ in range(60)] + [set(pool) | {2000 + 9 * i + j for j in range(i % 12)} for i in range(40)] + [{5 * i + j for j in range(5)} for i in range(20)]
+    nodes = [(10 + i, len(s), 10 + r.randrange(i + 1)) for i, s in enumerate(sets)]
+    members = spark.createDataFrame([(*x, b) for x in nodes for b in (1, 2)], "node long, n int, root long, bucket long")
+    found = {(x["a"], x["b"]) for x in near_copies._by_rare_shingles(members, spark.createDataFrame([(10 + i, sorted(s)) for i, s in enumerate(sets)], "node long, s array<long>")).collect()}
+    root = {x[0]: x[2] for x in nodes}
+    alike = {
+        (10 + j, 10 + i)
+        for i in range(len(sets))
+        for j in range(i)
+        if root[10 + i] != root[10 + j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+    }
+    assert len(alike) > 50 and alike <= found
+    assert all(a < b and root[a] != root[b] for a, b in found)
+    assert not any(a >= 110 for a, _ in found)  # sets that share nothing
+
+
+def test_near_copies_with_common_passage(spark):
+    """Texts that share a long passage but have words of their own stay apart; a large group of altered copies is one group; against all pairs."""
+    r = random.Random(21)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=6))
+    passage, base = [word() for _ in range(60)], [word() for _ in range(120)]
+    texts = [" ".join([*passage, *(word() for _ in range(r.choice([5, 20, 40])))]) for _ in range(60)]
+    for _ in range(60):
+        copy = list(base)
+        for _ in range(r.choice([1, 2, 3])):
+            copy[r.randrange(len(copy))] = word()
+        texts.append(" ".join(copy))
+    sets = [slow_shingles(t) for t in texts]
+    want = slow_groups(sets)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {x["doc_id"]: x["component_id"] for x in near_copies.near_copies(docs).collect()}
+    assert got == dict(enumerate(want)) and len(set(want)) > 40 and max(map(want.count, want)) > 40

@@ -148,20 +148,23 @@ def _by_rare_shingles(members: DataFrame, sets: DataFrame) -> DataFrame:
 
     Alike sets share at least ceil(0.8 n) shingles of the n of either one, so with all shingles in one order, here the
     rarest first, they share one of the first n - ceil(0.8 n) + 1 of each. Shingles of one node fill these places first,
-    so texts alike by a common passage alone, with other words of their own, give no pairs. Under a shingle the members
-    of its largest component are not paired with each other.
+    so texts alike by a common passage alone, with other words of their own, give no pairs. The first shingle that two
+    sets share must leave enough places behind it in both. Under a shingle the members of its largest component are not
+    paired with each other.
     """
     nodes = cut(members.select("node", "n", "root").distinct())
     told = cut(join_unique(nodes, sets, "node").select("node", "n", "root", F.explode("s").alias("t")))
     common = cut(told.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
     order = Window.partitionBy("node").orderBy("c", "t")
     ranked = join_unique(told, common, "t").withColumns({"at": F.row_number().over(order), "m": F.count(F.lit(1)).over(Window.partitionBy("node"))})
-    first = cut(ranked.where(F.col("at") <= F.col("m") - F.expr(f"({LIKE} * n + {OF - 1}) div {OF}") + 1).select("t", "node", "n", "root"))
+    ranked = ranked.withColumn("rest", F.col("m") - F.col("at") + 1)  # places from this one on
+    first = cut(ranked.where(F.col("rest") >= F.expr(f"({LIKE} * n + {OF - 1}) div {OF}")).select("t", "node", "n", "root", "rest"))
     parts = first.groupBy("t", "root").agg(F.count(F.lit(1)).alias("c"))
     mixed = cut(parts.groupBy("t").agg(F.max_by("root", F.struct("c", "root")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts"))
     under = cut(join_unique(first, mixed, "t"))
-    a = under.where("root != largest").select("t", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-    both = a.join(under.select("t", "node", "n", "root"), "t").where((F.col("rx") != F.col("root")) & _fits(F.col("nx"), F.col("n")))
+    a = under.where("root != largest").select("t", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), F.col("rest").alias("rest_x"))
+    enough = F.least("rest_x", "rest") * (LIKE + OF) >= (F.col("nx") + F.col("n")) * LIKE
+    both = a.join(under.select("t", "node", "n", "root", "rest"), "t").where((F.col("rx") != F.col("root")) & enough)
     return both.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
 
 

@@ -169,5 +169,13 @@ def test_components_in_blocks_and_rounds(spark, block, as_text):
     assert len(got) == len(root) and {r["node"]: r["root"] for r in got} == root
 
 
+def test_components_where_keys_are_dealt_wider(spark, monkeypatch):
+    """The last block's roots don't hang on how many partitions the session gives a key."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    plain = type(edges).repartition
+    monkeypatch.setattr(type(edges), "repartition", lambda self, n, *keys: plain(self, max(n, 16), *keys))
+    assert {r["root"] for r in components(edges).collect()} == {0}
+
+
 def test_components_of_no_edges(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0

@@ -33,13 +33,23 @@ def fresh(df: DataFrame, name: str) -> str:
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Zero-copy runs of rows with their texts (null: None), each of about ``limit`` bytes of text; only a run's texts are Python objects at a time."""
+    for part in runs(batch, column, limit):
+        yield part, part.column(column).to_pylist()
+
+
+def raw_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """As ``slices``, with the texts' bytes (null: none)."""
+    for part in runs(batch, column, limit):
+        yield part, [x or b"" for x in part.column(column).cast(pa.binary()).to_pylist()]
+
+
+def runs(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     run = (np.cumsum(sizes) - sizes) // limit  # rows by the bytes before them
     edges = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), batch.num_rows]
     for start, end in zip(edges[:-1], edges[1:], strict=True):
         if end > start:
-            part = batch.slice(start, end - start)
-            yield part, part.column(column).to_pylist()
+            yield batch.slice(start, end - start)
 
 
 def map_texts(df: DataFrame, text: str, schema: str, start: Callable[[], Callable]) -> DataFrame:

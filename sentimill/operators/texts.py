@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import math
-import re
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sentimill.functions import lexicon as L
 from sentimill.operators.components import components, join_unique
@@ -141,69 +137,6 @@ def keywords(items: DataFrame, key: str, item: str, text: str, most: int = 15) -
     return df.withColumn("rank", rank).where(F.col("rank") <= most)
 
 
-SCORED = T.StructType([
-    T.StructField("score", T.DoubleType()), T.StructField("label", T.StringType()), T.StructField("confidence", T.DoubleType()),
-    T.StructField("drivers", T.ArrayType(T.StringType())), T.StructField("events", T.ArrayType(T.StringType())), T.StructField("themes", T.ArrayType(T.StringType())),
-])
-_PLAIN = re.compile(r"[a-z]+")
-_TOKEN = re.compile(r"[a-z][a-z'’]*|[.;:!?\n]")
-#: Starts of words without which no event pattern can hold; most texts have none.
-_EVENT_HINT = re.compile(
-    r"\b(?:beat|top|exceed|miss|rais|cut|lower|slash|upgrad|downgrad|acqui|merger|takeover|buyout|buyback|repurchas|suspend|sue|lawsuit|class action|probe"
-    r"|investigat|subpoena|layoff|job cuts|approv|cleared|recall|bankrupt|chapter 11|insolven|share|stock)"
-)
-_DIRECTIONS = frozenset(L.UP) | frozenset(L.DOWN)
-_EVENTS = {k: (p, re.compile(rx)) for k, (p, rx) in L.EVENTS.items()}
-_THEMES = {k: frozenset(v.split()) for k, v in L.THEMES.items()}
-
-
-def evidence(text: str) -> list[tuple[str, float]]:
-    """Signed evidence of a text: each direction word with what stands before it in its clause."""
-    out, negated, factor, scale = [], 0, 1.0, 1.0
-    for t in _TOKEN.findall(text):
-        if t in ".;:!?\n":
-            negated, factor = 0, 1.0
-        elif t in L.CONTRAST:  # what comes after a contrast is what is meant
-            out = [(w, v * 0.6) for w, v in out]
-            negated, factor = 0, 1.0
-        elif t in L.NEGATORS:
-            negated = 4
-        elif t in L.STRONGER or t in L.WEAKER:
-            factor = L.STRONGER.get(t) or L.WEAKER[t]
-        else:
-            v = L.UP.get(t, 0.0) - L.DOWN.get(t, 0.0)
-            if v:
-                out.append((t, v * factor * scale * (-0.7 if negated > 0 else 1.0)))
-                factor = 1.0
-            negated -= 1
-    return out
-
-
-def score_text(text: str | None) -> tuple[float, str, float, list[str], list[str], list[str]]:
-    """(score, label, confidence, drivers, events, themes) of one text; a question counts half, repeats less and less."""
-    low = (text or "").lower().replace("’", "'")
-    kinds = set(_PLAIN.findall(low))
-    found = evidence(low) if kinds & _DIRECTIONS else []
-    folded: dict[str, float] = {}
-    for w, v in found:
-        folded[w] = folded.get(w, 0.0) * 0.5 + v  # repeats add less and less
-    raw = sum(folded.values()) * (0.5 if low.rstrip().endswith("?") else 1.0)
-    score = math.tanh(raw / 4.0)
-    label = "bullish" if score > 0.05 else "bearish" if score < -0.05 else "neutral"
-    mass = sum(abs(v) for v in folded.values())
-    confidence = min(1.0, mass / 6.0) * (abs(sum(folded.values())) / mass) if mass else 0.0
-    drivers = [w for w, _ in sorted(folded.items(), key=lambda z: (-abs(z[1]), z[0]))[:5]]
-    events = [k for k, (_, rx) in _EVENTS.items() if rx.search(low)] if _EVENT_HINT.search(low) else []
-    hits = [(-len(kinds & ws), i, k) for i, (k, ws) in enumerate(_THEMES.items()) if kinds & ws]
-    return score, label, confidence, drivers, events, [k for _, _, k in sorted(hits)[:4]]
-
-
-@F.pandas_udf(SCORED)
-def scored(text: pd.Series) -> pd.DataFrame:
-    """``score_text`` over Arrow batches."""
-    return pd.DataFrame([score_text(t) for t in text], columns=[f.name for f in SCORED.fields])
-
-
 def impact(coverage: Column, intensity: Column, age_hours: Column) -> Column:
     """Coverage x (0.5 + 0.5 x intensity) x freshness of a story."""
     return coverage * (0.5 + 0.5 * intensity) * F.pow(F.lit(0.5), age_hours / 72.0)

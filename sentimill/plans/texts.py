@@ -95,24 +95,6 @@ def keyword_df(spark, sf):
     return X.keywords(c, "role", "item", "text").select("role", "term", "df")
 
 
-@query()
-def text_scoring(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", X.scored("text").alias("z"))
-    return d.select("doc_id", r6("z.score").alias("score"), F.col("z.label").alias("label"), r6("z.confidence").alias("confidence"), F.array_join("z.drivers", ",").alias("drivers"))
-
-
-@query()
-def event_detection(spark, sf):
-    c = table(spark, sf, "conversations").select("conv_id", "turn", X.scored("text").alias("z"))
-    return c.select("conv_id", "turn", F.array_join("z.events", ",").alias("events"))
-
-
-@query()
-def theme_classification(spark, sf):
-    c = table(spark, sf, "conversations").select("role", X.scored("text").alias("z"))
-    return c.select("role", F.explode_outer("z.themes").alias("theme")).groupBy("role", F.coalesce("theme", F.lit("none")).alias("theme")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query()
 def story_clusters(spark, sf):
     d = table(spark, sf, "conversations").where("turn = 0").withColumn("week", F.floor(F.col("conv_id") / 200))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +11,8 @@ from sentimill.operators.components import components, join_unique
 from sentimill.sources.shared import cut
 
 WORD = r"[a-z][a-z0-9']*"
+#: Undecided rows that one task walks.
+FIRST_WINS_BLOCK = 100_000
 #: Token-set likeness of near duplicates.
 LEAST_JACCARD = 0.8
 
@@ -105,25 +107,55 @@ def near_duplicate_groups(items: DataFrame, item: str, text: str, least: float =
     return join_unique(cut(of), cut(known), "rep", "left").select(item, F.coalesce("group", "rep").alias("group"), "rep", F.coalesce("links", F.lit(0)).alias("links"))
 
 
-def first_wins(items: DataFrame, batch: str, url: str, title: str, order: str) -> DataFrame:
-    """Rows of each batch kept in order unless a kept row before has the same url or the same title.
+def first_wins(items: DataFrame, batch: str, url: str, title: str, order: str, block: int = FIRST_WINS_BLOCK) -> DataFrame:
+    """Rows of each batch kept in ``order`` unless a kept row before has the same url or the same title.
 
-    A dropped row's keys are not remembered, so this is a walk in order and not two windows. Batches
-    are one provider's answers to one query, some hundreds of rows; each is one group.
+    A dropped row's keys are not remembered, so this is a walk in order and not two windows. It is made
+    by rounds: a row that is the first undecided one of its url and of its title is kept, and what
+    shares a key with it is dropped. Rows of one url and title count once (the least by order, then by
+    their other columns); rows without both are all kept; a null batch is a batch of its own. Once no
+    more than ``block`` rows are undecided, one task walks them. Hot keys are joined apart, so a url or
+    title of a third of all rows is never gathered.
     """
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        urls, titles, keep = set(), set(), []
-        pdf = pdf.sort_values(order, kind="stable")
-        for u, t in zip(pdf[url], pdf[title], strict=True):
-            ok = (u is None or u not in urls) and (t is None or t not in titles)
-            keep.append(ok)
-            if ok:
-                urls.add(u)
-                titles.add(t)
-        return pdf[keep]
-
-    return items.groupBy(batch).applyInPandas(walk, items.schema)
+    others = [c for c in items.columns if c not in (batch, url, title)]
+    key = lambda c: F.when(F.col(c).isNotNull(), F.to_json(F.struct(F.col(batch).alias("b"), F.col(c).alias("k"))))
+    rows = items.where(F.col(url).isNotNull() | F.col(title).isNotNull())
+    digest = F.xxhash64(*[F.col(c) for c in others])
+    first = F.min_by(F.struct(*[F.col(c) for c in others]), F.struct(F.col(order), digest))
+    nodes = cut(rows.groupBy(batch, url, title).agg(first.alias("_row"), F.min(F.struct(F.col(order).alias("o"), digest.alias("d"))).alias("_at")).withColumns({"_u": key(url), "_t": key(title)}))
+    place = F.struct("_at", F.coalesce("_u", F.lit("")), F.coalesce("_t", F.lit("")))
+    open_ = cut(nodes.select("_u", "_t", place.alias("_p")))
+    kept = None
+    while (left := open_.count()) > block:
+        ahead = open_
+        for k in ("_u", "_t"):
+            least = open_.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("_p").alias(f"_m{k}"))
+            ahead = cut(join_unique(ahead, least, k, "left"))
+        now = cut(ahead.where((F.col("_u").isNull() | (F.col("_m_u") == F.col("_p"))) & (F.col("_t").isNull() | (F.col("_m_t") == F.col("_p")))).select("_u", "_t"))
+        kept = now if kept is None else kept.unionByName(now)
+        for k in ("_u", "_t"):
+            taken = now.where(F.col(k).isNotNull()).select(k).distinct().withColumn("_taken", F.lit(True))
+            open_ = cut(join_unique(open_, taken, k, "left").where(F.col("_taken").isNull()).drop("_taken"))
+    if left:
+
+        def walk(batches):
+            urls, titles, out = set(), set(), ([], [])
+            held = [x for batch_ in batches for x in zip(batch_.column("_u").to_pylist(), batch_.column("_t").to_pylist(), strict=True)]
+            for u, t in held:
+                if (u is None or u not in urls) and (t is None or t not in titles):
+                    urls.add(u)
+                    titles.add(t)
+                    out[0].append(u)
+                    out[1].append(t)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in out], names=["_u", "_t"])
+
+        now = open_.coalesce(1).sortWithinPartitions("_p").select("_u", "_t").mapInArrow(walk, "_u string, _t string")  # at most ``block`` rows
+        kept = now if kept is None else kept.unionByName(now)
+    # a kept node has a key that no other kept node has: its url, or, without one, its title
+    mine = F.coalesce("_u", F.concat(F.lit("t"), "_t"))
+    chosen = nodes if kept is None else nodes.join(kept.select(mine.alias("_k"), F.col("_t").alias("_kt")), (mine == F.col("_k")) & F.col("_t").eqNullSafe(F.col("_kt")), "left_semi")
+    back = chosen.select(batch, url, title, "_row.*").select(*items.columns)
+    return back.unionByName(items.where(F.col(url).isNull() & F.col(title).isNull()))
 
 
 def keywords(items: DataFrame, key: str, item: str, text: str, most: int = 15) -> DataFrame:

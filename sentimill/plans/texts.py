@@ -78,7 +78,18 @@ def near_duplicate_groups(spark, sf):
     return X.near_duplicate_groups(table(spark, sf, "documents"), "doc_id", "text")
 
 
-@query()
+_DOMAIN = r"regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1)), '^www\.', '')"
+
+
+@query(
+    rf"""WITH RECURSIVE p AS (SELECT page_id, {_DOMAIN} AS batch, regexp_extract(url, '^[^?#]*', 0) AS url, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages),
+n AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY page_id) AS i FROM p),
+r AS (SELECT batch, page_id, i, true AS kept, [url] AS urls, [title] AS titles FROM n WHERE i = 1
+  UNION ALL SELECT n.batch, n.page_id, n.i, NOT (list_contains(urls, n.url) OR list_contains(titles, n.title)),
+    CASE WHEN list_contains(urls, n.url) OR list_contains(titles, n.title) THEN urls ELSE list_append(urls, n.url) END, CASE WHEN list_contains(urls, n.url) OR list_contains(titles, n.title) THEN titles ELSE list_append(titles, n.title) END
+  FROM r JOIN n ON n.batch = r.batch AND n.i = r.i + 1)
+SELECT page_id, batch FROM r WHERE kept"""
+)
 def first_wins_dedupe(spark, sf):
     p = table(spark, sf, "pages").select("page_id", S.domain(F.col("url")).alias("batch"), F.regexp_extract("url", r"^[^?#]*", 0).alias("url"), F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("title"))
     return X.first_wins(p, "batch", "url", "title", "page_id").select("page_id", "batch")

@@ -2,35 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-COOLDOWN_S, REARM_S = 2 * 3600, 7 * 86400
+COOLDOWN_S = 2 * 3600
 
 
 def crossings(readings: DataFrame, key: str, at: str, tie: str, value: str, threshold: float, above: bool = True) -> DataFrame:
     """(key, tie, at) of readings on which a threshold rule fires, each key's readings taken in order.
 
-    A rule fires where the value holds, the reading before did not, and two hours have passed since it
-    last fired; the first time it fires without an edge, and where the value before is unknown, only
-    a week after it last fired. The state of a key is the time it last fired, so this is a fold over
-    its ordered readings; a key's readings are a reading history, bounded by its length in time.
+    A rule fires where the value holds, the last known value before did not (or there was none), and
+    two hours have passed since it last fired. Only such edges can fire, and an edge two hours or more
+    after the edge before it always does; so edges are cut into chains at these gaps and only a chain
+    is walked. A key's history streams through an ordered window and is never held. Null values neither
+    hold nor count as known.
     """
     holds = lambda v: (v >= threshold) if above else (v <= threshold)
-    ordered = readings.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(tie).alias("tie"), F.col(value).alias("v")))).alias("r"))
-    kind = readings.schema[tie].dataType.simpleString()
-    empty = F.lit(None).cast("long")
-    start = F.struct(empty.alias("last"), F.lit(None).cast("double").alias("prev"), F.array().cast(f"array<struct<at:bigint,tie:{kind}>>").alias("fired"))
+    ordered = Window.partitionBy(key).orderBy(at, tie)
+    known = F.last(value, ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    edges = readings.select(key, at, tie, value, known.alias("_known")).where(holds(F.col(value)) & (F.col("_known").isNull() | ~holds(F.col("_known"))))
+    gap = F.col(at) - F.lag(at).over(ordered)
+    edges = edges.withColumn("_new", F.when(gap < COOLDOWN_S, 0).otherwise(1))
+    chains = edges.withColumn("_chain", F.sum("_new").over(ordered)).groupBy(key, "_chain").agg(F.array_sort(F.collect_list(F.struct(F.col(at).cast("long").alias("at"), F.col(tie).alias("tie")))).alias("e"))
 
     def step(s: Column, x: Column) -> Column:
-        edge = F.when(s["last"].isNull(), F.lit(True)).when(s["prev"].isNull(), x["at"] - s["last"] > REARM_S).otherwise(~holds(s["prev"]) & (x["at"] - s["last"] >= COOLDOWN_S))
-        fires = F.coalesce(x["v"].isNotNull() & holds(x["v"]) & edge & (s["last"].isNull() | (x["at"] - s["last"] >= COOLDOWN_S)), F.lit(False))
-        hit = F.array(F.struct(x["at"].cast("long").alias("at"), x["tie"].alias("tie")))
-        return F.struct(
-            F.when(fires, x["at"].cast("long")).otherwise(s["last"]).alias("last"),
-            F.coalesce(x["v"].cast("double"), s["prev"]).alias("prev"),
-            F.when(fires, F.concat(s["fired"], hit)).otherwise(s["fired"]).alias("fired"),
-        )
-
-    folded = ordered.select(key, F.aggregate("r", start, step).alias("z"))
-    return folded.select(key, F.explode("z.fired").alias("f")).select(key, F.col("f.tie").alias(tie), F.col("f.at").alias(at))
+        fires = x["at"] - F.element_at(s, -1)["at"] >= COOLDOWN_S
+        return F.when(fires, F.concat(s, F.array(x))).otherwise(s)
+
+    fired = F.aggregate(F.slice("e", F.lit(2), F.greatest(F.size("e") - 1, F.lit(0))), F.slice("e", 1, 1), step)
+    return chains.select(key, F.explode(fired).alias("f")).select(key, F.col("f.tie").alias(tie), F.col("f.at").alias(at))

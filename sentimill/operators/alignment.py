@@ -62,3 +62,16 @@ def new_by_members(now: DataFrame, before: DataFrame, story: str, member: str, l
     shared = a.join(b, member).groupBy(story, "_old").agg(F.count(F.lit(1)).alias("_n")).join(size_a, story).join(size_b, "_old")
     old = shared.where(F.col("_n") >= least_share * F.least("_na", "_nb")).select(story).distinct()
     return size_a.join(old, story, "left_anti").select(story, F.col("_na").alias("members"))
+
+
+def lag_in_blocks(rows: DataFrame, key: str, block: str, order: list[str], value: str, to: str) -> DataFrame:
+    """``rows`` with column ``to``: the ``value`` of the row before in its key's order, where ``block`` never falls along that order.
+
+    A window holds a key's block only; a block's first row takes the last value of the block before,
+    from a table of one row a block.
+    """
+    inside = Window.partitionBy(key, block).orderBy(*order)
+    marked = rows.withColumns({"_n": F.row_number().over(inside), "_lag": F.lag(value).over(inside)})
+    ends = rows.groupBy(key, block).agg(F.max_by(F.struct(value), F.struct(*order)).alias("_end"))
+    before = ends.withColumn("_end", F.lag("_end").over(Window.partitionBy(key).orderBy(block)))
+    return marked.join(before, [key, block]).withColumn(to, F.when(F.col("_n") == 1, F.col(f"_end.{value}")).otherwise(F.col("_lag"))).drop("_n", "_lag", "_end")

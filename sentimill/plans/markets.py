@@ -242,10 +242,10 @@ def alert_crossing(spark, sf):
 
 
 @query(
-    """SELECT o_orderpriority AS member, (o_orderdate::DATE)::VARCHAR AS day, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01' GROUP BY ROLLUP (1, 2)"""
+    """SELECT o_orderpriority AS member, (o_orderdate::DATE)::VARCHAR AS day, count(*) AS n FROM orders GROUP BY ROLLUP (1, 2)"""
 )
 def rollup_orders(spark, sf):
-    o = orders_by_asset(spark, sf).where(F.col("d") >= F.lit("2001-01-01").cast("date")).select(F.col("o_orderpriority").alias("member"), F.col("d").cast("string").alias("day"))
+    o = orders_by_asset(spark, sf).select(F.col("o_orderpriority").alias("member"), F.col("d").cast("string").alias("day"))
     return o.rollup("member", "day").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sentimill.functions import wording as W
+from sentimill.operators import alignment
 from sentimill.plans.common import ITEMS, items, orders_by_asset, r6
 from sentimill.sources import table
 
@@ -212,9 +213,9 @@ def analyst_actions(spark, sf):
         "o_orderkey", F.to_date("o_orderdate").alias("d"), F.concat(F.lit("firm "), (F.col("o_custkey") % 11).cast("string")).alias("firm"), F.col("o_orderstatus").alias("action"), (F.col("o_custkey") % 4).cast("double").alias("target")
     )
     once = o.groupBy("d", "firm", "action", "target").agg(F.min("o_orderkey").alias("o_orderkey"))
-    prior = F.lag("target").over(Window.partitionBy("firm").orderBy("d", "o_orderkey"))
     word = F.when(F.col("action") == "P", "Raises").otherwise("")
-    return once.withColumn("prior", prior).select("o_orderkey", "firm", W.target_direction(word, F.col("target"), F.col("prior")).alias("direction"))
+    once = alignment.lag_in_blocks(once.withColumn("month", F.trunc("d", "month")), "firm", "month", ["d", "o_orderkey"], "target", "prior")
+    return once.select("o_orderkey", "firm", W.target_direction(word, F.col("target"), F.col("prior")).alias("direction"))
 
 
 @query(

@@ -15,7 +15,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from sentimill.operators.aggregates import weighted_mean
-from sentimill.operators.alerts import COOLDOWN_S, REARM_S
+from sentimill.operators.alerts import COOLDOWN_S
+
+#: How long a rule rests where the value before is unknown.
+REARM_S = 7 * 86400
 
 
 def landed(spark: SparkSession, folder: str, schema: StructType, files_per_trigger: int = 100) -> DataFrame:

@@ -108,8 +108,8 @@ def keyword_df(spark, sf):
 
 @query()
 def story_clusters(spark, sf):
-    d = table(spark, sf, "conversations").where("turn = 0").withColumn("week", F.floor(F.col("conv_id") / 200))
-    return stories.story_clusters(d, "role", "week", "conv_id", "text")
+    d = table(spark, sf, "conversations").select("role", F.floor(F.col("conv_id") / 200).alias("week"), (F.col("conv_id") * 1000 + F.col("turn")).alias("item"), "text")
+    return stories.story_clusters(d, "role", "week", "item", "text")
 
 
 @query(

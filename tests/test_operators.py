@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import numpy as np
 import pytest
@@ -77,6 +78,38 @@ def test_story_clusters(spark):
     assert got[0] == got[1] and got[2] == got[3] and got[0] != got[2]
 
 
+def greedy_average_link(x, threshold):
+    """As defined: the nearest pair of clusters merges, one pair at a time."""
+    clusters = [[i] for i in range(len(x))]
+    while len(clusters) > 1:
+        sim = lambda a, b: round(float(x[a].sum(axis=0) @ x[b].sum(axis=0)) / (len(a) * len(b)), stories.DIGITS)
+        s, i, j = max(((sim(a, b), -i, -j) for i, a in enumerate(clusters) for j, b in enumerate(clusters) if i < j), default=(-1, 0, 0))
+        if s < threshold:
+            break
+        clusters[-i] = sorted(clusters[-i] + clusters[-j])
+        del clusters[-j]
+        clusters.sort()
+    return [min(c) for k in range(len(x)) for c in clusters if k in c]
+
+
+def test_rounds_of_nearest_pairs_are_the_greedy_walk():
+    r = np.random.default_rng(2)
+    for n, threshold in ((1, 0.1), (12, 0.3), (40, 0.25), (40, 0.6)):
+        x = np.abs(r.normal(size=(n, 8))) ** 3
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        assert stories.cluster_vectors(x, threshold).tolist() == greedy_average_link(x, threshold)
+
+
+def test_clusters_by_joins_are_those_in_one_task(spark):
+    r = random.Random(8)
+    words = [f"{a}{b}" for a in ("gra", "sto", "fel", "run", "wat", "lig") for b in ("nit", "sk", "mor", "eda", "int", "ox")]
+    rows = [("k" if i % 3 else "j", 0, i, " ".join(r.sample(words, 3) + [f"only{i}"])) for i in range(240)] + [("k", 0, 900, ""), ("k", 0, 901, None), (None, 0, 902, "granit stosk"), (None, 0, 903, "granit stosk")]
+    df = spark.createDataFrame(rows, "k string, w long, i long, t string")
+    of = lambda **how: {x["i"]: x["story"] for x in stories.story_clusters(df, "k", "w", "i", "t", **how).collect()}
+    whole = of()
+    assert len(whole) == len(rows) and whole == of(dense_most=100) and 10 < len(set(whole.values())) < 200
+
+
 def test_near_duplicate_links_by_brute_force(spark):
     base = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
     rows = [(i, " ".join(base[: 10 - i % 4] + [f"w{j}" for j in range(i // 4)])) for i in range(12)] + [(99, ""), (100, None)]

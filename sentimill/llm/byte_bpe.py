@@ -11,13 +11,13 @@ from __future__ import annotations
 
 import base64
 import re
+from hashlib import sha256
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from sentimill.llm.arrow import map_texts
 
@@ -25,8 +25,8 @@ from sentimill.llm.arrow import map_texts
 #: texts with any character of UNLIKE, whose classes differ between the engines, take the pattern as given.
 UNLIKE = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0250-\u200f\u2028-\U0010ffff]")
 LATIN = {"\\p{L}": "[^\\W\\d_]", "[^\\s\\p{L}\\p{N}]": "(?:[^\\s\\w]|_)", "\\p{N}": "\\d"}
-#: Pieces and token pairs that a task remembers before it starts afresh.
-MEMO_PIECES, MEMO_PAIRS = 50_000, 50_000
+#: Pieces and token pairs that a task remembers at most, in two generations: what wasn't met during one is forgotten.
+MEMO_PIECES, MEMO_PAIRS = 800_000, 400_000
 #: Ids decoded at a time (one longer text makes a run of its own).
 DECODED_IDS = 2_000_000
 
@@ -60,6 +60,24 @@ def token_halves(ranks: dict[bytes, int]) -> dict[int, tuple[int, int]]:
     return halves
 
 
+class Memo:
+    """A dictionary of at most ``most`` entries; when its newer half is full, the older half goes and the newer takes its place."""
+
+    def __init__(self, most: int):
+        self.half, self.new, self.old = most // 2, {}, {}
+
+    def get(self, key):
+        value = self.new.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self.half:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+
 class Codec:
     def __init__(self, ranks: dict[bytes, int], halves: dict[int, tuple[int, int]], pattern: str):
         import ahocorasick
@@ -77,16 +95,13 @@ class Codec:
             self.automaton.add_word(self.bytes_of[rank].decode("latin-1"), rank)
         self.shorter = {r: next((x for n in range(len(self.bytes_of[r]) - 1, 0, -1) if (x := ranks.get(self.bytes_of[r][:n])) in halves), None) for r in halves}
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.pairs, self.pieces = Memo(MEMO_PAIRS), Memo(MEMO_PIECES)
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging would leave these neighbours apart; walks their merges back from the last, looking at the seam at each time."""
         known = self.pairs.get((left, right))
         if known is not None:
             return known
-        if len(self.pairs) > MEMO_PAIRS:
-            self.pairs.clear()
         a, b, before, ok = left, right, 1 << 40, True
         while True:
             joined = self.ranks.get(self.bytes_of[a] + self.bytes_of[b])
@@ -101,7 +116,7 @@ class Codec:
                 before, a = made_a, self.halves[a][1]
             else:  # of equal ranks the left goes first, so a seam merge of that rank would come before this one
                 before, b = made_b + 1, self.halves[b][0]
-        self.pairs[(left, right)] = ok
+        self.pairs.put((left, right), ok)
         return ok
 
     def encode_piece(self, piece: str) -> tuple[int, ...]:
@@ -109,7 +124,7 @@ class Codec:
         whole = self.ranks.get(raw)
         if whole is not None:
             return (whole,)
-        n, size, pairs = len(raw), self.size, self.pairs
+        n, size, known = len(raw), self.size, self.pairs.new
         longest = [0] * n
         for end, rank in self.automaton.iter(raw.decode("latin-1")):
             longest[end - size[rank] + 1] = rank
@@ -117,9 +132,10 @@ class Codec:
         out, pos, last, alive = [token], size[token], token, None
         while pos < n:
             token = longest[pos]
-            ok = pairs.get((last, token))
+            ok = known.get((last, token))
             if ok is None:
                 ok = self.compatible(last, token)
+                known = self.pairs.new
             if ok and (alive is None or alive[pos + size[token]]):
                 out.append(token)
                 pos += size[token]
@@ -133,10 +149,14 @@ class Codec:
 
     def _step_back(self, out: list[int], pos: int, token: int | None, alive: bytearray) -> int:
         """Put the next token that fits at ``pos``, taking earlier ones back where none does; the position after it."""
-        size, shorter, compatible = self.size, self.shorter, self.compatible
+        size, shorter, compatible, known = self.size, self.shorter, self.compatible, self.pairs.new
         while True:
             last = out[-1] if out else None
-            while token is not None and not (alive[pos + size[token]] and (last is None or compatible(last, token))):
+            while token is not None:
+                if alive[pos + size[token]]:
+                    ok = last is None or known.get((last, token))
+                    if compatible(last, token) if ok is None else ok:
+                        break
                 token = shorter[token]
             if token is not None:
                 out.append(token)
@@ -148,15 +168,17 @@ class Codec:
     def encode(self, text: str | None) -> list[tuple[int, ...]]:
         """The ids of each piece of the text, in order."""
         pieces, out, text = self.pieces, [], text or ""
+        known = pieces.new.get
         latin = self.findall_latin and not UNLIKE.search(text)
         for piece in self.findall_latin(text) if latin else self.findall(text):
-            ids = pieces.get(piece)
+            ids = known(piece)
             if ids is None:
-                ids = self.encode_piece(piece)
-                if len(piece) <= 64:
-                    if len(pieces) > MEMO_PIECES:
-                        pieces.clear()
-                    pieces[piece] = ids
+                ids = pieces.get(piece)
+                if ids is None:
+                    ids = self.encode_piece(piece)
+                    if len(piece) <= 64:
+                        pieces.put(piece, ids)
+                known = pieces.new.get
             out.append(ids)
         return out
 
@@ -226,12 +248,40 @@ def decode(df: DataFrame, ranks_file: str, ids: str = "ids") -> DataFrame:
     return df.mapInArrow(task, out)
 
 
+def round_trip(docs: DataFrame, ranks_file: str, pattern: str, text: str = "text", ids: bool = True) -> DataFrame:
+    """``docs`` with n_tokens, ids_sha256 and decoded_sha256 in place of ``text``, and ``ids`` if asked for: encoded, decoded again and digested in one map.
+
+    One Python worker a task holds the vocabulary, the memos and one slice of texts. Null and empty
+    texts have no ids and the digests of nothing; own columns with a new one's name are replaced.
+    """
+    ranks = _load(docs.sparkSession, ranks_file)
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, token_halves(ranks)))
+    new = {"ids": "array<int>", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"} if ids else {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}
+
+    def start():
+        codec = Codec(*shared.value, pattern)
+        spelt = {r: str(r) for r in codec.bytes_of}
+
+        def f(texts):
+            flat, sizes, coded, decoded = [], [], [], []
+            for t in texts:
+                row = list(chain.from_iterable(codec.encode(t)))
+                sizes.append(len(row))
+                coded.append(sha256(",".join(map(spelt.__getitem__, row)).encode()).hexdigest())
+                decoded.append(sha256(b"".join(map(codec.bytes_of.__getitem__, row))).hexdigest())
+                if ids:
+                    flat.append(np.array(row, np.int32))
+            offsets = np.zeros(len(sizes) + 1, np.int32)
+            np.cumsum(sizes, out=offsets[1:])
+            out = {"ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *flat])))} if ids else {}
+            return out | {"n_tokens": pa.array(sizes, pa.int64()), "ids_sha256": pa.array(coded, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
+
+        return f
+
+    taken = [c for c in docs.columns if c.lower() in new and c != text]
+    return map_texts(docs.drop(*taken), text, ", ".join(f"{k} {v}" for k, v in new.items()), start)
+
+
 def digests(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: what a round trip gives for every row."""
-    coded = decode(encode(docs.select("doc_id", "text"), ranks_file, pattern), ranks_file)
-    return coded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return round_trip(docs.select("doc_id", "text"), ranks_file, pattern, ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

@@ -52,10 +52,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids, and the digest of what decoding gives back."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = byte_bpe.encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
-    return byte_bpe.decode(coded, ranks).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+    return byte_bpe.round_trip(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids", "decoded_sha256")
 
 
 STAGES = [

@@ -13,6 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from hashlib import blake2b
 from string import ascii_lowercase, ascii_uppercase
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ RUN_BYTES = 2_000_000
 BITS = 1 << 26
 #: N-grams that a task holds before it sends their partial counts.
 HELD = 1 << 21
+#: Phrases whose counts a task holds before it sends them.
+HELD_PHRASES = 250_000
 #: N-grams for a hash partition, and counters above what the threshold asks for; MASS * SLACK / threshold counters are a reducer's memory.
 MASS, SLACK = 1 << 26, 4
 #: Parts in which each language is ranked before its first rows are put together.
@@ -279,10 +282,13 @@ def _word_counts(rows: DataFrame) -> DataFrame:
 
 
 def _phrase_counts(rows: DataFrame, longest: int, pairs, more, threshold: int) -> DataFrame:
-    """(lang, phrase, words, f): exact numbers of occurrences of the phrases that survived the first pass."""
+    """(lang, phrase, words, f): exact numbers of occurrences, ``threshold`` or more, of the phrases that survived the first pass.
+
+    Tasks send partial counts by hash partition; as a summary bounds what survives of a partition, what is merged of it at a time is bounded too.
+    """
 
     def task(batches):
-        def f(w, names):
+        def found(w, names):
             one, of = w.ids()
             out, spelt = [], {}
             key, ok = w.key, None
@@ -300,14 +306,48 @@ def _phrase_counts(rows: DataFrame, longest: int, pairs, more, threshold: int) -
                     for x in (i + k for k in range(n)):
                         if of[x] not in spelt:
                             spelt[of[x]] = w.word(x)
-                    out.append((names[w.lang[i]], b" ".join(spelt[of[x]] for x in range(i, i + n)), n, c))
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary()).cast(pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64())], names=["lang", "phrase", "words", "f"])
-
-        yield from _each(batches, f)
-
-    counts = rows.mapInArrow(task, "lang string, phrase string, words int, f bigint")
-    return counts.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(F.col("f") >= threshold)
+                    out.append(((names[w.lang[i]], b" ".join(spelt[of[x]] for x in range(i, i + n)), n), c))
+            return out
+
+        held: dict = {}
+        for out in _each(batches, found):
+            for key, c in out:
+                held[key] = held.get(key, 0) + c
+            if len(held) >= HELD_PHRASES:
+                yield dealt(held)
+                held = {}
+        yield dealt(held)
+
+    def dealt(held):
+        """Partial counts by hash partition, one row for each."""
+        by: dict = {}
+        for (lang, phrase, n), c in held.items():
+            by.setdefault(crc32(phrase, crc32(lang.encode("utf-8", "surrogatepass"))) % parts, []).append((lang, phrase.decode(), n, c))
+        cols = [list(zip(*rows, strict=True)) for rows in by.values()]
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(by, pa.int32()), *(pa.array([c[k] for c in cols], pa.list_(t)) for k, t in enumerate(kinds))], names=["part", "lang", "phrase", "words", "f"])
+
+    def merge(batches):
+        def done():
+            kept = [(*k, c) for k, c in total.items() if c >= threshold]
+            cols = list(zip(*kept, strict=True)) or [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], names=["lang", "phrase", "words", "f"])
+
+        now, total = None, {}
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = [batch.column(c)[k].as_py() for c in ("part", "lang", "phrase", "words", "f")]
+                if row[0] != now:
+                    yield done()
+                    now, total = row[0], {}
+                for *key, c in zip(*row[1:], strict=True):
+                    key = tuple(key)
+                    total[key] = total.get(key, 0) + c
+        yield done()
+
+    parts = pairs.value[1]  # as many as the first pass, so that a merged part is bounded as its summary was
+    partial = rows.mapInArrow(task, "part int, lang array<string>, phrase array<string>, words array<int>, f array<bigint>")
+    return partial.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(merge, "lang string, phrase string, words int, f bigint")
 
 
 def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = 5, threshold: int = 100, absorbed_percent: int = 100, first: int = 2000) -> DataFrame:

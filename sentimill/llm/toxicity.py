@@ -40,8 +40,10 @@ WIDEST, STRIDE = 22, 11
 LANDMARKS, PER_CLASS, MEMO_WORDS = 320, 1500, 150_000
 #: Altered forms of a plainly toxic word: places where a letter is put in, doubled, and a sign is put in; their weight beside that of
 #: the words themselves when the threshold is set.
-INSERTED, DOUBLED, SIGNED = 5, 3, 2
-FORMS_SHARE = 0.5
+INSERTED, DOUBLED, SIGNED = 40, 4, 2
+FORMS_SHARE = 1.5
+#: How much more a clean word that looks toxic weighs in the next turn.
+HARDER = 50.0
 #: Evidence (log-likelihood ratio) from which a word is plainly toxic; bits within which sampled documents count as copies.
 PLAINLY, COPY_BITS = 9.0, 12
 #: Digits and signs that stand in for letters, as fixed values.
@@ -151,6 +153,7 @@ class Model:
     def __init__(self):
         self.triples = np.zeros(ALPHABET**ORDER, np.float32)
         self.bias, self.slope, self.shift = 0.0, 1.0, -1.0
+        self.kernels: dict[str, float] = {}
 
     def margins(self, words: list[str]) -> np.ndarray:
         """Margin of each word; the bias at least, which is what a word without matches has."""
@@ -182,8 +185,15 @@ class Model:
     def fit(self, texts: list[str], y: list[int], **how) -> Model:
         return self.fit_words([sorted(words_of(t)) for t in texts], y, [fingerprint(t.encode("utf-8", "replace")) for t in texts], **how)
 
-    def fit_words(self, words: list[list[str]], y: list[int], prints: list[int], seed: int = 5, rounds: int = 3) -> Model:
-        """Landmarks, Nystroem features, and the alternation of witnesses and margins, from labelled texts' distinct words and SimHashes."""
+    def fit_words(self, words: list[list[str]], y: list[int], prints: list[int], seed: int = 5, rounds: int = 3, most_clean: int = 14_000, most_suspects: int = 4_000) -> Model:
+        """Landmarks, Nystroem features, and the alternation of witnesses and margins, from labelled texts' distinct words and SimHashes.
+
+        Training words are at most ``most_clean`` drawn words of clean documents and the ``most_suspects``
+        words of the strongest evidence that no clean document has: with the bound on documents, what
+        keeps the matrix of the machine bounded. Words under three characters have no kernel and can't be
+        toxic; those of one to three letters have no altered forms. Where no word is plainly toxic, the
+        ten likeliest stand in; where none is likelier in toxic documents, every score is the same.
+        """
         r = np.random.default_rng(seed)
         kept = _without_copies(prints)
         words, y = [words[i] for i in kept], np.array([y[i] for i in kept])
@@ -200,6 +210,8 @@ class Model:
             more[w] = c1 > c * share
             evidence[w] = (c1 * np.log(max(c1, 1e-9) / (c * share)) + c0 * np.log(max(c0, 1e-9) / (c * (1 - share)))) * (1 if more[w] else -1)
         toxic = sorted((w for w in held if evidence[w] > PLAINLY and held[w][0] < 0.1 * held[w][1]), key=lambda w: (-evidence[w], w))[: LANDMARKS // 2]
+        if not toxic:
+            toxic = sorted((w for w in held if evidence[w] > 0 and held[w][0] < held[w][1]), key=lambda w: (-evidence[w], w))[:10]
         rest = sorted(w for w in held if held[w][0])
         common = sorted(rest, key=lambda w: (-held[w][0], w))[: LANDMARKS // 4]
         drawn = [rest[i] for i in r.choice(len(rest), min(len(rest), LANDMARKS - len(toxic) - len(common)), replace=False)] if rest else []
@@ -208,8 +220,8 @@ class Model:
             return self
         # training words: clean documents' words, toxic documents' words that no clean one has, and altered forms of the plainly toxic
         rest = [w for w in rest if w not in set(toxic)]
-        clean = [rest[i] for i in np.sort(r.choice(len(rest), min(len(rest), 14_000), replace=False))]
-        suspects = sorted((w for w in held if held[w][0] == 0), key=lambda w: (-evidence[w], w))[:4_000]
+        clean = [rest[i] for i in np.sort(r.choice(len(rest), min(len(rest), most_clean), replace=False))]
+        suspects = sorted((w for w in held if held[w][0] == 0), key=lambda w: (-evidence[w], w))[:most_suspects]
         altered = {w: [x for x in _altered(w, r) if x not in held] for w in toxic}
         names = list(dict.fromkeys(toxic + suspects + clean + [x for xs in altered.values() for x in xs]))
         place = {w: i for i, w in enumerate(names)}
@@ -241,8 +253,10 @@ class Model:
             hard = [names[i] for i in np.argsort(-np.where(negative, margin, -np.inf), kind="stable")[: LANDMARKS // 4] if margin[i] > -0.5]
             if turn + 1 < rounds:
                 witness, landmarks = found, list(dict.fromkeys(landmarks + hard))
+                weight[[place[w] for w in hard]] *= HARDER
         beta = whiten @ v
         self.triples[used] = (basis.T @ beta).astype(np.float32)
+        self.kernels = dict(zip(landmarks, beta.tolist(), strict=True))
         self.bias = float(bias)
         margin = self._worst(words, {})
         forms = [x for w in sorted(sure) for x in altered.get(w, ())]

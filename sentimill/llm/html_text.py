@@ -59,18 +59,20 @@ ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 WHITE = re.compile(r"\s+")
 PARAGRAPHS = frozenset("p pre td blockquote li dd".split())
 LEAST_PARAGRAPH = 25
+#: Characters of prose outside a noisy container up to which it is the page itself.
+NEXT_TO_NOTHING = 100
 #: Elements nested deeper are hung on the last open one, as browsers do; it keeps every step's work bounded.
 DEEPEST = 512
 
 
 class Node:
-    __slots__ = ("depth", "label", "links", "name", "parent", "parts", "points", "prose", "runs", "size")
+    __slots__ = ("depth", "heads", "label", "links", "name", "parent", "parts", "points", "prose", "runs", "size")
 
     def __init__(self, name: str, parent: Node | None, label: str = ""):
         self.name, self.parent, self.label = name, parent, label
         self.parts: list[Node | str] = []
         self.points = 0.0
-        self.size = self.links = self.prose = self.runs = 0
+        self.size = self.links = self.prose = self.runs = self.heads = 0
         self.depth = parent.depth + 1 if parent else 0
 
 
@@ -155,7 +157,8 @@ def _measure(order: list[Node]) -> None:
                     node.runs += 1
             elif x.name != "a" and (x.name not in CUT or x.name == "form") and not COMMENTS.search(x.label):
                 node.prose += x.prose
-                node.runs += x.runs + 3 * (x.name in ("article", "main", "h1"))
+                node.runs += x.runs
+                node.heads += x.heads + (x.name in ("article", "main", "h1"))
 
 
 def _prune(root: Node, by_class: bool) -> list[Node]:
@@ -170,8 +173,8 @@ def _prune(root: Node, by_class: bool) -> list[Node]:
     def unwanted(x: Node) -> bool:
         if x.name == "header" and not _within_article(x):
             return True
-        if 2 * x.prose > root.prose and x.runs >= 3 and x.name not in CUT - {"form"} and not COMMENTS.search(x.label):
-            return False  # most of the page stands here
+        if 2 * x.prose > root.prose and x.name not in CUT - {"form"} and not COMMENTS.search(x.label) and (x.heads or x.runs >= 3 and root.prose - x.prose <= NEXT_TO_NOTHING):
+            return False  # it holds the article's own element, or next to nothing stands outside it: an odd name, no noise
         return x.name in CUT or by_class and noisy(x)
 
     order, stack = [], [root]

@@ -19,6 +19,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sentimill.llm.arrow import fresh, slices
 from sentimill.operators.components import join_unique
@@ -231,9 +232,11 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", carry: tuple[
 
 
 def document_files(docs: DataFrame) -> DataFrame:
-    """Documents as files of a tree: source / language / a folder of a hundred ids / id. Null parts are written as '_'."""
+    """Documents as files of a tree: source / language / a folder of a hundred ids / id; ids that are no numbers get one of 1,000 folders by their hash. Null parts are written as '_'."""
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("_"))
-    folder = F.coalesce(F.floor(F.col("doc_id") / 100).cast("string"), F.lit("_"))
+    numeric = isinstance(docs.schema["doc_id"].dataType, T.NumericType)
+    folder = F.coalesce((F.floor(F.col("doc_id") / 100) if numeric else F.pmod(F.xxhash64("doc_id"), F.lit(1000))).cast("string"), F.lit("_"))
+    folder = F.when(F.col("doc_id").isNotNull(), folder).otherwise("_")
     return docs.select("doc_id", F.concat_ws("/", part("source"), part("lang"), folder, part("doc_id")).alias("path"), "text")
 
 

@@ -234,6 +234,21 @@ def test_html_given_pages(spark):
 ARTICLE = "<h1>Title of it</h1>" + "".join(f"<p>Paragraph number {k}, with words, and commas, which goes on for a while.</p>" for k in range(4))
 
 
+@pytest.mark.parametrize("around", ['<div class="sidebar">%s</div>', "<form>%s</form>", '<div class="promo">%s</div>'])
+def test_noise_with_most_of_the_prose_is_left_out(around):
+    noise = "".join(f"<p>Other story number {i}, with, some, commas, and a good many words to read.</p>" for i in range(5))
+    article = "<p>The article, which is short, has just these two paragraphs of text, no more.</p><p>And this, the second one, is where it ends, as far as we can tell.</p>"
+    for page in (f"<body><div>{article}</div>{around % noise}</body>", f"<body>{around % noise}<article>{article}</article></body>"):
+        text = html_text.main_text(page)
+        assert "The article" in text and "where it ends" in text and "Other story" not in text
+
+
+def test_licences_of_string_ids(spark):
+    docs = spark.createDataFrame([("a-1", "Licensed under the MIT License", "en", "s"), ("7", None, None, None), (None, "x", "en", "s")], "doc_id string, text string, lang string, source string")
+    rows = licenses.document_licenses(docs).collect()
+    assert {r["doc_id"] for r in rows} == {"a-1", "7", None} and all(r["path"] for r in rows)
+
+
 @pytest.mark.parametrize("around", ['<div class="layout with-sidebar">%s</div>', '<div class="has-header">%s</div>', '<form id="page"><div>%s</div></form>', '<div class="widget">%s</div>', '<div class="banner"><div class="share">%s</div></div>'])
 def test_html_articles_in_odd_containers(around):
     page = "<body><nav><a href=x>menu</a></nav>" + around % ARTICLE + "<div class=comments><p>" + "I, myself, disagree with it. " * 60 + "</p></div><footer>foot</footer></body>"
@@ -340,11 +355,22 @@ def test_folded_machine_equals_its_kernels():
     m = toxicity.Model().fit(texts, [1] * 60 + [0] * 60)
     got = m.probability(m.document_margins(["an idiot", "an i d i o t here", "an idi.ot", "grass and stone"]))
     assert got[0] > 0.5 and got[1] > 0.5 and got[2] > 0.5 and got[3] < 0.5
+    words = ["idiot", "idixot", "mroron", "clwn", "loserr", "gran", "grass", "ab", "i.d.i.o.t"]
+    plain = [sum(b * toxicity.kernel(landmark, w) for landmark, b in m.kernels.items()) + m.bias for w in words]
+    assert m.margins(words) == pytest.approx([max(x, m.bias) for x in plain], abs=1e-4)
+
+
+def test_toxicity_learns_without_a_plain_insult():
+    """Too few documents for any word to be plainly toxic: the likeliest words stand in."""
+    texts = [f"{a} vexing {b}" for a, b in zip("one two three four".split(), "red blue green grey".split(), strict=True)] + ["one red two", "blue three", "green four one", "grey two red"]
+    m = toxicity.Model().fit(texts, [1] * 4 + [0] * 4)
+    worst, clean = m.document_margins(["so vexing here", "so one here"])
+    assert worst > clean
 
 
 def test_toxicity_tolerates_altered_insults(spark):
     """Insults with one letter or sign put in, doubled or spaced, in sentences of clean words of the held-out documents."""
-    d, y = table(spark, "/root/testdata/check_s", "documents"), table(spark, "/root/testdata/check_s", "labels")
+    d, y = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
     m = toxicity.train(d, y)
     r = random.Random(1)
     forms = {

@@ -26,7 +26,7 @@ from sentimill.llm.arrow import map_texts
 UNLIKE = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0250-\u200f\u2028-\U0010ffff]")
 LATIN = {"\\p{L}": "[^\\W\\d_]", "[^\\s\\p{L}\\p{N}]": "(?:[^\\s\\w]|_)", "\\p{N}": "\\d"}
 #: Pieces and token pairs that a task remembers at most, in two generations: what wasn't met during one is forgotten.
-MEMO_PIECES, MEMO_PAIRS = 800_000, 400_000
+MEMO_PIECES, MEMO_PAIRS = 500_000, 300_000
 #: Ids decoded at a time (one longer text makes a run of its own).
 DECODED_IDS = 2_000_000
 

@@ -26,16 +26,6 @@ from sentimill.sources.shared import cut
 
 #: Bytes that part phrases, bytes that part words within them.
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
-#: Text that a task tokenises at a time.
-RUN_BYTES = 2_000_000
-#: Bits of a bitmap of survivors (8 MB); with more survivors than a few tenths of that, later passes filter less.
-BITS = 1 << 26
-#: N-grams that a task holds before it sends their partial counts.
-HELD = 1 << 21
-#: Phrases whose counts a task holds before it sends them.
-HELD_PHRASES = 250_000
-#: N-grams for a hash partition, and counters above what the threshold asks for; MASS * SLACK / threshold counters are a reducer's memory.
-MASS, SLACK = 1 << 26, 4
 #: Parts in which each language is ranked before its first rows are put together.
 SALTS = 64
 
@@ -47,6 +37,20 @@ _KIND[list(BREAKS)] = 2
 _FIRST = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 
 
+@dataclass(frozen=True)
+class Limits:
+    """What bounds a task: text tokenised at a time, n-grams and phrases held before their partial counts go out, a reducer's summary, and what is broadcast."""
+
+    run_bytes: int = 2_000_000
+    held: int = 1 << 21
+    held_phrases: int = 250_000
+    #: N-grams for a hash partition, and counters above what the threshold asks for; mass * slack / threshold counters are a reducer's memory.
+    mass: int = 1 << 26
+    slack: int = 4
+    #: Bits of a bitmap of survivors (8 MB); with more survivors than a few tenths of that, later passes filter less.
+    bits: int = 1 << 26
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A permutation of 64-bit numbers whose bits all hang on all bits."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -120,19 +124,23 @@ def read_words(texts: list[bytes], langs: np.ndarray, lang_keys: np.ndarray) ->
     return Words(lower, start, end, np.searchsorted(breaks, start), lang, head, tail, key)
 
 
-def _each(batches, f):
+def _each(batches, f, run_bytes: int):
     """What ``f(words, language names)`` gives for every run of rows (text, lang)."""
     for batch in batches:
-        for part, texts in raw_slices(batch, "text", RUN_BYTES):
+        for part, texts in raw_slices(batch, "text", run_bytes):
             coded = part.column("lang").fill_null("und").dictionary_encode()
             names = coded.dictionary.to_pylist()
             keys = np.array([_digest(x.encode("utf-8", "surrogatepass")) for x in names], np.uint64)
             yield f(read_words(texts, coded.indices.to_numpy(), keys), names)
 
 
-def places(key: np.ndarray, parts: int) -> np.ndarray:
+def places(key: np.ndarray, parts: int, bits: int) -> np.ndarray:
     """Bits of a bitmap for keys, by what a hash partition's summary knows of them."""
-    return (mix(_partitioned(key, parts)) & np.uint64(BITS - 1)).astype(np.int64)
+    return _place(_partitioned(key, parts), bits)
+
+
+def _place(partitioned: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(partitioned) & np.uint64(bits - 1)).astype(np.int64)
 
 
 def _partitioned(key: np.ndarray, parts: int) -> np.ndarray:
@@ -140,11 +148,11 @@ def _partitioned(key: np.ndarray, parts: int) -> np.ndarray:
     return (((key >> np.uint64(32)) % np.uint64(parts)) << np.uint64(32)) | (key & np.uint64(0xFFFFFFFF))
 
 
-def bitmap(rows: DataFrame, place: str) -> np.ndarray:
-    """The bitmap of a column's places: BITS / 8 bytes, whatever the number of rows."""
+def bitmap(rows: DataFrame, place: str, bits: int) -> np.ndarray:
+    """The bitmap of a column's places: bits / 8 bytes, whatever the number of rows; ``bits`` is a multiple of 2^15."""
     v = F.col(place) + 1
     buckets = rows.select(F.bitmap_bucket_number(v).alias("bucket"), F.bitmap_bit_position(v).alias("bit")).repartition("bucket")
-    out = np.zeros(BITS // 8, np.uint8)
+    out = np.zeros(bits // 8, np.uint8)
     for r in buckets.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
         at = (r["bucket"] - 1) * 4096
         out[at : at + 4096] = np.frombuffer(r["bits"], np.uint8)
@@ -207,23 +215,23 @@ def _partial_counts(held: list[np.ndarray], parts: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["part", "keys", "counts"])
 
 
-def frequent_grams(rows: DataFrame, grams_of, mass: int, threshold: int) -> tuple[np.ndarray, int]:
+def frequent_grams(rows: DataFrame, grams_of, mass: int, threshold: int, limits: Limits) -> tuple[np.ndarray, int]:
     """(bitmap, hash partitions) of all n-grams that ``grams_of(words)`` gives at least ``threshold`` times, and of few others.
 
     ``mass`` is at least their number. Hash partitions grow with it, so a summary's memory doesn't. A
     summary that had to take off as much as the threshold (n-grams dealt very unevenly) guarantees
     nothing; the pass is then made again over twice as many partitions.
     """
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-mass // MASS))
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-mass // limits.mass))
     for _ in range(6):
-        capacity = max(4096, SLACK * mass // parts // threshold + 1)
+        capacity = max(4096, limits.slack * mass // parts // threshold + 1)
 
         def count(batches, parts=parts):
             held, n = [], 0
-            for keys in _each(batches, lambda w, _: grams_of(w)):
+            for keys in _each(batches, lambda w, _: grams_of(w), limits.run_bytes):
                 held.append(keys)
                 n += len(keys)
-                if n >= HELD:
+                if n >= limits.held:
                     yield _partial_counts(held, parts)
                     held, n = [], 0
             if n:
@@ -232,7 +240,7 @@ def frequent_grams(rows: DataFrame, grams_of, mass: int, threshold: int) -> tupl
         def reduce(batches, parts=parts, capacity=capacity):
             def done():
                 k = summary.survivors(threshold).astype(np.uint64) | np.uint64(now << 32)
-                place = (mix(k) & np.uint64(BITS - 1)).astype(np.int64)
+                place = _place(k, limits.bits)
                 yield pa.RecordBatch.from_arrays([pa.array([*place, None], pa.int64()), pa.array([*[None] * len(place), summary.taken], pa.int64())], names=["place", "taken"])
 
             now, summary = None, Summary(capacity)
@@ -250,12 +258,12 @@ def frequent_grams(rows: DataFrame, grams_of, mass: int, threshold: int) -> tupl
         partial = rows.mapInArrow(count, "part int, keys binary, counts binary")
         kept = cut(partial.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(reduce, "place bigint, taken bigint"))
         if (kept.agg(F.max("taken")).first()[0] or 0) < threshold:
-            return bitmap(kept.where(F.col("place").isNotNull()), "place"), parts
+            return bitmap(kept.where(F.col("place").isNotNull()), "place", limits.bits), parts
         parts *= 2
     raise RuntimeError("frequent_grams: summaries took off as much as the threshold")
 
 
-def _word_counts(rows: DataFrame) -> DataFrame:
+def _word_counts(rows: DataFrame, limits: Limits) -> DataFrame:
     """(lang, phrase, place, f): every word's number of occurrences; phrase null: all words of the language."""
 
     def task(batches):
@@ -265,7 +273,7 @@ def _word_counts(rows: DataFrame) -> DataFrame:
             lang = w.lang[one]
             total = np.bincount(w.lang, minlength=len(names))
             words = [w.word(i) for i in one.tolist()]
-            place = places(w.key[one], 1 << 32)
+            place = places(w.key[one], 1 << 32, limits.bits)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([*(names[i] for i in lang.tolist()), *names], pa.string()),
@@ -276,12 +284,12 @@ def _word_counts(rows: DataFrame) -> DataFrame:
                 names=["lang", "phrase", "place", "f"],
             )
 
-        yield from _each(batches, f)
+        yield from _each(batches, f, limits.run_bytes)
 
     return rows.mapInArrow(task, "lang string, phrase string, place bigint, f bigint").groupBy("lang", "phrase", "place").agg(F.sum("f").alias("f"))
 
 
-def _phrase_counts(rows: DataFrame, longest: int, pairs, more, threshold: int) -> DataFrame:
+def _phrase_counts(rows: DataFrame, longest: int, pairs, more, threshold: int, limits: Limits) -> DataFrame:
     """(lang, phrase, words, f): exact numbers of occurrences, ``threshold`` or more, of the phrases that survived the first pass.
 
     Tasks send partial counts by hash partition; as a summary bounds what survives of a partition, what is merged of it at a time is bounded too.
@@ -297,7 +305,7 @@ def _phrase_counts(rows: DataFrame, longest: int, pairs, more, threshold: int) -
                 ok = w.same_piece(n) if ok is None else ok[: len(key)] & w.same_piece(n)
                 bits, parts = (pairs if n == 2 else more).value
                 at = np.flatnonzero(ok)
-                at = at[has(bits, places(key[at], parts))]
+                at = at[has(bits, places(key[at], parts, limits.bits))]
                 ids, u = of[at], at
                 for k in range(1, n):
                     u, ids = np.unique(ids * len(one) + of[at + k], return_inverse=True)
@@ -310,10 +318,10 @@ def _phrase_counts(rows: DataFrame, longest: int, pairs, more, threshold: int) -
             return out
 
         held: dict = {}
-        for out in _each(batches, found):
+        for out in _each(batches, found, limits.run_bytes):
             for key, c in out:
                 held[key] = held.get(key, 0) + c
-            if len(held) >= HELD_PHRASES:
+            if len(held) >= limits.held_phrases:
                 yield dealt(held)
                 held = {}
         yield dealt(held)
@@ -350,7 +358,7 @@ def _phrase_counts(rows: DataFrame, longest: int, pairs, more, threshold: int) -
     return partial.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(merge, "lang string, phrase string, words int, f bigint")
 
 
-def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = 5, threshold: int = 100, absorbed_percent: int = 100, first: int = 2000) -> DataFrame:
+def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = 5, threshold: int = 100, absorbed_percent: int = 100, first: int = 2000, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
     """(lang, rank, phrase, a, l, r, n, score): each language's best phrases of 2 to ``longest`` words that occur ``threshold`` times or more.
 
     a, l, r are exact occurrences of the phrase and of the parts of its lowest-scoring cut, n those of
@@ -365,21 +373,21 @@ def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", longest: in
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     spark = rows.sparkSession
     # what is below the threshold in its language can't be part of a frequent phrase
-    words = cut(_word_counts(rows).where(F.col("phrase").isNull() | (F.col("f") >= threshold)))
+    words = cut(_word_counts(rows, limits).where(F.col("phrase").isNull() | (F.col("f") >= threshold)))
     totals = words.where(F.col("phrase").isNull()).select("lang", F.col("f").alias("n"))
     words = words.where(F.col("phrase").isNotNull())
     mass = totals.agg(F.sum("n")).first()[0] or 0
-    single = spark.sparkContext.broadcast(bitmap(words, "place"))
+    single = spark.sparkContext.broadcast(bitmap(words, "place", limits.bits))
 
     def pairs_of(w):
-        good = has(single.value, places(w.key, 1 << 32))
+        good = has(single.value, places(w.key, 1 << 32, limits.bits))
         return w.grams(2, w.key)[w.same_piece(2) & good[:-1] & good[1:]]
 
-    pairs = spark.sparkContext.broadcast(frequent_grams(rows, pairs_of, mass, threshold))
+    pairs = spark.sparkContext.broadcast(frequent_grams(rows, pairs_of, mass, threshold, limits))
 
     def longer_of(w):
         key = w.grams(2, w.key)
-        pair = w.same_piece(2) & has(pairs.value[0], places(key, pairs.value[1]))
+        pair = w.same_piece(2) & has(pairs.value[0], places(key, pairs.value[1], limits.bits))
         out, ok = [], pair
         for n in range(3, longest + 1):
             key = w.grams(n, key)
@@ -387,8 +395,8 @@ def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", longest: in
             out.append(key[ok])
         return np.concatenate(out or [np.zeros(0, np.uint64)])
 
-    more = spark.sparkContext.broadcast(frequent_grams(rows, longer_of, mass * max(1, longest - 2), threshold))
-    found = cut(_phrase_counts(rows, longest, pairs, more, threshold))
+    more = spark.sparkContext.broadcast(frequent_grams(rows, longer_of, mass * max(1, longest - 2), threshold, limits))
+    found = cut(_phrase_counts(rows, longest, pairs, more, threshold, limits))
     known = words.select("lang", "phrase", "f").unionByName(found.select("lang", "phrase", "f"))
 
     inner = F.explode(F.expr("array(substring_index(phrase, ' ', words - 1), substring(phrase, instr(phrase, ' ') + 1))"))

@@ -212,16 +212,12 @@ def test_phrases_match_sql_on_odd_rows(spark):
     assert got.count() > 20 and spark_rows(got) == duck_rows(views(rows), queries.ORACLES["op13_phrases"])
 
 
-def test_phrases_with_tiny_summaries(spark, monkeypatch):
-    """Held counts sent early, small capacities that take off, a bitmap full of false hits: the same phrases."""
+def test_phrases_with_tiny_summaries(spark):
+    """Counts sent early, summaries that take off, a bitmap full of false hits: the same phrases."""
     rows = small_rows(6)
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(7)
-    monkeypatch.setattr(phrases, "HELD", 50)
-    monkeypatch.setattr(phrases, "HELD_PHRASES", 5)
-    monkeypatch.setattr(phrases, "MASS", 500)
-    monkeypatch.setattr(phrases, "RUN_BYTES", 300)
-    monkeypatch.setattr(phrases, "BITS", 1 << 16)
-    assert spark_rows(phrases.phrases(docs)) == duck_rows(views(rows), queries.ORACLES["op13_phrases"])
+    limits = phrases.Limits(run_bytes=300, held=50, held_phrases=5, mass=500, slack=2, bits=1 << 15)
+    assert spark_rows(phrases.phrases(docs, limits=limits)) == duck_rows(views(rows), queries.ORACLES["op13_phrases"])
 
 
 def test_phrases_absorbed_ranked_and_empty(spark):

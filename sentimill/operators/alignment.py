@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sentimill.sources.shared import cut
+
 
 def asof_backward(left: DataFrame, right: DataFrame, key: str, on: str, value: str) -> DataFrame:
     """``left`` with the ``value`` of the last ``right`` row at or before its ``on``, and where that row stands."""
@@ -75,3 +77,53 @@ def lag_in_blocks(rows: DataFrame, key: str, block: str, order: list[str], value
     ends = rows.groupBy(key, block).agg(F.max_by(F.struct(value), F.struct(*order)).alias("_end"))
     before = ends.withColumn("_end", F.lag("_end").over(Window.partitionBy(key).orderBy(block)))
     return marked.join(before, [key, block]).withColumn(to, F.when(F.col("_n") == 1, F.col(f"_end.{value}")).otherwise(F.col("_lag"))).drop("_n", "_lag", "_end")
+
+
+def member_overlaps(now: DataFrame, before: DataFrame, story: str, member: str, least_share: float = 1 / 3) -> DataFrame:
+    """(story, _old, shared, share): pairs of a story now and one before that share ``least_share`` of the smaller one's members or more."""
+    a, b = cut(now.select(story, member).where(F.col(member).isNotNull()).distinct()), cut(before.select(F.col(story).alias("_old"), member).where(F.col(member).isNotNull()).distinct())
+    size_a = a.groupBy(story).agg(F.count(F.lit(1)).alias("_na"))
+    size_b = b.groupBy("_old").agg(F.count(F.lit(1)).alias("_nb"))
+    shared = a.join(b, member).groupBy(story, "_old").agg(F.count(F.lit(1)).alias("shared"))
+    pairs = shared.join(size_a, story).join(size_b, "_old").withColumn("share", F.col("shared") / F.least("_na", "_nb"))
+    return pairs.where(F.col("share") >= least_share).select(story, "_old", "shared", "share")
+
+
+def one_to_one(pairs: DataFrame, a: str, b: str, strength: str, most_rounds: int = 60) -> DataFrame:
+    """Pairs of a one-to-one matching: the strongest pair first, then the strongest of what is left; ties by the smaller ``a``, then ``b``.
+
+    The walk over all pairs in order is made by rounds: a pair that is the best of both its ends is in
+    the matching whatever else is, and what touches it is not. Pairs left shrink each round, as the best
+    of all that are left is always taken.
+    """
+    order = F.struct(-F.col(strength), F.col(a), F.col(b))
+    left = cut(pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull() & F.col(strength).isNotNull()).select(a, b, strength).withColumn("_o", order).groupBy(a, b).agg(F.min("_o").alias("_o")))
+    done = None
+    for _ in range(most_rounds):
+        best_a = left.groupBy(a).agg(F.min("_o").alias("_a"))
+        best_b = left.groupBy(b).agg(F.min("_o").alias("_b"))
+        taken = cut(left.join(best_a, a).join(best_b, b).where((F.col("_o") == F.col("_a")) & (F.col("_o") == F.col("_b"))).select(a, b, (-F.col("_o.col1")).alias(strength)))
+        done = taken if done is None else done.unionByName(taken)
+        left = cut(left.join(taken.select(a), a, "left_anti").join(taken.select(b), b, "left_anti"))
+        if left.isEmpty():
+            return done
+    raise RuntimeError(f"one_to_one: pairs are left after {most_rounds} rounds")
+
+
+def story_identity(now: DataFrame, before: DataFrame, story: str, member: str, headlines: tuple[DataFrame, DataFrame] | None = None, tone_gap: float = 0.15, least_share: float = 1 / 3) -> DataFrame:
+    """(story, old, by, share): which story before each story is, at most one on either side; stories without one are left out.
+
+    Shared members decide first. A story that no members match may be the one of the same headline form
+    (``headlines``: (story, form, tone) of both sides), unless their tones are opposite by ``tone_gap`` each.
+    """
+    by_members = cut(one_to_one(member_overlaps(now, before, story, member, least_share), story, "_old", "share").withColumn("by", F.lit("members")))
+    if headlines is None:
+        return by_members.select(story, F.col("_old").alias("old"), "by", "share")
+    new, old = headlines[0].where(F.col("form") != ""), headlines[1].where(F.col("form") != "").select(F.col(story).alias("_old"), "form", F.col("tone").alias("_tone"))
+    new, old = new.join(by_members, story, "left_anti"), old.join(by_members, "_old", "left_anti")
+    # of one form's stories the n-th on either side belong together, so no form's pairs are all made
+    place = lambda d, c, t: d.withColumns({"_side": F.when(F.col(t) <= -tone_gap, -1).when(F.col(t) >= tone_gap, 1).otherwise(0)}).withColumn("_k", F.row_number().over(Window.partitionBy("form", "_side").orderBy(c)))
+    n, o = place(new.select(story, "form", F.coalesce("tone", F.lit(0.0)).alias("tone")), story, "tone"), place(old.withColumn("_tone", F.coalesce("_tone", F.lit(0.0))), "_old", "_tone").withColumnRenamed("_side", "_other")
+    near = n.join(o, ["form", "_k"]).where(F.col("_side") * F.col("_other") >= 0).withColumn("share", F.when(F.col("_side") == F.col("_other"), 1.0).otherwise(0.5))
+    by_form = one_to_one(near, story, "_old", "share").withColumn("by", F.lit("headline"))
+    return by_members.unionByName(by_form).select(story, F.col("_old").alias("old"), "by", "share")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sentimill.functions.parsing import FANCY, PLAIN
+from sentimill.operators import alignment
 from sentimill.operators import entities as E
 from sentimill.plans.common import r6
 from sentimill.plans.headlines import _COMPANY, HEADLINES, headlines, q
@@ -120,3 +121,19 @@ SELECT item, coalesce(actions, 0) AS actions, coalesce(changes = 0 AND large = 0
 def routine_revisions(spark, sf):
     feed = table(spark, sf, "orders").selectExpr(f"{_FIRM} AS firm", "o_orderdate AS day", f"{_ACTION} AS action", "CASE WHEN o_orderkey % 5 > 0 THEN 100.0D + o_orderkey % 6 END AS target", "100.0D + o_custkey % 3 AS prior")
     return E.routine_revisions(headlines(spark, sf), "item", "title", "at", feed, "firm", "day", "action", "target", "prior")
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT DISTINCT event_type || '-' || (ts::DATE)::VARCHAR AS story, user_id % 97 AS m, ts >= TIMESTAMP '2024-01-16' AS new FROM events),
+n AS (SELECT story, count(*) AS k FROM e GROUP BY 1),
+j AS (SELECT a.story, b.story AS old, count(*)::DOUBLE / least(any_value(na.k), any_value(nb.k)) AS share FROM e a JOIN e b ON a.m = b.m AND a.new AND NOT b.new JOIN n na ON na.story = a.story JOIN n nb ON nb.story = b.story GROUP BY 1, 2),
+p AS (SELECT *, row_number() OVER (ORDER BY share DESC, story, old) AS i FROM j WHERE share >= 1.0 / 3),
+r AS (SELECT i, story, old, share, true AS taken, [story] AS ua, [old] AS ub FROM p WHERE i = 1
+  UNION ALL SELECT p.i, p.story, p.old, p.share, NOT (list_contains(ua, p.story) OR list_contains(ub, p.old)),
+    CASE WHEN list_contains(ua, p.story) OR list_contains(ub, p.old) THEN ua ELSE list_append(ua, p.story) END, CASE WHEN list_contains(ua, p.story) OR list_contains(ub, p.old) THEN ub ELSE list_append(ub, p.old) END
+  FROM r JOIN p ON p.i = r.i + 1)
+SELECT story, old, 'members' AS by, round(share, 6) AS share FROM r WHERE taken"""
+)
+def story_identity(spark, sf):
+    e = table(spark, sf, "events").select(F.concat_ws("-", "event_type", F.to_date("ts").cast("string")).alias("story"), (F.col("user_id") % 97).alias("m"), (F.col("ts").cast("timestamp") >= F.lit("2024-01-16").cast("timestamp")).alias("new"))
+    return alignment.story_identity(e.where("new"), e.where("NOT new"), "story", "m").select("story", "old", "by", r6("share").alias("share"))

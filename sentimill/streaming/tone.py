@@ -43,6 +43,41 @@ def once_each(items: DataFrame, ids: list[str], late: str = "1 hour") -> DataFra
     return items.withWatermark("ts", late).dropDuplicatesWithinWatermark(ids)
 
 
+def superseding(answers: DataFrame, key: str, run: str, source: str, keep_s: int = 7200) -> DataFrame:
+    """(key, run, version, sources, tone) whenever an answer changes a run: late answers reopen only their own run and supersede what it gave.
+
+    ``answers`` are (key, run, source, ts, score, weight). A source's newest answer counts (by ``ts``, then
+    the larger score and weight), so the last version of a run hangs on its answers and not on the order in
+    which they arrive. A run's state goes ``keep_s`` seconds after the watermark has passed its last answer; what is
+    later than that is left out, as the watermark leaves it out of any window.
+    """
+    kinds = {c: answers.schema[c].dataType.simpleString() for c in (key, run, source)}
+    out = f"`{key}` {kinds[key]}, `{run}` {kinds[run]}, version int, sources int, tone double"
+
+    def fold(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        version, last, held = state.get if state.exists else (0, 0, [])
+        best = {s: (t, x, w) for s, t, x, w in held}
+        before = dict(best)
+        for rows in batches:
+            for s, t, x, w in zip(rows["_source"].tolist(), rows["_t"].tolist(), rows["score"].tolist(), rows["weight"].tolist(), strict=True):
+                if x == x and w == w and w > 0 and (s not in best or (t, x, w) > best[s]):
+                    best[s] = (t, x, w)
+                last = max(last, t)
+        changed = best != before
+        state.update((version + changed, last, [(s, *v) for s, v in sorted(best.items())]))
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 1 + 1000 * keep_s)
+        if changed:
+            total = sum(w for _, _, w in best.values())
+            yield pd.DataFrame({key: [k[0]], run: [k[1]], "version": [version + 1], "sources": [len(best)], "tone": [sum(x * w for _, x, w in best.values()) / total]})
+
+    timed = answers.withWatermark("ts", f"{keep_s} seconds").select(key, run, "ts", F.col(source).cast("string").alias("_source"), F.unix_millis("ts").alias("_t"), F.col("score").cast("double").alias("score"), F.col("weight").cast("double").alias("weight"))
+    held = "version int, last long, held array<struct<source:string,t:long,score:double,weight:double>>"
+    return timed.groupBy(key, run).applyInPandasWithState(fold, out, held, "update", GroupStateTimeout.EventTimeTimeout)
+
+
 def crossings(readings: DataFrame, key: str, value: str, threshold: float) -> DataFrame:
     """(key, s) of readings on which the threshold rule fires, over micro-batches: the rule of ``operators.alerts`` with its state kept.
 

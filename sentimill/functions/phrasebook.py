@@ -93,3 +93,9 @@ EVENTS: tuple[tuple[str, str, str], ...] = (
 #: What makes the event after it a preview, and what makes it a fact all the same.
 HYPOTHETICAL = r"\b(?:could|may|might|would|should|can|will|if|whether|ahead of|before|expected to|expects|bets? on|hopes?|awaits?|eyes|weighs?|considers?)\b"
 FACT = r"\b(?:after|following|on|despite|amid)\s+(?:its|the|an?|their|this|that)?\s*(?:[a-z0-9'&.-]+\s+){0,2}$"
+
+#: Stems that say nothing about which story a headline tells: what every market headline has. Fixed values.
+GENERIC = (
+    "stock shar shareholder investor market today why here what say report updat news analyst company inc corp street year week month day tim new big now still next first last best better buy sell hold "
+    "ahead befor know need thing way look watch see get mak tak go com trad trader pric valu worth mov lot key right long short hug major latest recent likely set want deal plan billion million trillion"
+).split()

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from sentimill.functions import lexicon as L
 from sentimill.functions import phrasebook as P
 from sentimill.functions.parsing import plain_signs
+from sentimill.sources.shared import cut
 
 #: Signs around a mark and between its parts, and the sign of a contrast; prepared texts have none of them.
 OPEN, CLOSE, PART, TURN = "‹", "›", "¦", "‡"
@@ -60,6 +61,31 @@ def _table(table: dict) -> Column:
     return F.str_to_map(F.lit(TURN.join(f"{k}{PART}{v}" for k, v in table.items())), F.lit(TURN), F.lit(PART))
 
 
+def story_stems(text: Column, without: Column | None = None) -> Column:
+    """The sorted distinct stems of a headline's words of three letters or more that could tell its story: no stopwords, numbers or generic words, nor those in ``without`` (a company's own)."""
+    words = F.filter(tokens(text), lambda t: t.rlike("^[a-z][a-z'-]{2,}$") & ~t.isin(*sorted(L.STOPWORDS)))
+    stems = F.array_except(F.array_distinct(F.transform(words, lambda w: stem(w))), F.array(*[F.lit(g) for g in P.GENERIC]))
+    return F.array_sort(F.array_except(stems, without) if without is not None else stems)
+
+
+def overlap_links(items: DataFrame, item: str, stems: str, least: float = 0.5, shared: int = 3) -> DataFrame:
+    """(a, b, common) of distinct stem sets, each by its smallest item, that share ``least`` of the smaller one and ``shared`` stems (all of a set that has fewer).
+
+    Of the smaller set's stems, rarest first, so many come first that a pair without one of them can't
+    share enough; only those are looked up in the larger set. Empty and null sets link to nothing.
+    """
+    sets = cut(items.where(F.size(F.coalesce(F.col(stems), F.array())) > 0).groupBy(F.array_sort(F.array_distinct(stems)).alias("s")).agg(F.min(item).alias("i")))
+    each = sets.select("i", F.size("s").alias("n"), F.explode("s").alias("t"))
+    rare = each.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    ranked = each.join(rare, "t").groupBy("i", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "t"))), lambda x: x["t"]).alias("ts"))  # a set's own stems
+    need = lambda n: F.greatest(F.ceil(n * least), F.least(F.lit(shared), n)).cast("int")
+    first = ranked.select(F.col("i").alias("a"), F.col("n").alias("na"), F.explode(F.slice("ts", F.lit(1), F.col("n") - need(F.col("n")) + 1)).alias("t"))
+    larger = each.select(F.col("i").alias("b"), F.col("n").alias("nb"), "t")
+    met = first.join(larger, "t").where((F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    both = met.join(sets.select(F.col("i").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("i").alias("b"), F.col("s").alias("sb")), "b")
+    return both.withColumn("common", F.size(F.array_intersect("sa", "sb"))).where(F.col("common") >= need(F.least(F.size("sa"), F.size("sb")))).select("a", "b", "common")
+
+
 def let(x: Column, f: Callable[[Column], Column]) -> Column:
     """``f(x)`` with ``x`` worked out once, however often ``f`` names it."""
     return F.element_at(F.transform(F.array(x), f), 1)

@@ -230,3 +230,26 @@ SELECT role, theme, count(*) AS n FROM g GROUP BY 1, 2"""
 def theme_classification(spark, sf):
     c = table(spark, sf, "conversations").select("role", F.explode_outer(H.themes(F.col("text"))).alias("theme"))
     return c.groupBy("role", F.coalesce("theme", F.lit("none")).alias("theme")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _stem_sql(w: str) -> str:
+    """The steps of ``word_stems`` for one word, as an expression."""
+    base = f"coalesce({_listed(P.IRREGULAR).format(x=w)}, {w})"
+    let = lambda x, body: f"list_transform([{x}], lambda z: {body})[1]"
+    singular = let(base, "CASE WHEN z LIKE '%ies' AND length(z) > 4 THEN z[:-4] || 'y' WHEN regexp_matches(z, '(?:sses|shes|ches|xes|zes)$') THEN z[:-3] WHEN z LIKE '%s' AND NOT regexp_matches(z, '(?:ss|us|is)$') THEN z[:-2] ELSE z END")
+    single = lambda x: let(x, "CASE WHEN length(z) > 2 AND z[-1] = z[-2] AND z[-1] NOT IN ('l', 's', 'z') THEN z[:-2] ELSE z END")
+    present = let(singular, f"CASE WHEN z LIKE '%ied' AND length(z) > 4 THEN z[:-4] || 'y' WHEN z LIKE '%eed' AND length(z) > 4 THEN z[:-2] WHEN regexp_matches(z, '[aeiouy].*ing$') AND length(z) > 5 THEN {single('z[:-4]').replace('lambda z', 'lambda y').replace('length(z)', 'length(y)').replace('z[-1]', 'y[-1]').replace('z[-2]', 'y[-2]').replace('THEN z[:-2] ELSE z', 'THEN y[:-2] ELSE y')} WHEN regexp_matches(z, '[aeiouy].*ed$') AND length(z) > 4 THEN {single('z[:-3]').replace('lambda z', 'lambda y').replace('length(z)', 'length(y)').replace('z[-1]', 'y[-1]').replace('z[-2]', 'y[-2]').replace('THEN z[:-2] ELSE z', 'THEN y[:-2] ELSE y')} ELSE z END")
+    short = let(present, "CASE WHEN z LIKE '%e' AND length(z) > 3 THEN z[:-2] ELSE z END")
+    return f"CASE WHEN {w} IN {P.KEPT!r} THEN {w} ELSE coalesce({_listed(P.FINAL).format(x=w)}, CASE WHEN length({base}) <= 3 OR NOT regexp_matches(replace({base}, '-', ''), '^[a-z]+$') THEN {base} ELSE {short} END) END"
+
+
+@query(
+    f"""WITH {HEADLINES}, s AS (SELECT item, list_sort(list_filter(list_distinct(list_transform(list_filter({tokens_sql(prepared_sql("title"))}, lambda t: regexp_matches(t, '^[a-z][a-z''-]{{2,}}$') AND NOT list_contains({sorted(L.STOPWORDS)!r}, t)), lambda w: {_stem_sql("w")})), lambda x: NOT list_contains({P.GENERIC!r}, x))) AS s FROM heads),
+d AS (SELECT s, min(item) AS i FROM s WHERE len(s) > 0 GROUP BY s), e AS (SELECT i, len(s) AS n, unnest(s) AS t FROM d),
+j AS (SELECT a.i AS a, b.i AS b, least(any_value(a.n), any_value(b.n)) AS n, count(*) AS common FROM e a JOIN e b ON a.t = b.t AND a.i < b.i GROUP BY 1, 2)
+SELECT a, b, common::INT AS common FROM j WHERE common >= greatest(ceil(n * 0.5), least(3, n))"""
+)
+def headline_overlaps(spark, sf):
+    """Distinct headlines of the same story by their stems: half of the smaller one's, and three, shared."""
+    h = headlines(spark, sf).select("item", H.story_stems(F.col("title")).alias("s"))
+    return H.overlap_links(h, "item", "s")

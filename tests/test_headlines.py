@@ -138,3 +138,27 @@ def test_long_texts_and_marks_in_texts(spark):
     odd = ["‹up¦_a_¦_b_¦_c_› ‡ " + "rises ", "x" * 100_000, "sales rose. " * 300]
     got = H.scored(rows(spark, odd), "t").orderBy("i").collect()
     assert [t for t, _ in [(h["term"], 0) for h in got[0]["hits"]]] == ["up", "rises"][-len(got[0]["hits"]) :] and got[1]["hits"] == [] and len(got[2]["hits"]) == 300
+
+
+def test_overlap_links_by_brute_force(spark):
+    r = random.Random(9)
+    stems = [f"s{i}" for i in range(14)]
+    weights = [8, 6, 4, 3, 2, 2, 1, 1, 1, 1, 1, 1, 1, 1]
+    sets = [(i, r.choices(stems, weights, k=r.randrange(7))) for i in range(150)] + [(900, None), (901, [])]
+    got = {(x["a"], x["b"], x["common"]) for x in H.overlap_links(spark.createDataFrame(sets, "i int, s array<string>"), "i", "s").collect()}
+    first: dict = {}
+    for i, s in sets:
+        if s:
+            first.setdefault(frozenset(s), i)
+    want = set()
+    for s, a in first.items():
+        for t, b in first.items():
+            small = min(len(s), len(t))
+            if a < b and len(s & t) >= max(-(-small // 2), min(3, small)):
+                want.add((a, b, len(s & t)))
+    assert got == want and len(want) > 100
+
+
+def test_story_stems(spark):
+    got = by_id(rows(spark, ["Acme raises prices, shares rise 5%: why investors buy $ACM", "the of", None]).withColumn("k", H.story_stems(F.col("t"), F.array(F.lit("acm")))), "k")
+    assert got == [["rais", "ris"], [], []]

@@ -99,3 +99,8 @@ GENERIC = (
     "stock shar shareholder investor market today why here what say report updat news analyst company inc corp street year week month day tim new big now still next first last best better buy sell hold "
     "ahead befor know need thing way look watch see get mak tak go com trad trader pric valu worth mov lot key right long short hug major latest recent likely set want deal plan billion million trillion"
 ).split()
+#: Months and weekdays. Fixed values.
+CALENDAR = (
+    "january february march april may june july august september october november december jan feb mar apr jun jul aug sep sept oct nov dec "
+    "monday tuesday wednesday thursday friday saturday sunday"
+).split()

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from sentimill.functions import lexicon as L
 from sentimill.functions import phrasebook as P
 from sentimill.functions.parsing import plain_signs
+from sentimill.operators.components import components
 from sentimill.sources.shared import cut
 
 #: Signs around a mark and between its parts, and the sign of a contrast; prepared texts have none of them.
@@ -75,15 +76,63 @@ def overlap_links(items: DataFrame, item: str, stems: str, least: float = 0.5, s
     share enough; only those are looked up in the larger set. Empty and null sets link to nothing.
     """
     sets = cut(items.where(F.size(F.coalesce(F.col(stems), F.array())) > 0).groupBy(F.array_sort(F.array_distinct(stems)).alias("s")).agg(F.min(item).alias("i")))
+    need = lambda n: F.greatest(F.ceil(n * least), F.least(F.lit(shared), n)).cast("int")
+    both = _met(sets, need).join(sets.select(F.col("i").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("i").alias("b"), F.col("s").alias("sb")), "b")
+    return both.withColumn("common", F.size(F.array_intersect("sa", "sb"))).where(F.col("common") >= need(F.least(F.size("sa"), F.size("sb")))).select("a", "b", "common")
+
+
+def _met(sets: DataFrame, need: Callable[[Column], Column]) -> DataFrame:
+    """(a, b) of sets (i, s) that may share ``need`` of the smaller one's size: one of its rarest tokens, as many as leave too few, stands in the larger one."""
     each = sets.select("i", F.size("s").alias("n"), F.explode("s").alias("t"))
     rare = each.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    ranked = each.join(rare, "t").groupBy("i", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "t"))), lambda x: x["t"]).alias("ts"))  # a set's own stems
-    need = lambda n: F.greatest(F.ceil(n * least), F.least(F.lit(shared), n)).cast("int")
+    ranked = each.join(rare, "t").groupBy("i", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "t"))), lambda x: x["t"]).alias("ts"))  # a set's own tokens
     first = ranked.select(F.col("i").alias("a"), F.col("n").alias("na"), F.explode(F.slice("ts", F.lit(1), F.col("n") - need(F.col("n")) + 1)).alias("t"))
     larger = each.select(F.col("i").alias("b"), F.col("n").alias("nb"), "t")
-    met = first.join(larger, "t").where((F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    both = met.join(sets.select(F.col("i").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("i").alias("b"), F.col("s").alias("sb")), "b")
-    return both.withColumn("common", F.size(F.array_intersect("sa", "sb"))).where(F.col("common") >= need(F.least(F.size("sa"), F.size("sb")))).select("a", "b", "common")
+    met = first.join(larger, "t").where((F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("a") != F.col("b")))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+#: Likeness of copies, share of a truncated copy's tokens that stand in the other in order, and tokens from which a truncation counts.
+COPY_JACCARD, CONTAINED, LEAST_TRUNCATED = 0.8, 0.9, 6
+
+
+def slots(seq: Column) -> Column:
+    """Values that template headlines vary, numbers, amounts and calendar words, but for the last token, which truncation may have cut."""
+    before = F.slice(seq, F.lit(1), F.greatest(F.size(seq) - 1, F.lit(0)))
+    return F.filter(before, lambda t: t.rlike(r"^\$?\d[\d.,]*[%tbmk]?$") | t.isin(*P.CALENDAR))
+
+
+def in_order(short: Column, long_: Column) -> Column:
+    """How many of ``short``'s tokens stand in ``long_`` one after the other, each taken at its first place after the one before."""
+    start = F.struct(F.lit(0).alias("p"), F.lit(0).alias("n"))
+
+    def step(acc: Column, t: Column) -> Column:
+        found = F.array_position(F.slice(long_, acc["p"] + 1, F.size(long_)), t).cast("int")
+        return F.when(found > 0, F.struct((acc["p"] + found).alias("p"), (acc["n"] + 1).alias("n"))).otherwise(acc)
+
+    return F.aggregate(short, start, step, lambda acc: acc["n"])
+
+
+def title_groups(items: DataFrame, item: str, title: str) -> DataFrame:
+    """(item, group): copies of titles, a group named by its smallest item.
+
+    Titles are copies if their forms are equal, their tokens have a Jaccard of COPY_JACCARD or more, or,
+    from LEAST_TRUNCATED tokens on, one holds CONTAINED of the other in order; never if each states a
+    value that the other lacks. Groups are connected components; titles without tokens stand alone.
+    """
+    forms = cut(items.select(F.col(item).alias("item"), dedup_form(F.col(title)).alias("f")))
+    nodes = cut(forms.where("f <> ''").groupBy("f").agg(F.min("item").alias("i")).select("i", "f", F.split("f", " ").alias("q"), F.array_distinct(F.split("f", " ")).alias("s")))
+    pairs = _met(nodes.select("i", "s"), lambda n: F.ceil(n * COPY_JACCARD).cast("int"))
+    side = lambda c: nodes.select(F.col("i").alias(c), F.col("q").alias(f"q{c}"), F.col("s").alias(f"s{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumns({"_n": F.size(F.array_intersect("sa", "sb")), "_x": slots(F.col("qa")), "_y": slots(F.col("qb"))})
+    na, nb, la, lb = F.size("sa"), F.size("sb"), F.size("qa"), F.size("qb")
+    apart = (F.size(F.array_except("_x", "_y")) > 0) & (F.size(F.array_except("_y", "_x")) > 0)
+    ordered = lambda short, long_: in_order(F.col(short), F.col(long_)) >= CONTAINED * F.size(short)
+    cut_short = (F.least(la, lb) >= LEAST_TRUNCATED) & (F.col("_n") >= CONTAINED * F.least(na, nb)) & ((la <= lb) & ordered("qa", "qb") | (lb <= la) & ordered("qb", "qa"))
+    links = both.where(~apart & ((F.col("_n") >= COPY_JACCARD * (na + nb - F.col("_n"))) | cut_short)).select("a", "b")
+    roots = components(links).select(F.col("node").alias("i"), F.col("root").alias("group"))
+    named = nodes.join(roots, "i", "left").select("f", F.coalesce("group", "i").alias("group"))
+    return forms.join(named, "f", "left").select(F.col("item").alias(item), F.coalesce("group", "item").alias("group"))
 
 
 def let(x: Column, f: Callable[[Column], Column]) -> Column:

@@ -253,3 +253,30 @@ def headline_overlaps(spark, sf):
     """Distinct headlines of the same story by their stems: half of the smaller one's, and three, shared."""
     h = headlines(spark, sf).select("item", H.story_stems(F.col("title")).alias("s"))
     return H.overlap_links(h, "item", "s")
+
+
+_TITLE = r"regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"
+_TITLE_FORM = f"regexp_replace(regexp_replace(trim({prepared_sql(_TITLE)}), {q(P.LEAD)}, ''), {q(P.LISTING)}, ' ', 'g')"
+_SLOTS = r"list_filter(q[:-2], lambda t: regexp_matches(t, '^\$?\d[\d.,]*[%tbmk]?$') OR list_contains(" + repr(list(P.CALENDAR)) + ", t))"
+
+
+def _in_order(short: str, long_: str) -> str:
+    """Tokens of one list found in another in order, by a fold over records of place, count and token."""
+    place = f"list_position({long_}[acc.p + 1:], x.t)"
+    return f"list_reduce(list_concat([{{'p': 0, 'n': 0, 't': ''}}], list_transform({short}, lambda t: {{'p': 0, 'n': 0, 't': t}})), lambda acc, x: {{'p': acc.p + CASE WHEN coalesce({place}, 0) > 0 THEN {place} ELSE 0 END, 'n': acc.n + CASE WHEN coalesce({place}, 0) > 0 THEN 1 ELSE 0 END, 't': x.t}}).n"
+
+
+@query(
+    f"""WITH RECURSIVE m AS (SELECT page_id, {tokens_sql(prepared_sql(_TITLE_FORM))} AS q FROM pages), s AS (SELECT min(page_id) AS i, q, list_distinct(q) AS s, {_SLOTS} AS slots FROM m WHERE len(q) > 0 GROUP BY q),
+e AS (SELECT i, unnest(s) AS t FROM s), j AS (SELECT a.i AS a, b.i AS b, count(*) AS n FROM e a JOIN e b ON a.t = b.t AND a.i < b.i GROUP BY 1, 2),
+l AS (SELECT a, b FROM j JOIN s x ON x.i = a JOIN s y ON y.i = b
+  WHERE NOT (len(list_filter(x.slots, lambda v: NOT list_contains(y.slots, v))) > 0 AND len(list_filter(y.slots, lambda v: NOT list_contains(x.slots, v))) > 0)
+    AND (n >= 0.8 * (len(x.s) + len(y.s) - n) OR least(len(x.q), len(y.q)) >= 6 AND n >= 0.9 * least(len(x.s), len(y.s))
+      AND (len(x.q) <= len(y.q) AND {_in_order("x.q", "y.q")} >= 0.9 * len(x.q) OR len(y.q) <= len(x.q) AND {_in_order("y.q", "x.q")} >= 0.9 * len(y.q)))),
+w AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), r AS (SELECT a AS i, a AS g FROM w UNION SELECT w.b, r.g FROM r JOIN w ON w.a = r.i), g AS (SELECT i, min(g) AS g FROM r GROUP BY 1)
+SELECT m.page_id, coalesce(g.g, s.i, m.page_id) AS "group" FROM m LEFT JOIN s ON s.q = m.q LEFT JOIN g ON g.i = s.i"""
+)
+def title_copies(spark, sf):
+    """Pages whose titles are copies, truncations or extensions of each other."""
+    p = table(spark, sf, "pages").select("page_id", F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("title"))
+    return H.title_groups(p, "page_id", "title")

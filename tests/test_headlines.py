@@ -162,3 +162,47 @@ def test_overlap_links_by_brute_force(spark):
 def test_story_stems(spark):
     got = by_id(rows(spark, ["Acme raises prices, shares rise 5%: why investors buy $ACM", "the of", None]).withColumn("k", H.story_stems(F.col("t"), F.array(F.lit("acm")))), "k")
     assert got == [["rais", "ris"], [], []]
+
+
+def near_identical(sa, sb):
+    """The rule for two token lists, as stated."""
+    a, b = set(sa), set(sb)
+    values = lambda seq: {t for t in seq[:-1] if re.match(r"^\$?\d[\d.,]*[%tbmk]?$", t) or t in P.CALENDAR}
+    if values(sa) - values(sb) and values(sb) - values(sa):
+        return False
+    if len(a & b) >= 0.8 * len(a | b):
+        return True
+
+    def follows(short, long_):
+        pos = n = 0
+        for t in short:
+            if t in long_[pos:]:
+                pos += long_[pos:].index(t) + 1
+                n += 1
+        return n >= 0.9 * len(short)
+
+    if min(len(sa), len(sb)) < 6 or len(a & b) < 0.9 * min(len(a), len(b)):
+        return False
+    return len(sa) <= len(sb) and follows(sa, sb) or len(sb) <= len(sa) and follows(sb, sa)
+
+
+def test_title_groups_by_brute_force(spark):
+    r = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(9)] + ["5%", "$3m", "monday", "12"]
+    base = [r.choices(vocabulary, k=r.randint(3, 10)) for _ in range(25)]
+    titles = []
+    for words in base:
+        titles += [words, words[: r.randint(1, len(words))], words + r.choices(vocabulary, k=2), [r.choice(vocabulary), *words[1:]], words[::-1]]
+    texts = [" ".join(t) for t in titles] + ["", "!!", None]
+    tokens = [t.split() if t and t != "!!" else [] for t in texts]
+    group = list(range(len(texts)))
+    moved = True
+    while moved:
+        moved = False
+        for i in range(len(texts)):
+            for j in range(i):
+                if tokens[i] and tokens[j] and group[i] != group[j] and (tokens[i] == tokens[j] or near_identical(tokens[i], tokens[j])):
+                    group[i] = group[j] = min(group[i], group[j])
+                    moved = True
+    got = {x["i"]: x["group"] for x in H.title_groups(rows(spark, texts), "i", "t").collect()}
+    assert got == dict(enumerate(group)) and 5 < len(set(group)) < len(texts) - 20

@@ -124,6 +124,23 @@ def test_bpe_round_trip(spark):
     assert byte_bpe.digests(empty_docs(spark), BPE, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_maps_agree(spark):
+    """Encoding and decoding apart, and the one map of both, give the same ids, bytes and digests."""
+    apart = byte_bpe.decode(byte_bpe.encode(odd_docs(spark), BPE, public_tokenizers.PATTERN), BPE).collect()
+    both = byte_bpe.round_trip(odd_docs(spark), BPE, public_tokenizers.PATTERN).collect()
+    assert len(apart) == len(both)
+    for a, b in zip(apart, both, strict=True):
+        assert a["ids"] == b["ids"] and b["n_tokens"] == len(b["ids"]) and a["score"] == b["score"]
+        assert b["decoded_sha256"] == hashlib.sha256(bytes(a["decoded"])).hexdigest() and b["ids_sha256"] == hashlib.sha256(",".join(map(str, a["ids"])).encode()).hexdigest()
+
+
+def test_memos_of_two_generations():
+    memo = byte_bpe.Memo(4)
+    for k in range(5):
+        memo.put(k, k * k)
+    assert memo.get(4) == 16 and memo.get(2) == 4 and memo.get(0) is None and len(memo.new) + len(memo.old) <= 5
+
+
 # -- SimHash -----------------------------------------------------------------------------------
 
 

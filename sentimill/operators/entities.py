@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentimill.functions.parsing import is_roundup, plain_signs
-from sentimill.operators.components import join_unique
 from sentimill.sources.shared import cut
 
 # Legal forms and share classes at a name's end, words too common to stand for a company, noise in brokers' names.
@@ -74,12 +73,12 @@ def runs(texts: DataFrame, item: str, text: str, longest: int, shortest: int = 1
 def mentions(texts: DataFrame, item: str, text: str, names: DataFrame, key: str, longest: int = 6) -> DataFrame:
     """(item, key, alias, kind, place, companies_of): where each text names a company, the longest alias at a place only.
 
-    Runs that no alias has never leave their task's partial counts: texts are cut to distinct runs, which
-    meet the aliases by equality; a hot alias is joined apart.
+    Runs and aliases meet by equality. The aliases are written first, so that their size is known: Spark
+    sends a small table to the texts, and otherwise deals both sides out by alias and splits a hot one.
     """
     found = runs(texts, item, text, longest)
     by_alias = names.groupBy("alias").agg(F.collect_list(F.struct(F.col(key), "kind", "companies_of")).alias("_of"))  # as many as share a name
-    hit = join_unique(cut(found.withColumnRenamed("run", "alias")), by_alias, "alias")
+    hit = cut(found.withColumnRenamed("run", "alias").join(cut(by_alias), "alias"))
     inside = F.explode(F.sequence("place", F.col("place") + F.col("words") - 1))
     taken = hit.select(item, F.col("words").alias("_w"), F.col("place").alias("_p"), inside.alias("_at"))
     longest_at = taken.groupBy(item, "_at").agg(F.max(F.struct("_w", -F.col("_p"))).alias("_best"))
@@ -128,7 +127,8 @@ def routine_revisions(stories: DataFrame, story: str, title: str, at: str, actio
         F.count(F.lit(1)).alias("_n"), F.count_if(F.col(action).isin("up", "down", "init")).alias("_changes"), F.count(moved).alias("_moves"), F.count_if(moved >= small).alias("_large")
     )
     daily = cut(daily)
-    named = runs(stories, story, title, longest).join(daily.select(F.col("_core").alias("run")).distinct(), "run", "left_semi").select(story, F.col("run").alias("_core")).distinct()
+    cores = cut(daily.select(F.col("_core").alias("run")).distinct())  # of known size, so that a small table goes to the titles
+    named = runs(stories, story, title, longest).join(cores, "run", "left_semi").select(story, F.col("run").alias("_core")).distinct()
     near = named.join(stories.select(story, number(at).alias("_s")), story).select(story, "_core", F.explode(F.sequence(F.col("_s") - days, F.col("_s") + days)).alias("_day"))
     sums = near.join(daily, ["_core", "_day"]).groupBy(story).agg(*[F.sum(c).alias(c) for c in ("_n", "_changes", "_moves", "_large")])
     routine = (F.col("_changes") == 0) & (F.col("_large") == 0) & (F.col("_moves") > 0)

@@ -200,6 +200,12 @@ CLAUSE = r"[;:!?]+(?:\s+|$)|\.(?:\s+|$)|\s-\s"
 REPEAT, CONCEDED, ASKED, TURNED, SCALE = 0.5, 0.6, 0.5, -0.7, 4.0
 
 
+def worth_reading(text: Column) -> Column:
+    """Whether a text can have evidence: a word or direction of the phrase book, or what every rule needs. One pass that spares most texts the others."""
+    hint = trie_pattern([k for k, (role, _) in P.roles().items() if role in ("word", "direction")] + ["price target", "upgrade", "upgrades", "upgraded", "downgrade", "downgrades", "downgraded", "vs", "versus", "compared", "against", "from"])
+    return F.regexp_replace(prepared(text), r"([a-z])-([a-z])", "$1 $2").rlike(hint)
+
+
 def spans(items: DataFrame, text: str) -> DataFrame:
     """``items`` with ``_clauses``: whether a contrast follows a clause, and its marks with their place, role and value."""
     book = P.roles()
@@ -216,7 +222,7 @@ def spans(items: DataFrame, text: str) -> DataFrame:
 
     marks = lambda clause: F.filter(F.transform(F.regexp_extract_all(clause, F.lit(PIECE), 0), lambda p, i: F.struct(p.alias("p"), i.alias("i"))), lambda x: x["p"].startswith(OPEN))
     of = lambda segs: F.flatten(F.transform(segs, lambda seg, s: F.transform(F.split(seg, CLAUSE), lambda c: F.struct((s < F.size(segs) - 1).alias("conceded"), marks(c).alias("marks")))))
-    read = items.withColumn("_clauses", F.filter(let(F.split(claimed(F.col(text)), TURN), of), lambda c: F.size(c["marks"]) > 0))
+    read = items.withColumn("_clauses", F.filter(let(F.split(claimed(F.when(worth_reading(F.col(text)), F.col(text))), TURN), of), lambda c: F.size(c["marks"]) > 0))
     return read.withColumn("_clauses", F.transform("_clauses", lambda c: F.struct(c["conceded"].alias("conceded"), F.transform(c["marks"], lambda x: span(x["p"], x["i"])).alias("spans"))))
 
 

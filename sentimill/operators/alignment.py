@@ -6,11 +6,15 @@ turn a range condition into an equality on day buckets, so that no pair is forme
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentimill.sources.shared import cut
 
+#: Pairs of a one-to-one matching that one task walks.
+MATCHING_BLOCK = 100_000
+
 
 def asof_backward(left: DataFrame, right: DataFrame, key: str, on: str, value: str) -> DataFrame:
     """``left`` with the ``value`` of the last ``right`` row at or before its ``on``, and where that row stands."""
@@ -89,25 +93,52 @@ def member_overlaps(now: DataFrame, before: DataFrame, story: str, member: str,
     return pairs.where(F.col("share") >= least_share).select(story, "_old", "shared", "share")
 
 
-def one_to_one(pairs: DataFrame, a: str, b: str, strength: str, most_rounds: int = 60) -> DataFrame:
+def one_to_one(pairs: DataFrame, a: str, b: str, strength: str, block: int = MATCHING_BLOCK) -> DataFrame:
     """Pairs of a one-to-one matching: the strongest pair first, then the strongest of what is left; ties by the smaller ``a``, then ``b``.
 
-    The walk over all pairs in order is made by rounds: a pair that is the best of both its ends is in
-    the matching whatever else is, and what touches it is not. Pairs left shrink each round, as the best
-    of all that are left is always taken.
+    The walk over all pairs in order is made by rounds. One task walks the first ``block`` pairs in order,
+    which decides all of them; those are all pairs in most cases. Where more are left, a pair that is the
+    best of both its ends is in the matching whatever else is, and what touches a matched pair is not. So
+    every round decides ``block`` pairs at least, also where ties make each pair wait for the one before it.
     """
     order = F.struct(-F.col(strength), F.col(a), F.col(b))
     left = cut(pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull() & F.col(strength).isNotNull()).select(a, b, strength).withColumn("_o", order).groupBy(a, b).agg(F.min("_o").alias("_o")))
+    kind = left.select(a, b, "_o").schema
+
+    def walk(batches):
+        used_a, used_b = set(), set()
+        for batch in batches:
+            free = []
+            for i, (x, y) in enumerate(zip(batch.column(a).to_pylist(), batch.column(b).to_pylist(), strict=True)):
+                if x not in used_a and y not in used_b:
+                    used_a.add(x)
+                    used_b.add(y)
+                    free.append(i)
+            yield batch.take(pa.array(free, pa.int64()))
+
     done = None
-    for _ in range(most_rounds):
-        best_a = left.groupBy(a).agg(F.min("_o").alias("_a"))
-        best_b = left.groupBy(b).agg(F.min("_o").alias("_b"))
-        taken = cut(left.join(best_a, a).join(best_b, b).where((F.col("_o") == F.col("_a")) & (F.col("_o") == F.col("_b"))).select(a, b, (-F.col("_o.col1")).alias(strength)))
-        done = taken if done is None else done.unionByName(taken)
-        left = cut(left.join(taken.select(a), a, "left_anti").join(taken.select(b), b, "left_anti"))
-        if left.isEmpty():
+    while True:
+        n = left.count()
+        first = left.select(a, b, "_o")
+        first = first.coalesce(1).sortWithinPartitions("_o") if n <= block else first.orderBy("_o").limit(block).coalesce(1).sortWithinPartitions("_o")
+        taken = first.mapInArrow(walk, kind)  # at most ``block`` rows in the task
+        if n > block:
+            taken = cut(taken)
+            left = cut(_untouched(left, taken, a, b))
+            best_a = left.groupBy(a).agg(F.min("_o").alias("_a"))
+            best_b = left.groupBy(b).agg(F.min("_o").alias("_b"))
+            best = cut(left.join(best_a, a).join(best_b, b).where((F.col("_o") == F.col("_a")) & (F.col("_o") == F.col("_b"))).select(a, b, "_o"))
+            left = cut(_untouched(left, best, a, b))
+            taken = taken.unionByName(best)
+        found = taken.select(a, b, (-F.col("_o.col1")).alias(strength))
+        done = found if done is None else done.unionByName(found)
+        if n <= block:
             return done
-    raise RuntimeError(f"one_to_one: pairs are left after {most_rounds} rounds")
+
+
+def _untouched(left: DataFrame, taken: DataFrame, a: str, b: str) -> DataFrame:
+    """Pairs neither end of which is taken."""
+    return left.join(taken.select(a), a, "left_anti").join(taken.select(b), b, "left_anti")
 
 
 def story_identity(now: DataFrame, before: DataFrame, story: str, member: str, headlines: tuple[DataFrame, DataFrame] | None = None, tone_gap: float = 0.15, least_share: float = 1 / 3) -> DataFrame:

@@ -28,6 +28,23 @@ def test_rounds_of_best_pairs_are_the_walk(spark):
         assert got == walk([(a, b, s) for (a, b), s in best.items()])
 
 
+def test_ties_that_wait_for_each_other_need_no_round_each(spark):
+    pairs = [(i, j, 1.0) for i in range(70) for j in range(70)]
+    df = spark.createDataFrame(pairs, "a int, b int, s double")
+    assert {(x["a"], x["b"]) for x in alignment.one_to_one(df, "a", "b", "s").collect()} == {(i, i) for i in range(70)}
+
+
+def test_blocks_of_pairs_in_order_are_the_walk(spark):
+    r = random.Random(3)
+    pairs = [(r.randrange(40), r.randrange(40), r.randrange(3) / 2) for _ in range(400)]
+    best: dict = {}
+    for a, b, s in pairs:
+        best[a, b] = max(best.get((a, b), s), s)
+    df = spark.createDataFrame(pairs, "a int, b int, s double")
+    got = {(x["a"], x["b"]) for x in alignment.one_to_one(df, "a", "b", "s", block=50).collect()}
+    assert got == walk([(a, b, s) for (a, b), s in best.items()])
+
+
 def test_story_identity_by_members_then_headlines(spark):
     now = spark.createDataFrame([("n1", m) for m in "abc"] + [("n2", m) for m in "xyz"] + [("n3", m) for m in "pq"] + [("n4", "u"), ("n5", "v"), ("n6", None)], "story string, m string")
     old = spark.createDataFrame([("o1", m) for m in "ab"] + [("o2", m) for m in "abcd"] + [("o3", m) for m in "xklmn"] + [("o4", "t"), ("o5", "w")], "story string, m string")

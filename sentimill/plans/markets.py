@@ -262,7 +262,8 @@ SELECT user_id, min(s)::BIGINT AS start_s, count(*) AS n FROM k GROUP BY user_id
 )
 def session_windows(spark, sf):
     i = items(spark, sf).withColumn("at", F.timestamp_seconds(F.unix_seconds("ts")))
-    g = i.groupBy("user_id", F.session_window("at", "2 hours").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    # windows that touch are merged; a pause of two hours is to part them, and times are whole seconds
+    g = i.groupBy("user_id", F.session_window("at", "7199 seconds").alias("w")).agg(F.count(F.lit(1)).alias("n"))
     return g.select("user_id", F.unix_seconds("w.start").alias("start_s"), "n")
 
 

@@ -176,3 +176,18 @@ def test_components_where_keys_are_dealt_wider(spark, monkeypatch):
 
 def test_components_of_no_edges(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_pause_of_exactly_two_hours_parts_sessions_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    from sentimill import plans
+    from tests.duck import duck_rows, spark_rows
+
+    duckdb.execute(f"""COPY (SELECT i AS event_id, TIMESTAMP '2024-01-05 00:00:00' + INTERVAL (s) SECOND AS ts, 7::BIGINT AS user_id, 'view' AS event_type, 50.0::DOUBLE AS value, '' AS props
+      FROM (VALUES (1::BIGINT, 0), (2, 7199), (3, 14399), (4, 21600)) t(i, s)) TO '{tmp_path}/events.parquet' (FORMAT parquet)""")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet')")
+    got = plans.QUERIES["session_windows"](spark, str(tmp_path))
+    assert spark_rows(got) == duck_rows(c, plans.ORACLES["session_windows"])
+    assert sorted(r["n"] for r in got.collect()) == [1, 1, 2]

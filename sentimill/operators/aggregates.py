@@ -84,14 +84,15 @@ def timeline(items: DataFrame, key: str, now: Column, days: int = 7) -> DataFram
 def theme_stats(items: DataFrame, key: str, themes: str = "themes", most: int = MOST_THEMES) -> DataFrame:
     """Count, weighted tone and share of every theme of a key, the ``most`` covered first (ties: weight, name).
 
-    A theme needs two items where the key has twenty. ``themes`` is an array column.
+    A theme needs two items where the key has twenty. ``themes`` is an array column. Weights are compared
+    by their sums in decimals, which don't hang on the order of the items: equal items give equal sums.
     """
     scored = items.where(F.col("score").isNotNull())
     totals = scored.groupBy(key).agg(F.count(F.lit(1)).alias("_total"))
     tagged = (
         scored.select(key, "score", "weight", F.explode(F.array_distinct(themes)).alias("theme"))
         .groupBy(key, "theme")
-        .agg(F.count(F.lit(1)).alias("n"), weighted_mean(F.col("score"), F.col("weight")).alias("tone"), F.sum("weight").alias("weight"))
+        .agg(F.count(F.lit(1)).alias("n"), weighted_mean(F.col("score"), F.col("weight")).alias("tone"), F.sum(F.col("weight").cast("decimal(28,18)")).alias("weight"))
     )
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), F.desc("weight"), "theme"))
     return (

@@ -191,3 +191,11 @@ def test_a_pause_of_exactly_two_hours_parts_sessions_as_in_sql(spark, tmp_path):
     got = plans.QUERIES["session_windows"](spark, str(tmp_path))
     assert spark_rows(got) == duck_rows(c, plans.ORACLES["session_windows"])
     assert sorted(r["n"] for r in got.collect()) == [1, 1, 2]
+
+
+def test_themes_of_equal_weights_are_a_tie_in_any_order(spark):
+    from sentimill.operators import aggregates
+
+    rows = [("k", 1.0, w, [t]) for t, ws in (("z", (0.1, 0.2, 0.3)), ("a", (0.3, 0.2, 0.1))) for w in ws]
+    items = spark.createDataFrame(rows, "k string, score double, weight double, themes array<string>").coalesce(1)
+    assert [r["theme"] for r in aggregates.theme_stats(items, "k", most=1).collect()] == ["a"]

@@ -27,8 +27,8 @@ ORDER = 6
 SHARE = 2.0**-16
 #: One labelled URL of so many is held back from the models for the calibration.
 FOLDS = 5
-#: Score differences are calibrated by counts in bins of 1 / BINS_PER_UNIT, up to MOST_BIN on either side.
-BINS_PER_UNIT, MOST_BIN = 1000, 20_000
+#: Score differences are calibrated by counts in bins of 1 / BINS_PER_UNIT. A difference is a mean of log ratios, each of which has at most ORDER + 1 factors of at least 1 / 2^64: the bins are bounded without a cut.
+BINS_PER_UNIT = 1000
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -200,7 +200,7 @@ def train(labelled: DataFrame, url: str = "url", blocked: str = "blocked", share
 
 
 def _bins(d: np.ndarray) -> pa.Array:
-    return pa.array(np.clip(np.round(d * BINS_PER_UNIT), -MOST_BIN, MOST_BIN).astype(np.int32))
+    return pa.array(np.round(d * BINS_PER_UNIT).astype(np.int32))
 
 
 def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str]], url: str = "url", share: float = SHARE) -> DataFrame:

@@ -245,3 +245,7 @@ def test_scores_beyond_64_bits_are_exact(spark):
     a, n, l, r = 987_654_321_012, 123_456_789_012_345, 987_654_321_013, 987_654_321_014  # noqa: E741
     df = spark.createDataFrame([(a, n, l, r)], "a bigint, n bigint, l bigint, r bigint")
     assert df.selectExpr(phrases.SCORE).first()[0] == 1000 * a * n // (l * r)
+
+
+def test_no_bin_of_the_calibration_takes_the_rest():
+    assert url_filter._bins(np.array([-30.0, -25.0, 25.0, 30.0])).to_pylist() == [-30_000, -25_000, 25_000, 30_000]

@@ -9,8 +9,10 @@ exact Jaccard of its sets, and every pair that shares a bucket is linked, found
 component already.
 
 Bounds. In every bucket the members are first compared with a few of them, a fixed number of pairs a
-member and round; buckets whose members then are in one component need no more. What is left of the others
-meets by rare shingles it shares, an exact bound; sizes that can't be that alike are never compared.
+member and round; buckets whose members then are in one component, or have all met, need no more. What is
+left of the others meets by rare shingles it shares, an exact bound; sizes that can't be that alike are never
+compared. Texts are read again where sets are needed, not kept, and texts and sets that no pair needs are
+left out by a bitmap of fixed size before they are shuffled; its false hits cost work only.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ BANDS, ROWS = 16, 4
 ROUNDS, STARS = 2, 4
 #: Shingles hashed by all rows at a time.
 CHUNK = 4096
+#: Bits of the map of wanted keys, in pieces of 2^15 bits as ``bitmap_construct_agg`` makes them: 4 MB in all, whatever the input.
+MAP_BITS = 1 << 25
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _R = np.random.default_rng(29)
 _FLIP = _R.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
@@ -77,7 +81,7 @@ def print_of(found: np.ndarray) -> int:
 
 
 def _hashed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, node, n, keys, fp, text): the set's digest, its size, its band keys and its SimHash for every row."""
+    """(doc_id, node, n, keys, fp, key): the set's digest, its size, its band keys, its SimHash and the text's key for every row."""
 
     def task(batches):
         for batch in batches:
@@ -87,24 +91,53 @@ def _hashed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 keys = np.concatenate([bands(s) for s in sets]).view(np.int64)
                 ends = pa.array(np.arange(0, len(keys) + 1, BANDS, dtype=np.int32))
                 prints = pa.array(np.array([print_of(s) for s in sets], np.uint64).view(np.int64))
-                columns = [part.column("doc_id"), pa.array(nodes), pa.array(np.array([len(s) for s in sets], np.int32)), pa.ListArray.from_arrays(ends, pa.array(keys)), prints, part.column("text")]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n", "keys", "fp", "text"])
+                columns = [part.column("doc_id"), pa.array(nodes), pa.array(np.array([len(s) for s in sets], np.int32)), pa.ListArray.from_arrays(ends, pa.array(keys)), prints, part.column("key")]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n", "keys", "fp", "key"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(task, f"doc_id {kind}, node long, n int, keys array<long>, fp long, text binary")
+    bare = _texts(docs, text, doc_id)
+    return bare.mapInArrow(task, f"doc_id {kind}, node long, n int, keys array<long>, fp long, key long")
+
+
+def _texts(docs: DataFrame, text: str, doc_id: str | None = None) -> DataFrame:
+    """(key, text), and doc_id where named: the texts' bytes under their 64-bit hashes."""
+    ids = [] if doc_id is None else [F.col(doc_id).alias("doc_id")]
+    body = F.col(text).cast("binary")
+    return docs.select(*ids, F.xxhash64(body).alias("key"), body.alias("text"))
+
+
+def _only(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The ``rows`` whose ``key`` is among the keys of ``wanted``, a single column, and few others: by a bitmap of MAP_BITS bits, nothing is shuffled."""
+    at = F.pmod(F.xxhash64(F.col(key)), F.lit(MAP_BITS))
+    own = wanted.toDF(key).select(at.alias("_at"))
+    bits = own.groupBy(F.bitmap_bucket_number("_at").alias("_piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits"))
+    place = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring("_bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    met = rows.withColumn("_piece", F.bitmap_bucket_number(at)).join(F.broadcast(bits), "_piece")  # at most MAP_BITS / 2^15 pieces
+    return met.where(F.getbit(byte, (place % 8).cast("int")) == 1).select(rows.columns)
+
+
+def sketch(found: np.ndarray) -> np.ndarray:
+    """A bitmap of the hashes' low bits, some four to eight bits a hash, as 64-bit words: an eighth of the set's size or less."""
+    size = max(64, 1 << (4 * len(found) - 1).bit_length())
+    bits = np.zeros(size, np.uint8)
+    bits[(found & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
 
 
 def _sets(texts: DataFrame) -> DataFrame:
-    """(node, s) from (node, text)."""
+    """(node, s, bits) from (node, text): the set and its sketch."""
 
     def task(batches):
         for batch in batches:
             for part, found in slices(batch, "text"):
                 sets = [shingles(t) for t in found]
-                ends = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))], names=["node", "s"])
+                lists = [[s.view(np.int64) for s in sets], [sketch(s) for s in sets]]
+                ends = [pa.array(np.concatenate([[0], np.cumsum([len(x) for x in xs])]).astype(np.int32)) for xs in lists]
+                arrays = [pa.ListArray.from_arrays(e, pa.array(np.concatenate(xs))) for e, xs in zip(ends, lists, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("node"), *arrays], names=["node", "s", "bits"])
 
-    return texts.mapInArrow(task, "node long, s array<long>")
+    return texts.mapInArrow(task, "node long, s array<long>, bits array<long>")
 
 
 def _fits(na, nb):
@@ -112,35 +145,59 @@ def _fits(na, nb):
     return F.least(na, nb) * OF >= F.greatest(na, nb) * LIKE
 
 
+def _may_be_alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (a, b) pairs, given cut, that their sketches don't rule out.
+
+    Each bit that one sketch has beyond the other stands for a hash at least that the other set lacks, which
+    bounds what they share. Of two sketches' lengths the longer is folded; further apart than that they rule out nothing.
+    """
+    side = lambda c: sets.select(F.col("node").alias(c), F.size("s").alias(f"n{c}"), F.col("bits").alias(f"x{c}"))
+    both = join_unique(cut(join_unique(pairs, side("a"), "a")), side("b"), "b")
+    half = lambda x, n: F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, n + 1, n), lambda u, v: u.bitwiseOR(v))
+    folded = lambda x, y: F.when(F.size(x) == 2 * F.size(y), half(F.col(x), F.size(y))).otherwise(F.col(x))
+    both = both.withColumns({"ya": folded("xa", "xb"), "yb": folded("xb", "xa")})
+    lacks = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v)))), F.lit(0), lambda acc, k: acc + k)
+    most = F.least(F.col("na") - lacks("ya", "yb"), F.col("nb") - lacks("yb", "ya"))
+    can = most * (LIKE + OF) >= (F.col("na") + F.col("nb")) * LIKE
+    return both.where((F.size("ya") != F.size("yb")) | can).select("a", "b")
+
+
 def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The (a, b) pairs whose sets are alike enough."""
-    one = cut(join_unique(cut(pairs), sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a"))
-    both = join_unique(one, sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    pairs = cut(_may_be_alike(cut(pairs), sets))
+    few = _only(sets, "node", pairs.select("a").union(pairs.select("b")))
+    one = cut(join_unique(pairs, few.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a"))
+    both = join_unique(one, few.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return cut(both.where(shared * OF >= (F.size("sa") + F.size("sb") - shared) * LIKE).select("a", "b"))
 
 
 def _buckets(rows: DataFrame) -> DataFrame:
-    """Rows (node, n, bucket) of buckets with several nodes, each with one of them as ``star``: the shortest, which the others may contain."""
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min_by("node", F.struct("n", "node")).alias("star"), F.min("n").alias("star_n"))
-    return cut(join_unique(rows, cut(shared.where("c > 1").drop("c")), "bucket"))
+    """The rows (node, n, bucket) of buckets with several nodes."""
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"))
+    return cut(join_unique(rows, cut(shared.where("c > 1").select("bucket")), "bucket"))
 
 
 def _to_star(members: DataFrame) -> DataFrame:
-    return members.where((F.col("node") != F.col("star")) & _fits(F.col("n"), F.col("star_n"))).select(F.least("star", "node").alias("a"), F.greatest("star", "node").alias("b")).distinct()
+    """(a, b): members of each bucket with one of them: the shortest, which the others may contain."""
+    stars = cut(members.groupBy("bucket").agg(F.min_by("node", F.struct("n", "node")).alias("star"), F.min("n").alias("star_n")))
+    met = join_unique(members, stars, "bucket").where((F.col("node") != F.col("star")) & _fits(F.col("n"), F.col("star_n")))
+    return met.select(F.least("star", "node").alias("a"), F.greatest("star", "node").alias("b")).distinct()
 
 
-def _to_stars(members: DataFrame, k: int) -> DataFrame:
-    """(a, b): members of each bucket with each of up to STARS of them, where they are in different components and may be alike.
+def _to_stars(members: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b): members of each bucket with each of up to STARS of them, where they are in different components and may be alike; and the members of buckets in which some have not met.
 
     The stars of a bucket are drawn by a hash of bucket, node and round ``k``, so that a node meets others in each of its buckets.
+    Only members that are no stars don't meet each other, so a bucket with one of them, or none, is done with.
     """
     draw = F.xxhash64("bucket", "node", F.lit(k))
-    drawn = members.groupBy("bucket", F.pmod(draw, F.lit(STARS)).alias("slot")).agg(F.min_by(F.struct("node", "n", "root"), draw).alias("z"))
-    stars = cut(drawn.groupBy("bucket").agg(F.collect_list("z").alias("stars")))
+    drawn = members.groupBy("bucket", F.pmod(draw, F.lit(STARS)).alias("slot")).agg(F.min_by(F.struct("node", "n", "root"), draw).alias("z"), F.count(F.lit(1)).alias("c"))
+    stars = cut(drawn.groupBy("bucket").agg(F.collect_list("z").alias("stars"), F.sum("c").alias("c")))
+    left = join_unique(members, stars.where(F.col("c") - F.size("stars") > 1).select("bucket"), "bucket")
     met = join_unique(members, stars, "bucket").select("node", "n", "root", F.explode("stars").alias("z"))
     met = met.where((F.col("root") != F.col("z.root")) & _fits(F.col("n"), F.col("z.n")))
-    return met.select(F.least("z.node", "node").alias("a"), F.greatest("z.node", "node").alias("b")).distinct()
+    return met.select(F.least("z.node", "node").alias("a"), F.greatest("z.node", "node").alias("b")).distinct(), left
 
 
 def _by_rare_shingles(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -153,7 +210,7 @@ def _by_rare_shingles(members: DataFrame, sets: DataFrame) -> DataFrame:
     paired with each other.
     """
     nodes = cut(members.select("node", "n", "root").distinct())
-    told = cut(join_unique(nodes, sets, "node").select("node", "n", "root", F.explode("s").alias("t")))
+    told = cut(join_unique(nodes, _only(sets, "node", nodes.select("node")), "node").select("node", "n", "root", F.explode("s").alias("t")))
     common = cut(told.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
     order = Window.partitionBy("node").orderBy("c", "t")
     ranked = join_unique(told, common, "t").withColumns({"at": F.row_number().over(order), "m": F.count(F.lit(1)).over(Window.partitionBy("node"))})
@@ -176,24 +233,24 @@ def _with_roots(members: DataFrame, found: DataFrame) -> DataFrame:
     return cut(join_unique(rooted, mixed, "bucket"))
 
 
-def links(hashed: DataFrame) -> DataFrame:
-    """(a, b): node pairs whose components are those of all pairs that share a bucket and are alike enough. Give ``hashed`` cut.
+def links(hashed: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): node pairs whose components are those of all pairs that share a bucket and are alike enough. Give ``hashed`` cut; of ``texts`` (key, text) one is read for each node of a shared bucket.
 
     The SimHash buckets go first: they join most copies, each by one comparison, and the bands then compare only nodes of different components.
     """
-    nodes = cut(hashed.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("fp").alias("fp")))
+    nodes = cut(hashed.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("fp").alias("fp"), F.min("key").alias("key")))
     near = cut(components(simhash.links(cut(nodes.select("fp").distinct()))).select(F.col("node").alias("fp"), "root"))
     by_print = _buckets(cut(join_unique(nodes.select("node", "n", "fp"), near, "fp", "left").select("node", "n", F.coalesce("root", "fp").alias("bucket"))))
     by_band = _buckets(cut(nodes.select("node", "n", F.explode("keys").alias("bucket"))))
-    wanted = cut(by_print.select("node").union(by_band.select("node")).distinct())
-    texts = join_unique(hashed.select("node", "text"), wanted, "node").groupBy("node").agg(F.first("text").alias("text"))
-    sets = cut(_sets(texts))
+    wanted = cut(nodes.select("node", "key").join(by_print.select("node").union(by_band.select("node")).distinct(), "node"))
+    read = _only(texts, "key", wanted.select("key")).groupBy("key").agg(F.first("text").alias("text"))
+    sets = cut(_sets(read.join(wanted, "key").select("node", "text")))
     found = _alike(_to_star(by_print), sets)
     members = _with_roots(by_band, found)
     for k in range(ROUNDS):
-        new = _alike(_to_stars(members, k), sets)
-        found = cut(found.unionByName(new))
-        members = _with_roots(members, found)
+        pairs, left = _to_stars(members, k)
+        found = cut(found.unionByName(_alike(pairs, sets)))
+        members = _with_roots(left, found)
     return cut(found.unionByName(_alike(_by_rare_shingles(members, sets), sets)))
 
 
@@ -206,7 +263,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     hashed = cut(_hashed(docs, doc_id, text))
     ids = cut(hashed.select("doc_id", "node"))
     first = cut(ids.groupBy("node").agg(F.min("doc_id").alias("first")))
-    grown = cut(join_unique(first, components(links(hashed)), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    grown = cut(join_unique(first, components(links(hashed, _texts(docs, text))), "node", "left").withColumn("root", F.coalesce("root", "node")))
     least = cut(grown.groupBy("root").agg(F.min("first").alias("component_id")))
     by_node = cut(join_unique(grown, least, "root").select("node", "component_id"))
     return join_unique(ids, by_node, "node").select("doc_id", "component_id")

@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+import numpy as np
+
 import corpus_pipeline as P
 from sentimill.llm import decontaminate, line_quality, near_copies, toxicity
 from sentimill.sources import table
@@ -131,6 +133,34 @@ def test_pairs_by_rare_shingles(spark):
     assert not any(a >= 110 for a, _ in found)  # sets that share nothing
 
 
+def test_near_copies_keeps_neither_texts_nor_needless_pairs(spark):
+    """Hashed rows carry no text; the bitmap and the sketches lose nothing that is wanted; members that have all met leave the rounds."""
+    r = random.Random(14)
+    hashed = near_copies._hashed(spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string"), "doc_id", "text")
+    assert "text" not in hashed.columns
+
+    rows = spark.createDataFrame([(i, str(i)) for i in range(2000)], "k long, v string")
+    wanted = set(r.sample(range(3000), 150))
+    got = [x["k"] for x in near_copies._only(rows, "k", spark.createDataFrame([(k,) for k in wanted], "w long")).collect()]
+    assert {k for k in wanted if k < 2000} <= set(got) and len(got) == len(set(got)) < 200
+
+    sets = [{r.randrange(1 << 63) for _ in range(n)} for n in (1, 2, 15, 16, 17, 33, 400)]
+    for s in list(sets):
+        for share in (0.02, 0.1, 0.2, 0.5):  # of the hashes replaced, and some left out
+            kept = set(r.sample(sorted(s), max(1, round(len(s) * (1 - share)))))
+            sets += [kept, kept | {r.randrange(1 << 63) for _ in range(round(len(s) * share))}]
+    arrays = [np.array(sorted(s), np.uint64) for s in sets]
+    table_ = spark.createDataFrame([(i, [int(x) for x in a], near_copies.sketch(a).tolist()) for i, a in enumerate(arrays)], "node long, s array<long>, bits array<long>")
+    pairs = [(i, j) for j in range(len(sets)) for i in range(j)]
+    found = {(x["a"], x["b"]) for x in near_copies._may_be_alike(spark.createDataFrame(pairs, "a long, b long"), table_).collect()}
+    alike = {(i, j) for i, j in pairs if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    assert len(alike) > 30 and alike <= found and len(found) < len(pairs) // 2
+
+    members = spark.createDataFrame([(i, 10, i, b) for b, size in ((1, 2), (2, 40)) for i in range(100 * b, 100 * b + size)], "node long, n int, root long, bucket long")
+    met, left = near_copies._to_stars(members, 0)
+    assert {(100, 101)} <= {(x["a"], x["b"]) for x in met.collect()} and {x["bucket"] for x in left.select("bucket").collect()} == {2}
+
+
 def test_near_copies_with_common_passage(spark):
     """Texts that share a long passage but have words of their own stay apart; a large group of altered copies is one group; against all pairs."""
     r = random.Random(21)

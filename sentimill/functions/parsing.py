@@ -17,7 +17,9 @@ GRADES = {"bull": r"\b(?:buy|outperform|overweight|positive|accumulate)\b", "bea
 
 def plain_signs(text: Column) -> Column:
     """Typographic quotes, dashes and blanks as plain ones, the ellipsis as three dots."""
-    return F.replace(F.translate(text, FANCY, PLAIN), F.lit("…"), F.lit("..."))
+    for fancy, plain in [*zip(FANCY, PLAIN, strict=True), ("…", "...")]:
+        text = F.replace(text, F.lit(fancy), F.lit(plain))
+    return text
 
 
 def word_count(text: Column) -> Column:

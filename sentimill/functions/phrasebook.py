@@ -27,6 +27,8 @@ RULES: tuple[tuple[str, float | None, str], ...] = (
     ("compared", None, rf"({AMOUNT}),?\s+(?:vs\.?|versus|compared (?:to|with)|against)\s+(?:the\s+|an?\s+)?((?:consensus|estimates?|expectations?|forecasts?)\s+)?(?:of\s+)?({AMOUNT})"),
     ("moved", None, rf"\bfrom\s+({AMOUNT})()\s+to\s+({AMOUNT})"),
 )
+#: What every match of a rule's pattern holds, one of them at least.
+NEEDED = {pattern: needed for (_, _, pattern), needed in zip(RULES, (("price target",), ("price target",), ("upgrade",), ("downgrade",), ("vs", "versus", "compared ", "against"), ("from",)), strict=True)}
 
 DIRECTIONS = {
     "raises": 1.4, "raised": 1.4, "rises": 1.1, "rose": 1.1, "grows": 1.2, "grew": 1.2, "jumps": 1.6, "jumped": 1.6, "surges": 2.0, "surged": 2.0, "climbs": 1.2, "climbed": 1.2,

@@ -8,6 +8,7 @@ places; nothing is shuffled and no Python runs.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -25,18 +26,27 @@ OPEN, CLOSE, PART, TURN = "‹", "›", "¦", "‡"
 NEAR, BEFORE, GOVERNED, NEGATED = 6, 10, 5, 4
 
 
+#: White space that isn't one blank already.
+SPACES = r"[\t-\r][\s\x0B]*| [\s\x0B]+"
 #: Characters beyond ASCII other than the pound and euro signs.
 BEYOND = r"[\x{80}-\x{A2}\x{A4}-\x{20AB}\x{20AD}-\x{10FFFF}]"
 
 
 def prepared(text: Column) -> Column:
     """Lower case with plain signs, white space squeezed, currency codes as signs, other characters beyond ASCII as underscores (parts of words, in every engine)."""
-    low = F.regexp_replace(F.regexp_replace(F.lower(plain_signs(F.coalesce(text, F.lit("")))), r"[\s\x0B]+", " "), BEYOND, "_")
-    for sign, pattern in P.CODES:
-        low = F.regexp_replace(low, pattern, f"\\{sign}$1" if sign == "$" else f"{sign}$1")
+    low = F.regexp_replace(F.lower(plain_signs(F.coalesce(text, F.lit("")))), SPACES, " ")
+    low = let(low, lambda t: F.when(F.octet_length(t) == F.length(t), t).otherwise(F.regexp_replace(t, BEYOND, "_")))
+    for (sign, pattern), needed in zip(P.CODES, (("usd", "us$"), ("eur",), ("gbp",)), strict=True):
+        low = replaced(low, pattern, f"\\{sign}$1" if sign == "$" else f"{sign}$1", needed)
     return low
 
 
+def replaced(text: Column, pattern: str, by: str, needed: Iterable[str]) -> Column:
+    """What ``regexp_replace`` gives; every match of the pattern holds one of ``needed``, so texts without these are spared its pass."""
+    holds = lambda t: functools.reduce(lambda x, y: x | y, [F.contains(t, F.lit(n)) for n in needed])
+    return let(text, lambda t: F.when(holds(t), F.regexp_replace(t, pattern, by)).otherwise(t))
+
+
 def tokens(text: Column) -> Column:
     """Lower-case money, per cents, cashtags, numbers and words; amounts in one spelling ('$1.50 billion' and 'USD 1.5bn' are '$1.5b'), possessives dropped."""
     found = F.regexp_extract_all(prepared(text), F.lit(P.TOKEN), 0)
@@ -62,6 +72,13 @@ def _table(table: dict) -> Column:
     return F.str_to_map(F.lit(TURN.join(f"{k}{PART}{v}" for k, v in table.items())), F.lit(TURN), F.lit(PART))
 
 
+def _by_letter(table: dict) -> Callable[[Column], Column]:
+    """Look-up of a word in a long table: maps are searched from their start, so each first letter has one of its own."""
+    letters = sorted({k[0] for k in table})
+    maps = F.create_map(*[x for c in letters for x in (F.lit(c), _table({k: v for k, v in table.items() if k[0] == c}))])
+    return lambda word: F.element_at(F.element_at(maps, F.substring(word, 1, 1)), word)
+
+
 def story_stems(text: Column, without: Column | None = None) -> Column:
     """The sorted distinct stems of a headline's words of three letters or more that could tell its story: no stopwords, numbers or generic words, nor those in ``without`` (a company's own)."""
     words = F.filter(tokens(text), lambda t: t.rlike("^[a-z][a-z'-]{2,}$") & ~t.isin(*sorted(L.STOPWORDS)))
@@ -135,6 +152,15 @@ def title_groups(items: DataFrame, item: str, title: str) -> DataFrame:
     return forms.join(named, "f", "left").select(F.col("item").alias(item), F.coalesce("group", "item").alias("group"))
 
 
+def each(items: DataFrame, *columns: str | Column, array: Column, name: str, place: str | None = None) -> DataFrame:
+    """``columns`` and the elements of an array without nulls as ``name``, with their places from 0 where asked for.
+
+    An inner generator would let the optimizer put a filter on the array's size before it, which works the array out once more.
+    """
+    made = F.posexplode_outer(array).alias(place, name) if place else F.explode_outer(array).alias(name)
+    return items.select(*columns, made).where(F.col(place or name).isNotNull())
+
+
 def let(x: Column, f: Callable[[Column], Column]) -> Column:
     """``f(x)`` with ``x`` worked out once, however often ``f`` names it."""
     return F.element_at(F.transform(F.array(x), f), 1)
@@ -185,11 +211,21 @@ def claimed(text: Column, rules: Iterable[tuple] = P.RULES, phrases: Iterable[st
 
     Underscores around a rule's groups keep words inside a mark from being whole words, so nothing matches into it.
     """
-    t = F.regexp_replace(prepared(text), r"([a-z])-([a-z])", "$1 $2")
+    return marked(parted(text), rules, phrases)
+
+
+def parted(text: Column) -> Column:
+    """The prepared text, the words of compounds apart."""
+    return replaced(prepared(text), r"([a-z])-([a-z])", "$1 $2", ("-",))
+
+
+def marked(t: Column, rules: Iterable[tuple] = P.RULES, phrases: Iterable[str] | None = None) -> Column:
+    """``claimed`` of a text that is parted already."""
     for key, _, pattern in rules:
-        t = F.regexp_replace(t, pattern, f" {OPEN}{key}{PART}_$1_{PART}_$2_{PART}_$3_{CLOSE} ")
+        mark = f" {OPEN}{key}{PART}_$1_{PART}_$2_{PART}_$3_{CLOSE} "
+        t = replaced(t, pattern, mark, P.NEEDED[pattern]) if pattern in P.NEEDED else F.regexp_replace(t, pattern, mark)
     t = F.regexp_replace(t, trie_pattern(P.roles() if phrases is None else phrases), f"{OPEN}{PART}$1{CLOSE}")
-    return F.regexp_replace(t, rf"\b(?:{'|'.join(P.CONTRAST)})\b", f" {TURN} ")
+    return replaced(t, rf"\b(?:{'|'.join(P.CONTRAST)})\b", f" {TURN} ", P.CONTRAST)
 
 
 #: Inside a clause: marks, amounts, words. A rule's mark by its parts; where clauses end.
@@ -200,29 +236,33 @@ CLAUSE = r"[;:!?]+(?:\s+|$)|\.(?:\s+|$)|\s-\s"
 REPEAT, CONCEDED, ASKED, TURNED, SCALE = 0.5, 0.6, 0.5, -0.7, 4.0
 
 
-def worth_reading(text: Column) -> Column:
-    """Whether a text can have evidence: a word or direction of the phrase book, or what every rule needs. One pass that spares most texts the others."""
+def worth_reading(parted: Column) -> Column:
+    """Whether a parted text can have evidence: a word or direction of the phrase book, or what every rule needs. One pass that spares most texts the others."""
     hint = trie_pattern([k for k, (role, _) in P.roles().items() if role in ("word", "direction")] + ["price target", "upgrade", "upgrades", "upgraded", "downgrade", "downgrades", "downgraded", "vs", "versus", "compared", "against", "from"])
-    return F.regexp_replace(prepared(text), r"([a-z])-([a-z])", "$1 $2").rlike(hint)
+    return parted.rlike(hint)
 
 
 def spans(items: DataFrame, text: str) -> DataFrame:
     """``items`` with ``_clauses``: whether a contrast follows a clause, and its marks with their place, role and value."""
     book = P.roles()
-    role, value = _table({k: r for k, (r, _) in book.items()}), _table({k: v for k, (_, v) in book.items()})
+    role, value = _by_letter({k: r for k, (r, _) in book.items()}), _by_letter({k: v for k, (_, v) in book.items()})
     fixed = _table({key: v for key, v, _ in P.RULES if v is not None})
 
+    def told(k: Column, i: Column, named: Column, kind: Column, worth: Column, part: list[Column]) -> Column:
+        return F.struct(i.alias("i"), named.alias("term"), kind.alias("role"), worth.cast("double").alias("v"), *[x.alias(c) for x, c in zip(part, "abc", strict=True)])
+
     def span(p: Column, i: Column) -> Column:
-        phrase, key = F.regexp_extract(p, rf"^{OPEN}{PART}(.*){CLOSE}$", 1), F.regexp_extract(p, MARK, 1)
-        part = [F.regexp_extract(p, MARK, k).alias(c) for k, c in ((2, "a"), (3, "b"), (4, "c"))]
-        return F.struct(
-            i.alias("i"), F.when(key != "", key).otherwise(phrase).alias("term"), F.when(key != "", "rule").otherwise(F.element_at(role, phrase)).alias("role"),
-            F.when(key != "", F.element_at(fixed, key)).otherwise(F.element_at(value, phrase)).cast("double").alias("v"), *part,
-        )
+        """A phrase's mark has its part sign first, a rule's its key."""
+        phrase = lambda x: told(x, i, x, role(x), value(x), [F.lit("")] * 3)
+        rule = lambda x: told(x, i, x, F.lit("rule"), F.element_at(fixed, x), [F.regexp_extract(p, MARK, k) for k in (2, 3, 4)])
+        return F.when(p.startswith(OPEN + PART), let(F.substring(p, F.lit(3), F.length(p) - 3), phrase)).otherwise(let(F.regexp_extract(p, MARK, 1), rule))
 
-    marks = lambda clause: F.filter(F.transform(F.regexp_extract_all(clause, F.lit(PIECE), 0), lambda p, i: F.struct(p.alias("p"), i.alias("i"))), lambda x: x["p"].startswith(OPEN))
+    pieces = lambda clause: F.when(F.contains(clause, F.lit(OPEN)), F.regexp_extract_all(clause, F.lit(PIECE), 0)).otherwise(F.array().cast("array<string>"))
+    marks = lambda clause: F.filter(F.transform(pieces(clause), lambda p, i: F.struct(p.alias("p"), i.alias("i"))), lambda x: x["p"].startswith(OPEN))
     of = lambda segs: F.flatten(F.transform(segs, lambda seg, s: F.transform(F.split(seg, CLAUSE), lambda c: F.struct((s < F.size(segs) - 1).alias("conceded"), marks(c).alias("marks")))))
-    read = items.withColumn("_clauses", F.filter(let(F.split(claimed(F.when(worth_reading(F.col(text)), F.col(text))), TURN), of), lambda c: F.size(c["marks"]) > 0))
+    read = items.withColumn("_parted", parted(F.col(text)))
+    worth = F.when(worth_reading(F.col("_parted")), F.col("_parted")).otherwise("")
+    read = read.withColumn("_clauses", F.filter(let(F.split(marked(worth), TURN), of), lambda c: F.size(c["marks"]) > 0)).drop("_parted")
     return read.withColumn("_clauses", F.transform("_clauses", lambda c: F.struct(c["conceded"].alias("conceded"), F.transform(c["marks"], lambda x: span(x["p"], x["i"])).alias("spans"))))
 
 
@@ -237,11 +277,14 @@ def amount_value(raw: Column) -> Column:
 
 def comparison(term: Column, a: Column, b: Column, c: Column, polarity: Column) -> Column:
     """The value of two amounts set against each other, 'b' telling whether the second is a consensus; null where they are equal or in different units."""
-    new, old = F.when(term == "moved", amount_value(c)).otherwise(amount_value(a)), F.when(term == "moved", amount_value(a)).otherwise(amount_value(c))
-    moved = (new - old) * polarity
-    rel = F.abs(moved) / F.greatest(F.abs(old), F.lit(1e-9))
-    size = F.when(b != "", (0.5 + 0.4 * F.least(F.lit(1.0), rel / 0.05)) * 0.7).otherwise((0.55 + 0.45 * F.least(F.lit(1.0), rel / 0.2)) * 0.85)
-    return F.when((a.endswith("%") == c.endswith("%")) & (moved != 0), F.signum(moved) * size)
+    def told(x: Column) -> Column:
+        moved, rel = x["moved"], F.abs(x["moved"]) / F.greatest(F.abs(x["old"]), F.lit(1e-9))
+        size = F.when(b != "", (0.5 + 0.4 * F.least(F.lit(1.0), rel / 0.05)) * 0.7).otherwise((0.55 + 0.45 * F.least(F.lit(1.0), rel / 0.2)) * 0.85)
+        return F.when((a.endswith("%") == c.endswith("%")) & (moved != 0), F.signum(moved) * size)
+
+    new, old = lambda x: F.when(term == "moved", x["c"]).otherwise(x["a"]), lambda x: F.when(term == "moved", x["a"]).otherwise(x["c"])
+    change = lambda x: F.struct(((new(x) - old(x)) * polarity).alias("moved"), old(x).alias("old"))
+    return let(let(F.struct(amount_value(a).alias("a"), amount_value(c).alias("c")), change), told)
 
 
 def _hits(clause: Column) -> Column:

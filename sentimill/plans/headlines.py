@@ -187,7 +187,7 @@ def word_stems(spark, sf):
 @query(f"WITH {HEADLINES}, {evidence_sql('SELECT item AS id, title AS text FROM heads')} SELECT id AS item, row_number() OVER (PARTITION BY id ORDER BY s, ci, i) AS place, term, round(value, 6) AS value FROM hits")
 def headline_evidence(spark, sf):
     """Claimed spans, comparisons and composed directions of every headline, with their values."""
-    h = H.evidence(headlines(spark, sf), "title").select("item", F.posexplode("hits").alias("place", "h"))
+    h = H.each(H.evidence(headlines(spark, sf), "title"), "item", array=F.col("hits"), name="h", place="place")
     return h.select("item", (F.col("place") + 1).cast("long").alias("place"), "h.term", r6("h.value").alias("value"))
 
 
@@ -205,7 +205,7 @@ def text_scoring(spark, sf):
 
 @query(f"WITH {HEADLINES}, {events_sql('SELECT item AS id, title AS text FROM heads')} SELECT id AS item, place, key, polarity, firm, round(value, 6) AS value FROM ev")
 def headline_events(spark, sf):
-    e = H.events(headlines(spark, sf), "title").select("item", F.posexplode("events").alias("place", "e"))
+    e = H.each(H.events(headlines(spark, sf), "title"), "item", array=F.col("events"), name="e", place="place")
     return e.select("item", (F.col("place") + 1).cast("long").alias("place"), "e.key", "e.polarity", "e.firm", r6("e.value").alias("value"))
 
 

@@ -179,8 +179,8 @@ e AS (SELECT w, n, CASE WHEN length(b) <= 3 OR NOT regexp_matches(replace(b, '-'
 @query(f"WITH {HEADLINES}, {_STEMS} SELECT CASE WHEN w IN {P.KEPT!r} THEN w ELSE coalesce({_listed(P.FINAL).format(x='w')}, e) END AS stem, count(*) AS forms, sum(n)::BIGINT AS n FROM e GROUP BY 1")
 def word_stems(spark, sf):
     """Stems of all words of the documents and headlines; distinct words are stemmed, not occurrences."""
-    words = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z][a-z-]*"), 0)).alias("w"))
-    words = words.unionByName(headlines(spark, sf).select(F.explode(H.tokens(F.col("title"))).alias("w")))
+    words = H.each(table(spark, sf, "documents"), array=F.regexp_extract_all(F.lower("text"), F.lit("[a-z][a-z-]*"), 0), name="w")
+    words = words.unionByName(H.each(headlines(spark, sf), array=H.tokens(F.col("title")), name="w"))
     return words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).groupBy(H.stem(F.col("w")).alias("stem")).agg(F.count(F.lit(1)).alias("forms"), F.sum("n").alias("n"))
 
 

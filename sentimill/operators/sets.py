@@ -144,7 +144,7 @@ def _firsts(of: np.ndarray, worth: np.ndarray, by: np.ndarray) -> tuple[np.ndarr
 
 
 def meeting_keys(n: np.ndarray, t: np.ndarray, worth: np.ndarray, least: float) -> tuple[np.ndarray, ...]:
-    """(p, row, i, x, up) of sets: keys by which all different sets of Jaccard ``least`` or more meet.
+    """(p, row, i, x, up, q) of sets: keys by which all different sets of Jaccard ``least`` or more meet.
 
     Sets of sizes a and b that are so alike differ in at most D = (a + b) (1 - least) / (1 + least) tokens.
     The larger one's size is in a band from 2^k to 2^(k + 1); for it all tokens are dealt by their hashes into
@@ -153,6 +153,7 @@ def meeting_keys(n: np.ndarray, t: np.ndarray, worth: np.ndarray, least: float)
     x + 1 in common, with places i up to D + x. ``up`` counts the bands from a set's own to the one the keys are
     for. Sets with too few keys, mostly very small ones, also give the first of their single tokens (x is -1):
     two of them share one of those. A key with a token of a bucket that one item has alone is left out.
+    ``q`` stands for the x + 1 keys before a key (where i is above x): two sets with those in common have met often enough.
     """
     apart = (1 - least) / (1 + least)
     tokens, of = t.view(np.uint64), np.repeat(np.arange(len(n)), n)
@@ -179,9 +180,12 @@ def meeting_keys(n: np.ndarray, t: np.ndarray, worth: np.ndarray, least: float)
         key = mix(np.add.reduceat(told[pick], begins) + mix((cell[begins] % int(parts.max())).astype(np.uint64) * np.uint64(64) + grid[row].astype(np.uint64)))
         alone = np.bitwise_or.reduceat(value[pick] < 0, begins)
         order, place = _firsts(row, np.add.reduceat(np.abs(value[pick]), begins), key)
-        row = row[order]
+        row, key = row[order], key[order]
         keep = (place <= (most + x)[row]) & ~alone[order]
-        out.append((key[order][keep], row[keep], place[keep], x[row[keep]], np.full(int(keep.sum()), up)))
+        sums = np.append(np.uint64(0), np.cumsum(mix(key)))
+        at, own = np.flatnonzero(keep), x[row[keep]]
+        before = sums[at] - sums[np.maximum(at - own - 1, 0)]
+        out.append((key[keep], row[keep], place[keep], own, np.full(len(at), up), before))
         few = meant & (np.bincount(row, minlength=len(n)) <= most + x)
         pick = np.flatnonzero(few[of])
         if len(pick):
@@ -190,9 +194,9 @@ def meeting_keys(n: np.ndarray, t: np.ndarray, worth: np.ndarray, least: float)
             row = of[pick]
             keep = (place < (n - np.ceil(n * least - 1e-9).astype(np.int64) + 1)[row]) & (value[pick] > 0)
             single = mix(tokens[pick] + mix(grid[row].astype(np.uint64) + _SALT[0]))
-            out.append((single[keep], row[keep], place[keep], np.full(int(keep.sum()), -1), np.full(int(keep.sum()), up)))
+            out.append((single[keep], row[keep], place[keep], np.full(int(keep.sum()), -1), np.full(int(keep.sum()), up), np.zeros(int(keep.sum()), np.uint64)))
     if not out:
-        return tuple(np.zeros(0, k) for k in (np.uint64, np.int64, np.int64, np.int64, np.int64))
+        return tuple(np.zeros(0, k) for k in (np.uint64, np.int64, np.int64, np.int64, np.int64, np.uint64))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 

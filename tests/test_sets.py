@@ -42,16 +42,16 @@ def test_sets_meet_as_often_as_asked(least):
     lists = [list(x) for x in dict.fromkeys(map(frozenset, lists))]
     n, t = runs(lists)
     levels = np.bincount(t & (sets.TOKEN_BUCKETS - 1), minlength=sets.TOKEN_BUCKETS)
-    p, row, i, x, up = sets.meeting_keys(n, t, sets.worths(levels), least)
+    p, row, i, x, up, q = sets.meeting_keys(n, t, sets.worths(levels), least)
     by: dict = {}
-    for e in zip(p.tolist(), row.tolist(), i.tolist(), x.tolist(), up.tolist(), strict=True):
+    for e in zip(p.tolist(), row.tolist(), i.tolist(), x.tolist(), up.tolist(), q.tolist(), strict=True):
         by.setdefault(e[0], []).append(e[1:])
     met, asked = Counter(), {}
     for rows in by.values():
-        for a, i_, x_, u in rows:
-            for b, j, y, v in rows:
+        for a, i_, x_, u, k in rows:
+            for b, j, y, v, m in rows:
                 far = (n[a] + n[b]) * (1 - least) / (1 + least) + 1e-9
-                if a < b and min(u, v) == 0 and min(n[a], n[b]) >= least * max(n[a], n[b]) and (x_ < 0 or max(i_, j) <= far + x_):
+                if a < b and min(u, v) == 0 and min(n[a], n[b]) >= least * max(n[a], n[b]) and (x_ < 0 or max(i_, j) <= far + x_) and not (k == m and 0 <= x_ < min(i_, j)):
                     met[a, b] += 1
                     asked[a, b] = min(x_, y, asked.get((a, b), 1 << 30))
     whole = [set(s) for s in lists]
@@ -67,7 +67,7 @@ def test_unlike_sets_of_few_words_rarely_meet():
     lists = [sets.mix(np.array(x, np.uint64)).view(np.int64).tolist() for x in lists]
     n, t = runs(lists)
     worth = sets.worths(np.bincount(t & (sets.TOKEN_BUCKETS - 1), minlength=sets.TOKEN_BUCKETS))
-    p, row, _, x, _ = sets.meeting_keys(n, t, worth, 0.8)
+    p, row, _, x, *_ = sets.meeting_keys(n, t, worth, 0.8)
     by: dict = {}
     for key, a in zip(p.tolist(), row.tolist(), strict=True):
         by.setdefault(key, []).append(a)
